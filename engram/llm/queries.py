@@ -6,19 +6,58 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup, html_extract, mixing, near_dedup, substring_dedup, token_counts, url_filter
+
+#: The vocabulary of op3; its folder is a parameter of the environment.
+VOCABULARY = "byte_bpe_50k.json"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.taken_words(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .near_dedup import near_duplicates
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_url_filter": op4_url_filter,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_html_extract": op7_html_extract,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.TAKEN_SQL,
+    "op2_exact_dedup": exact_dedup.COPIES_SQL,
+}
