@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, mixing, near_dedup, substring_dedup, token_counts, url_filter
+from . import exact_dedup, html_extract, mixing, near_dedup, quality, substring_dedup, token_counts, url_filter
 
 #: The vocabulary of op3; its folder is a parameter of the environment.
 VOCABULARY = "byte_bpe_50k.json"
@@ -47,6 +47,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with their scores."""
+    docs = _table(spark, sf_dir, "documents")
+    scorer = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, scorer).where("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_html_extract": op7_html_extract,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
