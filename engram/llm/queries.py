@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, mixing, near_dedup, quality, substring_dedup, token_counts, url_filter
+from . import decontaminate, exact_dedup, html_extract, mixing, near_dedup, quality, substring_dedup, token_counts, url_filter
 
 #: The vocabulary of op3; its folder is a parameter of the environment.
 VOCABULARY = "byte_bpe_50k.json"
@@ -43,6 +43,11 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in which a benchmark item was found, a row for each of the two."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_html_extract": op7_html_extract,
+    "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
