@@ -108,6 +108,15 @@ def bit_is_set(bits: str, bit: str) -> str:
     return f"(conv(hex(substring({bits}, CAST({bit} DIV 8 AS INT) + 1, 1)), 16, 10) & shiftleft(1, CAST({bit} % 8 AS INT))) <> 0"
 
 
+def _probed(df: DataFrame, column: str, members: DataFrame, expected: int) -> DataFrame:
+    """Adds __maybe: whether ``column`` may be in ``members`` (false only if it certainly isn't)."""
+    table, buckets = filter_table(members.toDF("member"), "member", expected)
+    probes = df.withColumn("__probe", filter_positions(F.col(column), buckets))
+    joined = probes.join(F.broadcast(table), F.col("__probe")[0]["bucket"] == F.col("bucket"), "left")
+    hit = " AND ".join(bit_is_set("bits", f"__probe[{i}].bit") for i in range(3))
+    return joined.withColumn("__maybe", F.coalesce(F.expr(hit), F.lit(False))).select(*[F.col(f"`{c}`") for c in df.columns], "__maybe")
+
+
 def possibly_in(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``column`` may be in ``members`` (one column; no row in it is lost).
 
@@ -117,8 +126,22 @@ def possibly_in(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
     expected = members.count()
     if expected > BROADCAST_BUCKETS * BUCKET_IDS:
         return df
-    table, buckets = filter_table(members.toDF("member"), "member", expected)
-    probes = df.withColumn("__probe", filter_positions(F.col(column), buckets))
-    joined = probes.join(F.broadcast(table), F.col("__probe")[0]["bucket"] == F.col("bucket"))
-    hit = " AND ".join(bit_is_set("bits", f"__probe[{i}].bit") for i in range(3))
-    return joined.where(hit).select(*[F.col(f"`{c}`") for c in df.columns])
+    return _probed(df, column, members, expected).where("__maybe").drop("__maybe")
+
+
+def drop_members(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` (long, not null) is not in ``members`` (one column).
+
+    Rows that a filter of the same size bound as in :func:`possibly_in` clears pass straight through; only
+    the others are shuffled to be looked up.
+    """
+    expected = members.count()
+    if expected == 0:
+        return df
+    members = members.toDF("__member")
+    if expected > BROADCAST_BUCKETS * BUCKET_IDS:
+        return df.join(members, F.col(f"`{column}`") == F.col("__member"), "left_anti")
+    probed = _probed(df, column, members, expected)
+    clear = probed.where("NOT __maybe").drop("__maybe")
+    looked_up = probed.where("__maybe").drop("__maybe").join(members, F.col(f"`{column}`") == F.col("__member"), "left_anti")
+    return clear.unionByName(looked_up)

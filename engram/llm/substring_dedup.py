@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sparktools import BUCKET_BITS, Scratch, bare, cut, filter_table
+from .sparktools import BUCKET_BITS, Scratch, bare, cut, drop_members
 from .words import Words, mix, slices, split_words, window_hashes
 
 K = 20
@@ -93,6 +93,17 @@ def _minimisers(words: Words, k: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return fits, mix(low >> np.uint64(20)), fresh
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            words = split_words(part.column("text"))
+            h1, h2 = _sequences(words)
+            sha = pa.array([_digest(words, i) for i in range(part.num_rows)], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("row"), pa.array(words.counts, pa.int64()), pa.array(h1), pa.array(h2), sha], names=["doc_id", "row", "n", "h1", "h2", "sha"]
+            )
+
+
 def _minimiser_rows(k: int, gram: int):
     """(minimiser, count) of each task; windows that share one occurrence of it count once."""
 
@@ -142,12 +153,12 @@ def place(values: np.ndarray, buckets: int) -> list[np.ndarray]:
 
 
 def _candidate_rows(k: int, gram: int, shared):
-    """Three kinds of rows: 0 a document without possible repeats, 1 one with them (its text and the
-    repeats that the task itself could tell), 2 an edge's first place in this task."""
+    """Three kinds of rows: 1 a document with possible repeats and its text, 2 an edge's first place in
+    this task, 3 the repeats inside a document that the task itself could tell."""
 
     schema = pa.schema([
-        ("kind", pa.int32()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()),
-        ("sha", pa.string()), ("text", pa.large_binary()), ("spans", pa.binary()), ("edge", pa.int64()), ("edge2", pa.int64()), ("at", pa.int64()),
+        ("kind", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("text", pa.large_binary()), ("spans", pa.binary()),
+        ("edge", pa.int64()), ("edge2", pa.int64()), ("at", pa.int64()),
     ])
 
     def rows(**given) -> pa.RecordBatch:
@@ -192,7 +203,6 @@ def _candidate_rows(k: int, gram: int, shared):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = split_words(part.column("text"))
-                h1, h2 = _sequences(words)
                 fits, low, _ = _minimisers(words, k, gram)
                 chosen = fits[repeated.has(low)] if len(fits) else fits
                 text_of = np.searchsorted(words.first, chosen, "right") - 1
@@ -204,17 +214,9 @@ def _candidate_rows(k: int, gram: int, shared):
                     edge2 = window_hashes(mix(words.hash ^ np.uint64(0x1F83D9ABFB41BD6B)), k)[chosen]
                     held.append((ids[text_of], chosen - words.first[text_of], edge, edge2))
                     size += len(chosen)
-                sha = [_digest(words, i) for i in range(part.num_rows)]
-                quiet = pa.array(~busy)
-                for kind, mark in ((0, quiet), (1, pa.array(busy))):
-                    own = part.filter(mark)
-                    if own.num_rows:
-                        m = np.asarray(mark)
-                        extra = {"text": own.column("text").cast(pa.large_binary())} if kind else {}
-                        yield rows(
-                            kind=pa.array(np.full(own.num_rows, kind)), doc_id=pa.array(ids[m]), h1=pa.array(h1[m]), h2=pa.array(h2[m]), n=pa.array(words.counts[m]),
-                            sha=pa.array([s for s, b in zip(sha, m.tolist(), strict=True) if b], pa.string()), **extra,
-                        )
+                own = part.filter(pa.array(busy))
+                if own.num_rows:
+                    yield rows(kind=pa.array(np.full(own.num_rows, 1)), doc_id=own.column("doc_id"), row=own.column("row"), text=own.column("text"))
             if size > HELD:
                 yield from flush()
                 held, size = [], 0
@@ -224,7 +226,7 @@ def _candidate_rows(k: int, gram: int, shared):
     return run
 
 
-_ROWS = "kind int, doc_id long, h1 long, h2 long, n long, sha string, text binary, spans binary, edge long, edge2 long, at long"
+_ROWS = "kind int, doc_id long, row long, text binary, spans binary, edge long, edge2 long, at long"
 
 
 def _cut_out(k: int):
@@ -247,8 +249,7 @@ def _cut_out(k: int):
                     removed.append(int(gone.sum()))
                     sha.append(_digest(words, i, ~gone))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("h1"), part.column("h2"), pa.array(removed, pa.int64()), pa.array(sha, pa.string())],
-                    names=["doc_id", "h1", "h2", "n_removed", "kept_sha256"],
+                    [part.column("row"), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["row", "n_removed", "kept_sha256"]
                 )
 
     return run
@@ -262,35 +263,35 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     spark = docs.sparkSession
     rows = bare(docs, key, text).toDF("doc_id", "text")
     own = F.expr(f"coalesce(CAST(doc_id AS BIGINT), {_NO_ID} + pmod(xxhash64(text), {1 << 61}))")
-    rows = rows.select(own.alias("doc_id"), "text")
+    rows = rows.select(own.alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     with Scratch(spark) as scratch:
-        minimisers = rows.select("text").mapInArrow(_minimiser_rows(k, gram), "m long, n long")
+        digests = scratch.save(rows.mapInArrow(_digests, "doc_id long, row long, n long, h1 long, h2 long, sha string"))
+        classes = scratch.save(digests.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id")))
+        named = scratch.save(digests.join(classes, ["h1", "h2"]).select("doc_id", "row", "n", "sha", "first_id"))
+        # only the class's first document takes part in the edges
+        single = drop_members(rows, "row", named.where("doc_id > first_id").select("row").distinct())
+        minimisers = single.select("text").mapInArrow(_minimiser_rows(k, gram), "m long, n long")
         twice = scratch.save(minimisers.groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m"))
         shared, _ = _collect_filter(twice)
-        found = scratch.save(rows.mapInArrow(_candidate_rows(k, gram, shared), _ROWS))
-        docs_rows = found.where("kind < 2").select("doc_id", "h1", "h2", "n", "sha")
-        classes = scratch.save(docs_rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id")))
-        # windows of copies fall away here: of equal places' classes only the smallest id can be first
+        found = scratch.save(single.mapInArrow(_candidate_rows(k, gram, shared), _ROWS))
         place_of = Window.partitionBy("edge", "edge2").orderBy("doc_id", "at")
         edges = found.where("kind = 2").select(
-            "doc_id", "at", F.first("doc_id").over(place_of).alias("source"), F.first("at").over(place_of).alias("source_at"), "edge", "edge2"
-        ).where("doc_id <> source OR at <> source_at")
+            "doc_id", "at", F.first("doc_id").over(place_of).alias("source"), F.first("at").over(place_of).alias("source_at")
+        ).where("doc_id <> source OR at <> source_at")
         # a nonbranching path: neighbours in the document whose sources are neighbours too
         run_of = Window.partitionBy("doc_id").orderBy("at")
         paths = (
-            edges.select("doc_id", "at", "source", "source_at").dropDuplicates(["doc_id", "at"])
-            .withColumn("new", F.expr("CASE WHEN at = lag(at) OVER (PARTITION BY doc_id ORDER BY at) + 1 AND source = lag(source) OVER (PARTITION BY doc_id ORDER BY at)"
-                                      " AND source_at = lag(source_at) OVER (PARTITION BY doc_id ORDER BY at) + 1 THEN 0 ELSE 1 END"))
+            edges.dropDuplicates(["doc_id", "at"])
+            .withColumn("new", F.when((F.col("at") == F.lag("at").over(run_of) + 1) & (F.col("source") == F.lag("source").over(run_of)) & (F.col("source_at") == F.lag("source_at").over(run_of) + 1), 0).otherwise(1))
             .withColumn("path", F.sum("new").over(run_of))
             .groupBy("doc_id", "path").agg(F.min("at").alias("at"), F.count("*").alias("length"))
         )
-        spans = paths.select("doc_id", F.expr("array(at, length)").alias("pair")).mapInArrow(_pack, "doc_id long, spans binary")
+        spans = paths.select("doc_id", F.array("at", "length").alias("pair")).mapInArrow(_pack, "doc_id long, spans binary")
         spans = spans.unionByName(found.where("kind = 3").select("doc_id", "spans"))
-        spans = spans.join(classes.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
         spans = scratch.save(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")))
-        busy = found.where("kind = 1").select("doc_id", "h1", "h2", "text")
-        shorter = busy.join(spans, "doc_id").mapInArrow(_cut_out(k), "doc_id long, h1 long, h2 long, n_removed long, kept_sha256 string").dropDuplicates(["doc_id", "h1", "h2"])
-        out = docs_rows.join(classes, ["h1", "h2"]).join(shorter, ["doc_id", "h1", "h2"], "left").select(
+        busy = found.where("kind = 1").select("doc_id", "row", "text").join(spans, "doc_id")
+        shorter = busy.mapInArrow(_cut_out(k), "row long, n_removed long, kept_sha256 string").dropDuplicates(["row"])
+        out = named.join(shorter, "row", "left").select(
             F.expr(f"CASE WHEN doc_id >= {_NO_ID} THEN NULL ELSE doc_id END").alias(key),
             F.col("n").alias("n_words"),
             F.expr(f"CASE WHEN doc_id > first_id AND n >= {k} THEN n ELSE coalesce(n_removed, 0) END").alias("n_removed"),
