@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, mixing, near_dedup, quality, substring_dedup, token_counts, url_filter
+from . import decontaminate, exact_dedup, html_extract, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_counts, url_filter
 
 #: The vocabulary of op3; its folder is a parameter of the environment.
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,6 +39,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_html_extract": op7_html_extract,
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
