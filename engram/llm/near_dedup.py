@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sparktools import Scratch, bare, connected_components, cut, possibly_in
+from .sparktools import Scratch, bare, connected_components, cut, drop_members, possibly_in
 from .words import mix, slices, split_words, window_hashes
 
 SHINGLE = 5
@@ -118,7 +118,7 @@ def _keys(sets: list[np.ndarray], values: np.ndarray, percent: int) -> tuple[np.
     return np.concatenate(owners), np.concatenate(keys)
 
 
-_DIGEST = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.binary())])
+_DIGEST = pa.schema([("rid", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.binary())])
 _MEMBER = pa.schema([("cluster", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
 
 
@@ -152,7 +152,7 @@ def _digests(percent: int):
                     for i, k in zip(some.tolist(), np.split(key[order], ends), strict=True):
                         keys[i] = k.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array(keys, pa.binary())],
+                    [part.column("rid"), part.column("row"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array(keys, pa.binary())],
                     schema=_DIGEST,
                 )
 
@@ -257,11 +257,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     Two documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
     """
+    return _grouped(docs, key, text, percent).select(F.col("doc_id").alias(key), "n_shingles", "component_id", "kept")
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one stays in each group; only rows that may have to go are shuffled."""
+    gone = _grouped(docs, key, text, percent).where("NOT kept").select("row").distinct()
+    named = docs.withColumn("__row_name", _row_name(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    return drop_members(named, "__row_name", gone).drop("__row_name")
+
+
+def _row_name(key: Column, text: Column) -> Column:
+    return F.xxhash64(key.cast("long"), text)
+
+
+def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """row (a hash of key and text), doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     rows = bare(docs, key, text).toDF("doc_id", "text")
-    rows = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"), _row_name(F.col("doc_id"), F.col("text")).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"), "text",
+    )
     with Scratch(spark) as scratch:
-        digests = scratch.save(rows.mapInArrow(_digests(percent), "rid long, doc_id long, n long, h1 long, h2 long, keys binary"))
+        digests = scratch.save(rows.mapInArrow(_digests(percent), "rid long, row long, doc_id long, n long, h1 long, h2 long, keys binary"))
         classes = digests.where("n > 0").groupBy("h1", "h2").agg(F.coalesce(F.min("doc_id"), F.min("rid")).alias("id"), F.first("keys").alias("keys"))
         classes = scratch.save(classes)
         bands = scratch.save(classes.select("id", "keys").mapInArrow(_explode_keys, "key long, id long"))
@@ -291,9 +310,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         groups = cut(connected_components(links))
         labels = classes.join(groups, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("component"))
         out = digests.join(labels, ["h1", "h2"], "left").select(
-            F.col("doc_id").alias(key),
+            "row",
+            "doc_id",
             F.col("n").alias("n_shingles"),
-            F.coalesce("component", "doc_id").alias("component_id"),
-            F.expr("n = 0 OR doc_id <=> component").alias("kept"),
+            F.expr("CASE WHEN n > 0 THEN component ELSE doc_id END").alias("component_id"),
+            F.expr("n = 0 OR coalesce(doc_id, rid) <=> component").alias("kept"),
         )
         return cut(out)
