@@ -1,10 +1,5 @@
 """All queries of the engine by name, and the SQL that each must agree with."""
 
-from __future__ import annotations
+from .plans.queries import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
