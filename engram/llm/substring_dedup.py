@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sparktools import BUCKET_BITS, Scratch, bare, cut, drop_members
-from .words import Words, mix, slices, split_words, window_hashes
+from .words import Words, chunks, mix, slices, split_words, window_hashes
 
 K = 20
 GRAM = 8
 #: The filter of repeated minimisers never takes more than this many buckets of 4 KB.
 FILTER_BUCKETS = 8192
 #: Possible repeats that a task holds before it orders and sends them.
-HELD = 4_000_000
+HELD = 1 << 20
 _PLACE = np.uint64((1 << 20) - 1)
 #: Rows without an id get one from here on, by their text.
 _NO_ID = 1 << 62
@@ -122,11 +122,11 @@ def _minimiser_rows(k: int, gram: int):
                 if len(fits):
                     held.append(low[fresh])
                     size += len(held[-1])
-            if size > HELD:
-                yield flush()
-                held, size = [], 0
+                    if size > HELD:
+                        yield from chunks(flush())
+                        held, size = [], 0
         if held:
-            yield flush()
+            yield from chunks(flush())
 
     return run
 
@@ -180,7 +180,7 @@ def _candidate_rows(k: int, gram: int, shared):
             ids, at, edge, edge2 = ids[order], at[order], edge[order], edge2[order]
             first = np.ones(len(ids), dtype=bool)
             first[1:] = (edge[1:] != edge[:-1]) | (edge2[1:] != edge2[:-1])
-            yield rows(kind=pa.array(np.full(int(first.sum()), 2)), doc_id=pa.array(ids[first]), edge=pa.array(edge[first].view(np.int64)), edge2=pa.array(edge2[first].view(np.int64)), at=pa.array(at[first]))
+            yield from chunks(rows(kind=pa.array(np.full(int(first.sum()), 2)), doc_id=pa.array(ids[first]), edge=pa.array(edge[first].view(np.int64)), edge2=pa.array(edge2[first].view(np.int64)), at=pa.array(at[first])))
             late = np.flatnonzero(~first)
             source = np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))[late]
             same = (ids[late] == ids[source]) & (at[late] == at[source])  # the same row read twice
@@ -217,9 +217,9 @@ def _candidate_rows(k: int, gram: int, shared):
                 own = part.filter(pa.array(busy))
                 if own.num_rows:
                     yield rows(kind=pa.array(np.full(own.num_rows, 1)), doc_id=own.column("doc_id"), row=own.column("row"), text=own.column("text"))
-            if size > HELD:
-                yield from flush()
-                held, size = [], 0
+                if size > HELD:
+                    yield from flush()
+                    held, size = [], 0
         if held:
             yield from flush()
 

@@ -51,7 +51,7 @@ def read_results_csv(spark: SparkSession, path: str, dimensions: tuple[str, ...]
         raise ValueError(f"columns are missing: {sorted(missing)}")
     have = [d for d in dimensions if f"score_{d}" in rows.columns]
     entries = F.array(*[F.struct(F.lit(d).alias("key"), F.round(F.expr(f"try_cast(`score_{d}` AS DOUBLE)") * 10).cast("int").alias("value")) for d in have])
-    tags = F.filter(F.transform(F.split(F.coalesce(F.col("error_tags"), F.lit("")), "[,;]"), F.trim), lambda t: t != "") if "error_tags" in rows.columns else F.array().cast("array<string>")
+    tags = F.filter(F.transform(F.split(F.coalesce(F.col("error_tags"), F.lit("")), "[,;]"), lambda t: F.trim(t)), lambda t: t != "") if "error_tags" in rows.columns else F.array().cast("array<string>")
     return rows.select(
         "case_id", F.round(F.expr("try_cast(score_total AS DOUBLE)") * 1000).cast("long").alias("score_milli"),
         (F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())) if have else F.create_map().cast("map<string,int>")).alias("dims"), tags.alias("error_tags"),
