@@ -8,6 +8,11 @@ soft label of its documents; on a bounded sample of documents (``SAMPLE``, chose
 trains a linear scorer over hashed words, word beginnings and text-shape buckets (logistic loss, follow
 the regularised leader with an L1 term).  The scorer judges every whole text.
 
+One labeller's lexicon is learnt, since abuse has other words in every language: from at most about
+``LEXICON_LABELS`` reviewed documents, the word beginnings that stand in toxic ones only, as far as that can't
+be chance among all beginnings tested.  Documents that share a minimum of their words' hashes (copies and near
+copies) count once for it.
+
 Defined results: null or empty texts have no features but the shape of an empty text and are judged like
 any other row; rows are judged alone, so repeated rows and null ids each get their own (equal) judgement;
 reviewed labels that contradict each other count as bad; without documents nothing is returned; filters
@@ -24,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sparktools import bare, cut
-from .words import _hash_words, range_sums, slices, split_words
+from .words import _hash_words, mix, range_sums, slices, split_words
 
 #: Abusive words of the lexicon labeller.
 ABUSE = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
 
 SAMPLE = 20_000
+#: Reviewed documents that the learnt lexicon is drawn from, at most about; lengths (bytes) of its word
+#: beginnings; share of toxic documents among those that have one; the chance of a wrong entry; its entries.
+LEXICON_LABELS, STEMS, PURE, CHANCE, ENTRIES = 10_000, (4, 5, 6), 0.98, 0.01, 4096
 DIMENSIONS = 1 << 18
 PREFIX = 6
 #: Documents whose score (log-odds of being good) is below this are rejected.
@@ -57,7 +65,7 @@ _ABUSIVE = _abuse_hashes()
 class Shape:
     """Measures of each text of a slice, as one float array per name."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, stems: np.ndarray | None = None):
         self.words = words = split_words(column, lower=True)
         raw = split_words(column, hashes=False)
         data, texts = raw.data, raw.text_offsets
@@ -80,6 +88,13 @@ class Shape:
         bare_words = _hash_words(words.data, words.starts, stop)
         at = np.searchsorted(_ABUSIVE, bare_words)
         abusive = _ABUSIVE[np.minimum(at, len(_ABUSIVE) - 1)] == bare_words
+        self.beginnings = [_hash_words(words.data, words.starts, np.minimum(words.starts + n, words.ends)) for n in STEMS]
+        learnt = np.zeros(len(words.hash), dtype=bool)
+        if stems is not None and len(stems):
+            for h in self.beginnings:
+                h = (h >> np.uint64(32)).astype(np.uint32)
+                learnt |= stems[np.minimum(np.searchsorted(stems, h), len(stems) - 1)] == h
+        self.learnt = range_sums(learnt, words.first)
         self.n = words.counts
         self.symbols = range_sums(kind == 2, texts) / visible
         self.capitals = upper / np.maximum(ascii_letters, 1)
@@ -92,7 +107,7 @@ class Shape:
         self.distinct = np.array([len(np.unique(words.hash[a:b])) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]) / count
 
 
-LABELLERS = ("symbols", "capitals", "repeated", "few distinct words", "table", "shouting", "decorated words", "abuse", "prose", "reviewed")
+LABELLERS = ("symbols", "capitals", "repeated", "few distinct words", "table", "shouting", "decorated words", "abuse", "learnt abuse", "prose", "reviewed")
 
 
 def votes(shape: Shape, reviewed: np.ndarray) -> np.ndarray:
@@ -106,7 +121,7 @@ def votes(shape: Shape, reviewed: np.ndarray) -> np.ndarray:
         [
             bad(some & (shape.symbols > 0.1)), bad(some & (shape.capitals > 0.4)), bad(some & (shape.repeated > 0.2)),
             bad((shape.n >= 50) & (shape.distinct < 0.25) & (shape.repeated > 0.05)), bad(some & (shape.pipes > 0.1)), bad(some & (shape.shouts > 0.15)),
-            bad(some & (shape.decorated > 0.3)), bad(shape.abuse > 0), np.where(prose & (shape.abuse == 0), GOOD, ABSTAIN), reviewed,
+            bad(some & (shape.decorated > 0.3)), bad(shape.abuse > 0), bad(shape.learnt > 0), np.where(prose & (shape.abuse == 0) & (shape.learnt == 0), GOOD, ABSTAIN), reviewed,
         ],
         axis=1,
     ).astype(np.uint8)
@@ -143,12 +158,12 @@ def estimate_labellers(pattern: np.ndarray, counts: np.ndarray, rounds: int = 10
 def features(shape: Shape) -> list[np.ndarray]:
     """Distinct hashed features of each text: words, beginnings of longer words, buckets of the shape."""
     words = shape.words
-    starts = _hash_words(words.data, words.starts, np.minimum(words.starts + PREFIX, words.ends))
+    starts = shape.beginnings[STEMS.index(PREFIX)]
     low = (words.hash & np.uint64(DIMENSIONS - 1)).astype(np.int32)
     high = ((starts >> np.uint64(20)) & np.uint64(DIMENSIONS - 1)).astype(np.int32)
     buckets = np.stack(
         [np.minimum(15, (np.maximum(v, 0) * 20).astype(np.int64)) for v in (shape.symbols, shape.capitals, shape.repeated, shape.decorated, shape.pipes, shape.shouts, shape.stops, shape.distinct)]
-        + [np.minimum(15, shape.abuse.astype(np.int64)), np.array([int(n).bit_length() for n in shape.n]) % 16],
+        + [np.minimum(15, shape.abuse.astype(np.int64)), np.minimum(15, shape.learnt.astype(np.int64)), np.array([int(n).bit_length() for n in shape.n]) % 16],
         axis=1,
     )
     buckets = ((np.arange(buckets.shape[1]) * 16 + buckets + 1) * 7919 % DIMENSIONS).astype(np.int32)
@@ -187,25 +202,67 @@ def _reviewed_docs(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
 class Scorer:
     """A fitted weak-label model and its linear scorer."""
 
-    def __init__(self, weights: np.ndarray, bias: float, chances: np.ndarray, share: float, posterior: dict[int, float]):
-        self.weights, self.bias, self.chances, self.share, self.posterior = weights, bias, chances, share, posterior
+    def __init__(self, weights: np.ndarray, bias: float, chances: np.ndarray, share: float, posterior: dict[int, float], stems: np.ndarray | None = None):
+        self.weights, self.bias, self.chances, self.share, self.posterior, self.stems = weights, bias, chances, share, posterior, stems
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return np.array([self.weights[f].sum(dtype=np.float64) + self.bias for f in features(Shape(column))])
+        return np.array([self.weights[f].sum(dtype=np.float64) + self.bias for f in features(Shape(column, self.stems))])
+
+
+def learn_stems(docs: DataFrame, labels: DataFrame, labelled: int = LEXICON_LABELS) -> np.ndarray:
+    """Sorted hashes of word beginnings (docs: id, text) that mark toxic documents."""
+    said = bare(labels, "doc_id", "toxic").where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"))
+    lot = max(1, -(-said.count() // labelled))
+    said = said.where(F.pmod(F.xxhash64("label_id"), F.lit(lot)) == 0)  # at most about ``labelled`` rows of two numbers
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = split_words(part.column("text"), lower=True)
+                begins = [(_hash_words(words.data, words.starts, np.minimum(words.starts + n, words.ends)) >> np.uint64(32)).astype(np.uint32) for n in STEMS]
+                some = np.flatnonzero(words.counts > 0)
+                spans = [(int(words.first[i]), int(words.first[i + 1])) for i in some]
+                lows = [[int(mix(words.hash[a:b] ^ np.uint64(salt)).min() >> np.uint64(1)) for a, b in spans] for salt in (1, 2)]
+                stems = [np.unique(np.concatenate([h[a:b] for h in begins])).tobytes() for a, b in spans]
+                yield pa.RecordBatch.from_arrays([part.column("toxic").take(pa.array(some)), *[pa.array(x, pa.int64()) for x in lows], pa.array(stems, pa.binary())], names=["toxic", "low1", "low2", "stems"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(b, np.uint32) for b in batch.column("stems").to_pylist()]
+            toxic = np.repeat(np.asarray(batch.column("toxic")), [len(f) for f in found])
+            stem, back = np.unique(np.concatenate([*found, np.zeros(0, np.uint32)]), return_inverse=True)
+            n, bad = np.bincount(back, minlength=len(stem)), np.bincount(back, weights=toxic, minlength=len(stem))
+            yield pa.RecordBatch.from_arrays([pa.array(stem.astype(np.int64)), pa.array(n), pa.array(bad.astype(np.int64))], names=["stem", "n", "bad"])
+
+    near = docs.join(F.broadcast(said), F.col("id") == F.col("label_id")).select("text", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"))
+    single = cut(near.mapInArrow(rows, "toxic int, low1 long, low2 long, stems binary").dropDuplicates(["low1"]).dropDuplicates(["low2"]))
+    total, toxic = single.agg(F.count("*"), F.sum("toxic")).head()
+    if not toxic or toxic == total:
+        return np.zeros(0, np.uint32)
+    counts = cut(single.select("toxic", "stems").mapInArrow(each, "stem long, n long, bad long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    # n times the divergence of the share among the stem's documents from the overall share bounds the chance
+    share, overall = F.col("bad") / F.col("n"), toxic / total
+    other = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - overall))).otherwise(0.0)
+    evidence = F.col("n") * (share * F.log(share / overall) + other)
+    least = float(np.log(max(1, counts.count()) / CHANCE))
+    chosen = counts.where(share >= PURE).where(evidence > least).orderBy(evidence.desc(), "stem").limit(ENTRIES)
+    return np.sort(np.array([r.stem for r in chosen.collect()], dtype=np.uint32))
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Scorer:
     """Fits on the votes of all documents and on a sample of at most about ``sample`` texts."""
     rows = bare(docs, key, text).toDF("id", "text")
 
+    cast = rows.select(F.col("id").cast("long").alias("id"), "text")
+    stems = np.zeros(0, np.uint32) if labels is None else learn_stems(cast, labels)
+
     def vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = patterns(votes(Shape(part.column("text")), np.zeros(part.num_rows, np.uint8)))
+                found = patterns(votes(Shape(part.column("text"), stems), np.zeros(part.num_rows, np.uint8)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found)], names=["id", "pattern"])
 
     # votes first, so that only ids and votes meet the labels in a shuffle
-    cast = rows.select(F.col("id").cast("long").alias("id"), "text")
     voted = cast.mapInArrow(vote_rows, "id long, pattern long")
     if labels is not None:
         said = _reviewed_docs(voted.select("id", F.col("pattern").cast("string").alias("text")), labels)
@@ -223,13 +280,13 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                shape = Shape(part.column("text"))
+                shape = Shape(part.column("text"), stems)
                 soft = [posterior.get(int(p), share) for p in patterns(votes(shape, np.asarray(part.column("reviewed"))))]
                 yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in features(shape)], pa.binary()), pa.array(soft, pa.float64())], names=["f", "soft"])
 
     sampled = _reviewed_docs(some, labels).mapInArrow(feature_rows, "f binary, soft double").orderBy("soft", "f").collect()
     weights, bias = train([np.frombuffer(r[0], np.int32) for r in sampled], np.array([r[1] for r in sampled]))
-    return Scorer(weights, bias, chances, share, posterior)
+    return Scorer(weights, bias, chances, share, posterior, stems)
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
