@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from engram.llm import decontaminate, html_extract, lm_scoring, quality, url_filter
@@ -126,6 +127,35 @@ def test_items_with_changed_words_are_found_and_clean_texts_are_not(spark):
     assert len(planted & found) >= 7 and {i for i, _ in found if i < 90_000} <= known
 
 
+def _made_text(rng, n):
+    return [f"w{int(5000 * rng.random() ** 2)}" for _ in range(n)]
+
+
+def _held(item, doc, idf):
+    """Brute force: whether the item's words stand in the document as the operator asks of a match."""
+    words = [decontaminate.split_words(pa.array([" ".join(x)])).hash for x in (item, doc)]
+    answer = sorted(set(words[0].tolist()), key=lambda h: (-idf[h >> 48], h))[: decontaminate.ANSWER_WORDS]
+    told = len(set(answer) & set(words[1].tolist())) / len(answer) >= decontaminate.ANSWERED
+    return told and decontaminate.common_subsequence(*words) >= decontaminate.COVERED * len(item)
+
+
+def test_large_benchmarks_lose_no_item(spark):
+    rng = random.Random(11)
+    items = [_made_text(rng, rng.randrange(15, 32)) for _ in range(700)]
+    docs = []
+    for k in range(0, 700, 10):
+        copy = list(items[k])
+        if k % 20:
+            for at in range(5, len(copy), 9):
+                copy[at] = "replaced"
+        docs.append(_made_text(rng, 30) + copy + _made_text(rng, 30))
+    table = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    idf = decontaminate.weights_of(decontaminate.token_bins(table))
+    wanted = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if (i == 10 * d or i % 70 == d) and _held(item, doc, idf)}
+    found = decontaminate.contaminated(table, spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()
+    assert len(wanted) >= 60 and {(r.doc_id, r.item_id) for r in found} == wanted
+
+
 def test_common_subsequence_is_the_longest():
     rng = np.random.default_rng(8)
     for _ in range(20):
