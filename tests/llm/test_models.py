@@ -156,6 +156,16 @@ def test_large_benchmarks_lose_no_item(spark):
     assert len(wanted) >= 60 and {(r.doc_id, r.item_id) for r in found} == wanted
 
 
+def test_long_items_are_found_whole_and_in_part(spark):
+    rng = random.Random(12)
+    items = [_made_text(rng, n) for n in (70, 200, 300, 400, 800)]
+    docs = [_made_text(rng, 40) + part + _made_text(rng, 40) for w in items for part in (w, w[len(w) // 2 :], w[7:47], w[-33:])] + [_made_text(rng, 400)]
+    table = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    found = decontaminate.contaminated(table, spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"))
+    got = [(r.doc_id, r.item_id) for r in found.collect()]
+    assert sorted(got) == [(k, k // 4) for k in range(20)]
+
+
 def test_common_subsequence_is_the_longest():
     rng = np.random.default_rng(8)
     for _ in range(20):
