@@ -166,6 +166,17 @@ def test_long_items_are_found_whole_and_in_part(spark):
     assert sorted(got) == [(k, k // 4) for k in range(20)]
 
 
+@pytest.mark.parametrize("item", ["a1 a2 a3 a4 a5 a6 a7 a8", "a1 a1 a1 a1"])
+def test_short_items_among_other_words_are_searched(item):
+    owners, words = decontaminate.item_passages([item])
+    idf = np.ones(decontaminate.BINS)
+    items = decontaminate.Items(owners, words, idf)
+    searcher = decontaminate.Searcher(idf, [7], [(items, np.eye(len(items.vocabulary), dtype=np.float32))])
+    other = [f"b{i}" for i in range(32 - len(item.split()))]
+    (found,) = searcher.find(pa.array([" ".join([*other[:9], item, *other[9:]])]))
+    assert found[:4] == (0, 0, 1.0, 1.0) and found[4] >= decontaminate.COSINE
+
+
 def test_common_subsequence_is_the_longest():
     rng = np.random.default_rng(8)
     for _ in range(20):
