@@ -10,8 +10,8 @@ the regularised leader with an L1 term).  The scorer judges every whole text.
 
 One labeller's lexicon is learnt, since abuse has other words in every language: from at most about
 ``LEXICON_LABELS`` reviewed documents, the word beginnings that stand in toxic ones only, as far as that can't
-be chance among all beginnings tested.  Documents that share a minimum of their words' hashes (copies and near
-copies) count once for it.
+be chance among all beginnings tested.  Copies and near copies, documents that share all minima of a band of
+hashes of their word triples, count once for it: the one of the smallest id.
 
 Defined results: null or empty texts have no features but the shape of an empty text and are judged like
 any other row; rows are judged alone, so repeated rows and null ids each get their own (equal) judgement;
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sparktools import bare, cut
-from .words import _hash_words, mix, range_sums, slices, split_words
+from .words import _hash_words, mix, range_sums, slices, split_words, window_hashes
 
 #: Abusive words of the lexicon labeller.
 ABUSE = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
@@ -38,6 +38,8 @@ SAMPLE = 20_000
 #: Reviewed documents that the learnt lexicon is drawn from, at most about; lengths (bytes) of its word
 #: beginnings; share of toxic documents among those that have one; the chance of a wrong entry; its entries.
 LEXICON_LABELS, STEMS, PURE, CHANCE, ENTRIES = 10_000, (4, 5, 6), 0.98, 0.01, 4096
+#: Bands of minima that tell near copies among those documents, minima in a band, words in a row that are hashed.
+BANDS, BAND, SHINGLE = 6, 5, 3
 DIMENSIONS = 1 << 18
 PREFIX = 6
 #: Documents whose score (log-odds of being good) is below this are rejected.
@@ -209,6 +211,26 @@ class Scorer:
         return np.array([self.weights[f].sum(dtype=np.float64) + self.bias for f in features(Shape(column, self.stems))])
 
 
+def _band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One number per band of a text's (word hashes) shingle minima, and one for all of them."""
+    shingles = window_hashes(hashes, min(SHINGLE, len(hashes)))
+    lows = [mix(shingles ^ np.uint64(salt)).min() for salt in range(1, BANDS * BAND + 1)]
+    out = np.zeros(BANDS + 1, dtype=np.uint64)
+    for k, low in enumerate(lows):
+        for at in (k // BAND, BANDS):
+            out[at : at + 1] = mix(out[at : at + 1] ^ low)
+    return out.view(np.int64)
+
+
+def single_documents(rows: DataFrame) -> DataFrame:
+    """One of each group of copies and near copies (id, toxic, keys, stems), at most about LEXICON_LABELS rows."""
+    whole = cut(rows.groupBy(F.element_at("keys", -1).alias("copy")).agg(F.min(F.struct("id", "toxic", "keys", "stems")).alias("r")).select("copy", "r.*"))
+    banded = whole.select(F.struct("id", "copy").alias("own"), F.posexplode(F.slice("keys", 1, BANDS)).alias("band", "key"))
+    shared = banded.groupBy("band", "key").agg(F.min("own").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = banded.join(F.broadcast(shared), ["band", "key"]).where("own > least").select("own.copy").distinct()
+    return whole.join(F.broadcast(later), "copy", "left_anti")
+
+
 def learn_stems(docs: DataFrame, labels: DataFrame, labelled: int = LEXICON_LABELS) -> np.ndarray:
     """Sorted hashes of word beginnings (docs: id, text) that mark toxic documents."""
     said = bare(labels, "doc_id", "toxic").where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"))
@@ -222,9 +244,10 @@ def learn_stems(docs: DataFrame, labels: DataFrame, labelled: int = LEXICON_LABE
                 begins = [(_hash_words(words.data, words.starts, np.minimum(words.starts + n, words.ends)) >> np.uint64(32)).astype(np.uint32) for n in STEMS]
                 some = np.flatnonzero(words.counts > 0)
                 spans = [(int(words.first[i]), int(words.first[i + 1])) for i in some]
-                lows = [[int(mix(words.hash[a:b] ^ np.uint64(salt)).min() >> np.uint64(1)) for a, b in spans] for salt in (1, 2)]
+                keys = [_band_keys(words.hash[a:b]).tolist() for a, b in spans]
                 stems = [np.unique(np.concatenate([h[a:b] for h in begins])).tobytes() for a, b in spans]
-                yield pa.RecordBatch.from_arrays([part.column("toxic").take(pa.array(some)), *[pa.array(x, pa.int64()) for x in lows], pa.array(stems, pa.binary())], names=["toxic", "low1", "low2", "stems"])
+                own = [part.column(c).take(pa.array(some)) for c in ("id", "toxic")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.list_(pa.int64())), pa.array(stems, pa.binary())], names=["id", "toxic", "keys", "stems"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,8 +257,8 @@ def learn_stems(docs: DataFrame, labels: DataFrame, labelled: int = LEXICON_LABE
             n, bad = np.bincount(back, minlength=len(stem)), np.bincount(back, weights=toxic, minlength=len(stem))
             yield pa.RecordBatch.from_arrays([pa.array(stem.astype(np.int64)), pa.array(n), pa.array(bad.astype(np.int64))], names=["stem", "n", "bad"])
 
-    near = docs.join(F.broadcast(said), F.col("id") == F.col("label_id")).select("text", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"))
-    single = cut(near.mapInArrow(rows, "toxic int, low1 long, low2 long, stems binary").dropDuplicates(["low1"]).dropDuplicates(["low2"]))
+    near = docs.join(F.broadcast(said), F.col("id") == F.col("label_id")).select("id", "text", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"))
+    single = cut(single_documents(near.mapInArrow(rows, "id long, toxic int, keys array<long>, stems binary")))
     total, toxic = single.agg(F.count("*"), F.sum("toxic")).head()
     if not toxic or toxic == total:
         return np.zeros(0, np.uint32)

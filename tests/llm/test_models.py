@@ -44,6 +44,25 @@ def test_expectation_maximisation_finds_reliable_labellers():
     assert chances[0, 1, quality.GOOD] > chances[8, 1, quality.GOOD] + 0.1
 
 
+def test_lexicon_learns_from_all_but_copies(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        words = [*(f"c{j}" for j in range(60)), *(f"w{rng.randrange(3000)}" for _ in range(15)), *(["xylonk"] if toxic else [])]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    # many near copies of one document are one piece of evidence
+    rows += [(1000 + i, f"{rows[0][1].replace('xylonk', 'copied')} {rows[0][1].replace('xylonk', 'copied')} n{i}", 1) for i in range(100)]
+    table = spark.createDataFrame(rows, "id long, text string, toxic int")
+    stems = quality.learn_stems(table.select("id", "text"), table.select(table.id.alias("doc_id"), "toxic"))
+
+    def known(word):
+        return all(int(quality.split_words(pa.array([word[:n]])).hash[0] >> np.uint64(32)) in stems.tolist() for n in quality.STEMS)
+
+    assert known("xylonk") and not known("copied")
+
+
 def test_base_scores_are_exact_and_the_model_beats_them(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: [*WORD.findall((r.text or "").lower() if (r.text or "").isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), r.text)), None] for r in docs.collect()}
