@@ -214,7 +214,7 @@ def q_gate_decision(spark, d):
 
 @query()
 def q_bootstrap_ci(spark, d):
-    return gate.bootstrap_interval(gate.cluster_means(_deltas(spark, d)), "validation", samples=500)
+    return gate.bootstrap_interval(gate.cluster_means(_deltas(spark, d)), "validation")
 
 
 _SPLIT = "p AS (SELECT who, row_number() OVER (ORDER BY sha256('split|' || who)) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS who FROM customer)), q AS (SELECT who, CASE WHEN n <= total - 2 * CAST(round_even(total * 0.2, 0) AS INT) THEN 'train' WHEN n <= total - CAST(round_even(total * 0.2, 0) AS INT) THEN 'validation' ELSE 'test' END AS part FROM p)"

@@ -145,3 +145,14 @@ def test_sections_and_patches(spark):
 def test_line_bag_diff(spark):
     old, new = (spark.createDataFrame([(1, t)], "k int, t string") for t in ("a\na\nb", "a\nb\nb\nc"))
     assert tuple(compare.line_bag_diff(old, new, "k", "t").head()) == (1, 2, 2, 1)
+
+
+def test_the_registered_interval_uses_all_resamples(spark, monkeypatch):
+    from engram.plans import queries
+
+    clusters = spark.createDataFrame([(f"c{i}", i * i / 10) for i in range(7)], "cluster string, mean_delta double")
+    monkeypatch.setattr(queries, "_deltas", lambda spark, d: None)
+    monkeypatch.setattr(queries.gate, "cluster_means", lambda deltas: clusters)
+    got = queries.q_bootstrap_ci(spark, "").head()
+    assert got == gate.bootstrap_interval(clusters, "validation", samples=2000).head()
+    assert got != gate.bootstrap_interval(clusters, "validation", samples=500).head()
