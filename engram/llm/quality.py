@@ -9,8 +9,8 @@ trains a linear scorer over hashed words, word beginnings and text-shape buckets
 the regularised leader with an L1 term).  The scorer judges every whole text.
 
 One labeller's lexicon is learnt, since abuse has other words in every language: from at most about
-``LEXICON_LABELS`` reviewed documents, the word beginnings that stand in toxic ones only, as far as that can't
-be chance among all beginnings tested.  Copies and near copies, documents that share all minima of a band of
+``LEXICON_LABELS`` reviewed documents, the word beginnings that stand, or stand densely, in toxic ones only, as
+far as that can't be chance among all beginnings tested.  Copies and near copies, documents that share all minima of a band of
 hashes of their word triples, count once for it: the one of the smallest id.
 
 Defined results: null or empty texts have no features but the shape of an empty text and are judged like
@@ -24,20 +24,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparktools import bare, cut
-from .words import _hash_words, mix, range_sums, slices, split_words, window_hashes
+from .sparktools import Scratch, bare, cut
+from .words import Words, _hash_words, mix, range_sums, slices, split_words, window_hashes
 
 #: Abusive words of the lexicon labeller.
 ABUSE = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
 
 SAMPLE = 20_000
+#: Passes over the sample; rows and bytes of features that one task learns from, at most about.
+EPOCHS, PART_ROWS, PART_BYTES = 6, 2_500, 32 << 20
 #: Reviewed documents that the learnt lexicon is drawn from, at most about; lengths (bytes) of its word
 #: beginnings; share of toxic documents among those that have one; the chance of a wrong entry; its entries.
 LEXICON_LABELS, STEMS, PURE, CHANCE, ENTRIES = 10_000, (4, 5, 6), 0.98, 0.01, 4096
+#: A beginning is dense in a text that has it twice or more, and once in so many words.
+DENSE = 128
 #: Bands of minima that tell near copies among those documents, minima in a band, words in a row that are hashed.
 BANDS, BAND, SHINGLE = 6, 5, 3
 DIMENSIONS = 1 << 18
@@ -64,6 +69,33 @@ def _abuse_hashes() -> np.ndarray:
 _ABUSIVE = _abuse_hashes()
 
 
+def _dense(h: np.ndarray) -> np.ndarray:
+    """Name of the item that says that a word beginning is dense in a text."""
+    return (mix(h.astype(np.uint64) + np.uint64(1 << 40)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _is_dense(count: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return (count >= 2) & (count * DENSE >= words)
+
+
+def _learnt(words: Words, beginnings: list[np.ndarray], stems: np.ndarray) -> np.ndarray:
+    """How many words of each text have a learnt beginning, or one that is learnt as dense and is dense there."""
+    def among(h: np.ndarray) -> np.ndarray:
+        return stems[np.minimum(np.searchsorted(stems, h), len(stems) - 1)] == h
+
+    any_word, dense = np.zeros(len(words.hash), dtype=bool), np.zeros(len(words.counts), dtype=np.int64)
+    owner = words.text_of
+    for h in beginnings:
+        h = (h >> np.uint64(32)).astype(np.uint32)
+        any_word |= among(h)
+        at = np.flatnonzero(among(_dense(h)))
+        pairs, n = np.unique(owner[at].astype(np.int64) << 32 | h[at], return_counts=True)
+        text = pairs >> 32
+        some = _is_dense(n, words.counts[text])
+        np.add.at(dense, text[some], n[some])
+    return range_sums(any_word, words.first) + dense
+
+
 class Shape:
     """Measures of each text of a slice, as one float array per name."""
 
@@ -91,12 +123,7 @@ class Shape:
         at = np.searchsorted(_ABUSIVE, bare_words)
         abusive = _ABUSIVE[np.minimum(at, len(_ABUSIVE) - 1)] == bare_words
         self.beginnings = [_hash_words(words.data, words.starts, np.minimum(words.starts + n, words.ends)) for n in STEMS]
-        learnt = np.zeros(len(words.hash), dtype=bool)
-        if stems is not None and len(stems):
-            for h in self.beginnings:
-                h = (h >> np.uint64(32)).astype(np.uint32)
-                learnt |= stems[np.minimum(np.searchsorted(stems, h), len(stems) - 1)] == h
-        self.learnt = range_sums(learnt, words.first)
+        self.learnt = _learnt(words, self.beginnings, stems) if stems is not None and len(stems) else np.zeros(len(words.counts), np.int64)
         self.n = words.counts
         self.symbols = range_sums(kind == 2, texts) / visible
         self.capitals = upper / np.maximum(ascii_letters, 1)
@@ -157,8 +184,8 @@ def estimate_labellers(pattern: np.ndarray, counts: np.ndarray, rounds: int = 10
     return good, np.exp(table), float(share)
 
 
-def features(shape: Shape) -> list[np.ndarray]:
-    """Distinct hashed features of each text: words, beginnings of longer words, buckets of the shape."""
+def features(shape: Shape, chosen: np.ndarray | None = None) -> list[np.ndarray]:
+    """Distinct hashed features of each text (or of the chosen ones): words, beginnings of longer words, buckets of the shape."""
     words = shape.words
     starts = shape.beginnings[STEMS.index(PREFIX)]
     low = (words.hash & np.uint64(DIMENSIONS - 1)).astype(np.int32)
@@ -169,36 +196,94 @@ def features(shape: Shape) -> list[np.ndarray]:
         axis=1,
     )
     buckets = ((np.arange(buckets.shape[1]) * 16 + buckets + 1) * 7919 % DIMENSIONS).astype(np.int32)
-    return [np.unique(np.concatenate((low[a:b], high[a:b], row))) for a, b, row in zip(words.first[:-1], words.first[1:], buckets, strict=True)]
+    rows = range(len(shape.n)) if chosen is None else chosen.tolist()
+    spans = [(int(words.first[i]), int(words.first[i + 1]), buckets[i]) for i in rows]
+    return [np.unique(np.concatenate((low[a:b], high[a:b], row))) for a, b, row in spans]
+
+
+class Learner:
+    """State of a logistic scorer with soft labels that follows the regularised leader (L1 and L2 terms)."""
+
+    RATE, L1, L2 = 0.3, 1.0, 1.0
+
+    def __init__(self, z: np.ndarray | None = None, n: np.ndarray | None = None, bias: float = 0.0):
+        self.z = np.zeros(DIMENSIONS) if z is None else z.astype(np.float64)
+        self.n = np.zeros(DIMENSIONS) if n is None else n.astype(np.float64)
+        self.bias = bias
 
+    def _lean(self, z: np.ndarray, root: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) <= self.L1, 0.0, -(z - np.sign(z) * self.L1) / ((1.0 + root) / self.RATE + self.L2))
 
-def train(rows: list[np.ndarray], soft: np.ndarray, epochs: int = 4, rate: float = 0.3, l1: float = 1.0, l2: float = 1.0, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer with soft labels, by the proximal follow-the-leader rule."""
-    z, n = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
-    bias = 0.0
-    order = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in order.permutation(len(rows)).tolist():
+    def learn(self, rows: list[np.ndarray], soft: np.ndarray, seed: int) -> None:
+        """One pass over the rows, in an order that the seed fixes."""
+        for i in np.random.default_rng(seed).permutation(len(rows)).tolist():
             f = rows[i]
-            zf, root = z[f], np.sqrt(n[f])
-            w = np.where(np.abs(zf) <= l1, 0.0, -(zf - np.sign(zf) * l1) / ((1.0 + root) / rate + l2))
-            g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -30, 30))) - soft[i]
-            z[f] = zf + g - (np.sqrt(n[f] + g * g) - root) / rate * w
-            n[f] += g * g
-            bias -= 0.02 * g
-    weights = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((1.0 + np.sqrt(n)) / rate + l2))
-    return weights.astype(np.float32), float(bias)
-
-
-def _reviewed_docs(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(id, text, reviewed): the labels' vote joined to each document."""
-    rows = docs.select("id", "text")
-    if labels is None:
-        return rows.withColumn("reviewed", F.lit(ABSTAIN))
-    said = bare(labels, "doc_id", "quality", "toxic").groupBy(F.col("doc_id").alias("label_id")).agg(
-        F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), BAD).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), GOOD).otherwise(ABSTAIN)).alias("reviewed")
-    )
-    return rows.join(said, F.col("id") == F.col("label_id"), "left").select("id", "text", F.coalesce("reviewed", F.lit(ABSTAIN)).alias("reviewed"))
+            z, n = self.z[f], self.n[f]
+            w = self._lean(z, np.sqrt(n))
+            g = 1 / (1 + np.exp(-np.clip(w.sum() + self.bias, -30, 30))) - soft[i]
+            self.z[f] = z + g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.RATE * w
+            self.n[f] = n + g * g
+            self.bias -= 0.02 * g
+
+    def weights(self) -> np.ndarray:
+        return self._lean(self.z, np.sqrt(self.n)).astype(np.float32)
+
+
+def _learn(given, seed: int):
+    """What a part's rows change of the common state: places, changes, and the bias."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        z, n, bias = given.value
+        own = Learner(z, n, bias)
+        group = group.sort_values(["f", "soft"], kind="stable")
+        own.learn([np.frombuffer(f, np.int32) for f in group["f"]], group["soft"].to_numpy(), seed + key[0])
+        at = np.flatnonzero(own.n != n)
+        change = [at.astype(np.int32), (own.z[at] - z[at]).astype(np.float32), (own.n[at] - n[at]).astype(np.float32)]
+        return pd.DataFrame({"at": [change[0].tobytes()], "z": [change[1].tobytes()], "n": [change[2].tobytes()], "bias": [own.bias - bias], "parts": [1]})
+
+    return run
+
+
+def _joined(group: pd.DataFrame) -> pd.DataFrame:
+    """Mean change of every place over the parts that changed it."""
+    z, n, had = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+    for r in group.sort_values("at").itertuples():
+        at = np.frombuffer(r.at, np.int32)
+        z[at] += np.frombuffer(r.z, np.float32)
+        n[at] += np.frombuffer(r.n, np.float32)
+        had[at] += 1
+    had = np.maximum(had, 1)
+    return pd.DataFrame({"z": [(z / had).astype(np.float32).tobytes()], "n": [(n / had).astype(np.float32).tobytes()], "bias": [group["bias"].sum() / len(group)]})
+
+
+def train(rows: DataFrame, epochs: int = EPOCHS, seed: int = 5) -> Learner:
+    """Trains on rows (f: features as bytes, soft) in tasks.
+
+    Rows are dealt by a hash of their features to parts of bounded rows and bytes, and in every epoch each part learns
+    from the common state; a feature's change is the mean over the parts that have it.  The parts' changes, sparse, are
+    joined in Spark; the driver gets one state of fixed size.
+    """
+    spark = rows.sparkSession
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("f")), F.lit(0))).head()
+    parts = max(1, -(-count // PART_ROWS), -(-size // PART_BYTES))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("f"), F.lit(parts)).cast("int"))
+    learner = Learner()
+    for epoch in range(epochs):
+        given = spark.sparkContext.broadcast((learner.z.astype(np.float32), learner.n.astype(np.float32), learner.bias))
+        changes = dealt.groupBy("part").applyInPandas(_learn(given, seed + 1000 * epoch), "at binary, z binary, n binary, bias double, parts int")
+        # one group of at most ``parts`` sparse states, a number that the sample bounds
+        moved = changes.groupBy("parts").applyInPandas(_joined, "z binary, n binary, bias double").head()
+        given.destroy()
+        if moved is None:
+            break
+        learner = Learner(learner.z + np.frombuffer(moved.z, np.float32), learner.n + np.frombuffer(moved.n, np.float32), learner.bias + moved.bias)
+    return learner
+
+
+def _reviews(labels: DataFrame) -> DataFrame:
+    """(label_id, reviewed): the labels' vote on each document that has one."""
+    vote = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), BAD).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), GOOD).otherwise(ABSTAIN)
+    return bare(labels, "doc_id", "quality", "toxic").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(vote).alias("reviewed"))
 
 
 class Scorer:
@@ -231,6 +316,15 @@ def single_documents(rows: DataFrame) -> DataFrame:
     return whole.join(F.broadcast(later), "copy", "left_anti")
 
 
+def _items(begins: list[np.ndarray]) -> np.ndarray:
+    """Word beginnings of a text, and the names of those that are dense in it."""
+    out = []
+    for h in begins:
+        stem, n = np.unique(h, return_counts=True)
+        out += [stem, _dense(stem[_is_dense(n, np.int64(len(h)))])]
+    return np.unique(np.concatenate(out))
+
+
 def learn_stems(docs: DataFrame, labels: DataFrame, labelled: int = LEXICON_LABELS) -> np.ndarray:
     """Sorted hashes of word beginnings (docs: id, text) that mark toxic documents."""
     said = bare(labels, "doc_id", "toxic").where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"))
@@ -245,7 +339,7 @@ def learn_stems(docs: DataFrame, labels: DataFrame, labelled: int = LEXICON_LABE
                 some = np.flatnonzero(words.counts > 0)
                 spans = [(int(words.first[i]), int(words.first[i + 1])) for i in some]
                 keys = [_band_keys(words.hash[a:b]).tolist() for a, b in spans]
-                stems = [np.unique(np.concatenate([h[a:b] for h in begins])).tobytes() for a, b in spans]
+                stems = [_items([h[a:b] for h in begins]).tobytes() for a, b in spans]
                 own = [part.column(c).take(pa.array(some)) for c in ("id", "toxic")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.list_(pa.int64())), pa.array(stems, pa.binary())], names=["id", "toxic", "keys", "stems"])
 
@@ -273,43 +367,42 @@ def learn_stems(docs: DataFrame, labels: DataFrame, labelled: int = LEXICON_LABE
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Scorer:
-    """Fits on the votes of all documents and on a sample of at most about ``sample`` texts."""
-    rows = bare(docs, key, text).toDF("id", "text")
+    """Fits on the votes of all documents and on a sample of at most about ``sample`` texts.
 
+    One pass over the texts gives every document's votes and the sampled documents' features.
+    """
+    rows = bare(docs, key, text).toDF("id", "text")
     cast = rows.select(F.col("id").cast("long").alias("id"), "text")
     stems = np.zeros(0, np.uint32) if labels is None else learn_stems(cast, labels)
+    lot = max(1, -(-rows.count() // sample))
 
     def vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = patterns(votes(Shape(part.column("text"), stems), np.zeros(part.num_rows, np.uint8)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found)], names=["id", "pattern"])
-
-    # votes first, so that only ids and votes meet the labels in a shuffle
-    voted = cast.mapInArrow(vote_rows, "id long, pattern long")
-    if labels is not None:
-        said = _reviewed_docs(voted.select("id", F.col("pattern").cast("string").alias("text")), labels)
-        voted = said.select((F.col("text").cast("long") + F.col("reviewed") * 3 ** (len(LABELLERS) - 1)).alias("pattern"))
-    tally = voted.groupBy("pattern").count().collect()  # at most 3 ** labellers rows
-    if not tally:
-        return Scorer(np.zeros(DIMENSIONS, np.float32), 0.0, np.zeros((len(LABELLERS), 2, 3)), 0.5, {})
-    pattern, counts = np.array([r[0] for r in tally]), np.array([r[1] for r in tally], dtype=float)
-    good, chances, share = estimate_labellers(pattern, counts)
-    posterior = dict(zip(pattern.tolist(), good.tolist(), strict=True))
-    total = int(counts.sum())
-    lot = max(1, -(-total // sample))
-    some = cast.where(F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(lot)) == 0)
-
-    def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 shape = Shape(part.column("text"), stems)
-                soft = [posterior.get(int(p), share) for p in patterns(votes(shape, np.asarray(part.column("reviewed"))))]
-                yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in features(shape)], pa.binary()), pa.array(soft, pa.float64())], names=["f", "soft"])
-
-    sampled = _reviewed_docs(some, labels).mapInArrow(feature_rows, "f binary, soft double").orderBy("soft", "f").collect()
-    weights, bias = train([np.frombuffer(r[0], np.int32) for r in sampled], np.array([r[1] for r in sampled]))
-    return Scorer(weights, bias, chances, share, posterior, stems)
+                found = patterns(votes(shape, np.zeros(part.num_rows, np.uint8)))
+                chosen = np.flatnonzero(np.asarray(part.column("chosen").to_numpy(zero_copy_only=False)))
+                own: list[bytes | None] = [None] * part.num_rows
+                for i, f in zip(chosen.tolist(), features(shape, chosen), strict=True):
+                    own[i] = f.tobytes()
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found), pa.array(own, pa.binary())], names=["id", "pattern", "f"])
+
+    picked = cast.withColumn("chosen", F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(lot)) == 0)
+    with Scratch(docs.sparkSession) as scratch:
+        # votes first, so that only ids and votes meet the labels in a shuffle
+        voted = scratch.save(picked.mapInArrow(vote_rows, "id long, pattern long, f binary"))
+        if labels is not None:
+            said = voted.join(_reviews(labels), F.col("id") == F.col("label_id"), "left")
+            voted = scratch.save(said.select((F.col("pattern") + F.coalesce("reviewed", F.lit(ABSTAIN)) * 3 ** (len(LABELLERS) - 1)).alias("pattern"), "f"))
+        tally = voted.groupBy("pattern").count().collect()  # at most 3 ** labellers rows
+        if not tally:
+            return Scorer(np.zeros(DIMENSIONS, np.float32), 0.0, np.zeros((len(LABELLERS), 2, 3)), 0.5, {})
+        pattern, counts = np.array([r[0] for r in tally]), np.array([r[1] for r in tally], dtype=float)
+        good, chances, share = estimate_labellers(pattern, counts)
+        posterior = dict(zip(pattern.tolist(), good.tolist(), strict=True))
+        soft = docs.sparkSession.createDataFrame(list(posterior.items()), "pattern long, soft double")  # as small as the tally
+        learner = train(voted.where("f IS NOT NULL").join(F.broadcast(soft), "pattern").select("f", "soft"))
+    return Scorer(learner.weights(), learner.bias, chances, share, posterior, stems)
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
