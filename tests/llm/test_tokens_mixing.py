@@ -1,6 +1,7 @@
 """Operators 3 and 1: counts equal the library's; the mix meets its targets and repeats."""
 
 import json
+import math
 from collections import Counter
 
 import public_tokenizers
@@ -61,10 +62,39 @@ def test_sources_meet_their_targets_and_shards_hold_every_draw(spark):
     assert mixing.mix_sources(docs, shards=4).select("mix_shard").distinct().count() == 4
 
 
-def test_tree_deals_draws_evenly(spark):
-    draws = spark.range(1000).select(F.lit(1).alias("sid"), F.col("id").cast("int").alias("block"), F.lit(0).cast("long").alias("epoch"))
-    sizes = [r["count"] for r in mixing.split_tree(draws, 8, "s").groupBy("shard").count().collect()]
-    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 1
+def test_leaves_hold_every_draw_once_and_shards_are_even(spark):
+    quotas = [(1, 5003), (2, 11), (3, 0), (4, 800), (600, 77), (1200, 4000)]
+    leaves = mixing.split_quotas(spark.createDataFrame(quotas, "sid int, quota long"), 16, "s").collect()
+    by_source, by_shard = Counter(), Counter()
+    for r in sorted(leaves, key=lambda r: (r.sid, r.shard)):
+        assert r.start == by_source[r.sid] and r.n >= 0
+        by_source[r.sid] += r.n
+        by_shard[r.shard] += r.n
+    assert by_source == Counter({s: q for s, q in quotas if q})
+    assert len(by_shard) == 16 and max(by_shard.values()) - min(by_shard.values()) <= 1
+
+
+@pytest.mark.parametrize(("good", "pool", "need"), [(3, 10, 4), (40, 100, 50), (5, 5, 2), (1, 1000, 500), (7, 12, 12)])
+def test_counts_are_hypergeometric(spark, good, pool, need):
+    n = 4000
+    drawn = spark.range(n).select(F.expr(mixing.hypergeometric(f"{good}L", f"{pool}L", f"{need}L", f"(id + 0.5D) / {n}")).alias("x"))
+    got = {r.x: r["count"] / n for r in drawn.groupBy("x").count().collect()}
+    want = {x: math.comb(good, x) * math.comb(pool - good, need - x) / math.comb(pool, need) for x in range(max(0, need + good - pool), min(good, need) + 1)}
+    assert all(abs(got.get(x, 0) - p) <= 2 / n for x, p in want.items()) and set(got) <= set(want)
+
+
+def test_rows_that_share_an_id_or_have_none_take_their_own_words(spark):
+    rows = [(i // 3 if i % 4 else None, " ".join(["w"] * (i % 7 + 1)), "ab"[i % 2]) for i in range(2000)]
+    rows += [(5, "same text here", "a")] * 40 + [(None, "no id at all", "b")] * 40 + [(None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.taken_words(docs).collect()
+    mixed = mixing.mix_sources(docs).groupBy("source").agg(F.sum("mix_words").alias("n")).collect()
+    words = Counter()
+    for r in taken:
+        assert 0 <= r.taken <= 3 * r.size
+        words[r.source] += r.taken
+    assert {r.source: r.n for r in mixed} == words
+    assert all(abs(words[r.source] - r.target) <= 1 for r in taken)
 
 
 def test_fixed_vocabulary_is_a_parameter():
