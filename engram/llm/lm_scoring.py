@@ -1,13 +1,13 @@
 """Scores of whole texts under a gated recurrent language model, and under a unigram base (operator 6).
 
 Tokens are lower-cased words and one end mark.  The training part of the corpus gives every token's count,
-the base model, and the vocabulary of a class-factored output softmax: the most frequent words and the end
-mark are classes of their own, every other word belongs to the class of its ending.  P(token) is
-P(class | state) P(token | class); the class softmax is driven by the recurrent state, inside a class
-tokens go by their (smoothed) counts, an unseen token sharing the class's place for unseen ones.
+the base model, and the vocabulary of a class-factored output softmax: a word's class follows from its ending, the
+end mark is a class of its own.  P(token) is P(class | state) P(slot | class, state): the ``SLOTS`` - 1 most frequent
+words of a class have a slot each, driven by the state like the class itself; all other words of a class share its
+last slot and go by their (smoothed) counts in it, an unseen token taking the slot's place for unseen ones.
 
-The recurrent cell is gated and steps once per ``TICK`` tokens: the state after all steps so far predicts
-the next step's tokens, which then are its input.  It is trained in numpy by back-propagation truncated
+The recurrent cell is gated and steps once per token: the state after all tokens so far predicts the next one, which
+then is its input.  It is trained in numpy by back-propagation truncated
 to ``WINDOW`` steps, over every training document once: in each of ``ROUNDS`` rounds every task starts
 from the common weights, trains on its share of that round's documents, and Spark averages the tasks'
 weights.  Documents are packed into parallel streams; the state is carried across windows to a document's
@@ -17,7 +17,8 @@ Counts of frequent words (at most ``FREQUENT`` words can be that frequent) are b
 joined by shuffle, so nothing that grows with the vocabulary is held in one place.
 
 Defined results: null and empty texts are the end mark alone; a null id belongs to the training part;
-repeated rows count and are scored each; without training documents every token is unseen and the class
+repeated rows count and are scored each; a very long text is scored whole, its state carried from window to window;
+without training documents every token is unseen and the class
 probabilities are equal; other columns are not read.
 """
 
@@ -36,13 +37,17 @@ from .words import Words, chunks, mix, slices, split_words
 
 #: Words with at least 1 / FREQUENT of all training tokens have their counts broadcast.
 FREQUENT = 1 << 20
-#: Single-word classes, classes of endings, and the end mark's.
-SINGLE, ENDINGS = 96, 159
-CLASSES = SINGLE + ENDINGS + 1
-END_CLASS = CLASSES - 1
-TICK, WINDOW, STREAMS = 4, 16, 128
-EMBED, HIDDEN = 24, 32
+#: Classes of endings and, last, the end mark's; slots of a class, the last for all words without one of their own.
+CLASSES, SLOTS = 32, 64
+ENDINGS, REST = CLASSES - 1, SLOTS - 1
+#: Codes are class * SLOTS + slot; the last one stands for no token.
+CODES = CLASSES * SLOTS
+END_CODE = ENDINGS * SLOTS
+WINDOW, STREAMS = 16, 512
+EMBED, HIDDEN = 12, 16
 ROUNDS, RATE, SEED = 3, 0.01, 11
+#: Damps the steps of weights that rarely have a gradient.
+DAMP = 1e-3
 #: Tokens that a task packs into streams at once.
 HELD = 1 << 20
 _TREE = 16
@@ -84,25 +89,32 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Counts of the frequent words, classes, and the denominators of both models."""
+    """Counts of the frequent words, their codes, and the denominators of both models."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, endings: np.ndarray, tokens: int, kinds: int, docs: int, mass: np.ndarray, types: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.counts, self.endings = hashes[order], counts[order], endings[order]
         self.tokens, self.docs = tokens, docs
         self.base_total = tokens + 0.5 * (kinds + 1)
-        ranked = np.lexsort((self.hashes, -self.counts))[:SINGLE]
-        self.classes = SINGLE + self.endings
-        self.classes[ranked] = np.arange(len(ranked))
-        mass, types = mass.astype(float), types.astype(float)
-        np.subtract.at(mass, self.endings[ranked], self.counts[ranked])
-        np.subtract.at(types, self.endings[ranked], 1.0)
-        self.ending_total = mass + 0.5 * (types + 1)
-        share = np.zeros(CLASSES)
-        share[: len(ranked)] = self.counts[ranked]
-        share[SINGLE : SINGLE + ENDINGS] = mass
-        share[END_CLASS] = docs
-        self.log_share = np.log((share + 0.5) / (share.sum() + 0.5 * CLASSES))
+        # a class's most frequent words get its slots
+        ranked = np.lexsort((self.hashes, -self.counts, self.endings))
+        first = np.searchsorted(self.endings[ranked], np.arange(ENDINGS + 1))
+        nth = np.arange(len(ranked)) - np.repeat(first[:-1], np.diff(first)) if len(ranked) else np.zeros(0, np.int64)
+        self.codes = np.empty(len(ranked), dtype=np.int64)
+        self.codes[ranked] = self.endings[ranked] * SLOTS + np.minimum(nth, REST)
+        share = np.zeros((CLASSES, SLOTS))
+        np.add.at(share.ravel(), self.codes[self.codes % SLOTS < REST], self.counts[self.codes % SLOTS < REST])
+        rest_types = types.astype(float) - (share[:ENDINGS, :REST] > 0).sum(axis=1)
+        share[:ENDINGS, REST] = mass - share[:ENDINGS, :REST].sum(axis=1)
+        self.rest_total = share[:ENDINGS, REST] + 0.5 * (rest_types + 1)
+        share[ENDINGS, 0] = docs
+        classes = share.sum(axis=1)
+        self.log_class = np.log((classes + 0.5) / (classes.sum() + 0.5 * CLASSES))
+        self.log_slot = np.full((CLASSES, SLOTS), NEVER)
+        for c in range(CLASSES):
+            used = share[c] > 0
+            used[0 if c == ENDINGS else REST] = True
+            self.log_slot[c, used] = np.log((share[c, used] + 0.5) / (share[c, used] + 0.5).sum())
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word among the frequent ones, -1 outside."""
@@ -112,69 +124,86 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
+_RARE = np.dtype([("h", np.int64), ("ending", np.int64), ("m", np.int64)])
+
+
 def _encode(shared):
-    """A row per document (its classes, sums over frequent tokens) and a row per rare word of it."""
+    """A row per document: its codes, sums over its frequent tokens, and its rare words (packed)."""
     schema = pa.schema([
         ("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
-        ("base", pa.float64()), ("inner", pa.float64()), ("classes", pa.binary()), ("h", pa.int64()), ("ending", pa.int64()), ("m", pa.int64()),
+        ("base", pa.float64()), ("inner", pa.float64()), ("codes", pa.binary()), ("rare", pa.binary()),
     ])
 
-    def rows(n: int, **given) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 words = split_words(part.column("text"), lower=True)
-                uid = np.asarray(part.column("uid"))
                 distinct, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
                 place = v.find(distinct)
                 ending = ending_class(words)[at] if len(at) else np.zeros(0, np.int64)
                 found = place >= 0
                 count = np.where(found, v.counts[np.maximum(place, 0)] if len(v.counts) else 0, 0).astype(float)
-                kind = np.where(found, v.classes[np.maximum(place, 0)] if len(v.classes) else 0, SINGLE + ending)
+                code = np.where(found, v.codes[np.maximum(place, 0)] if len(v.codes) else 0, ending * SLOTS + REST)
                 base = np.where(found, np.log10((count + 0.5) / v.base_total), 0.0)
-                inner = np.where(found & (kind >= SINGLE), np.log10((count + 0.5) / v.ending_total[ending]), 0.0)
-                total = np.concatenate(([0.0], np.cumsum(base[back])))
-                inside = np.concatenate(([0.0], np.cumsum(inner[back])))
-                known = np.concatenate(([0], np.cumsum(found[back])))
+                inner = np.where(found & (code % SLOTS == REST), np.log10((count + 0.5) / v.rest_total[ending]), 0.0)
                 a, b = words.first[:-1], words.first[1:]
-                coded = kind[back].astype(np.uint16)
-                mark = np.array([END_CLASS], dtype=np.uint16).tobytes()
+                sums = [np.concatenate(([0.0], np.cumsum(x[back]))) for x in (base, inner, found)]
+                base, inner, known = (x[b] - x[a] for x in sums)
+                coded = code[back].astype(np.uint16)
+                mark = np.array([END_CODE], dtype=np.uint16).tobytes()
                 end = np.log10((v.docs + 0.5) / v.base_total)
-                yield rows(
-                    len(uid), uid=uid, doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=words.counts + 1,
-                    known=known[b] - known[a] + int(v.docs > 0), base=total[b] - total[a] + end, inner=inside[b] - inside[a],
-                    classes=[coded[i:j].tobytes() + mark for i, j in zip(a.tolist(), b.tolist(), strict=True)],
+                unknown = np.flatnonzero(~found[back])
+                pairs, m = np.unique(words.text_of[unknown].astype(np.int64) * max(1, len(distinct)) + back[unknown], return_counts=True)
+                rare = np.empty(len(pairs), dtype=_RARE)
+                which, owner = pairs % max(1, len(distinct)), pairs // max(1, len(distinct))
+                rare["h"], rare["ending"], rare["m"] = distinct[which].view(np.int64), ending[which], m
+                cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("uid"), part.column("doc_id"), part.column("held_out"), pa.array(words.counts + 1, pa.int64()),
+                        pa.array(known.astype(np.int64) + int(v.docs > 0)), pa.array(base + end), pa.array(inner),
+                        pa.array([coded[i:j].tobytes() + mark for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary()),
+                        pa.array([rare[i:j].tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()),
+                    ],
+                    schema=schema,
                 )
-                rare = np.flatnonzero(~found[back])
-                if len(rare):
-                    pairs, m = np.unique(words.text_of[rare].astype(np.int64) * len(distinct) + back[rare], return_counts=True)
-                    which = pairs % len(distinct)
-                    yield from chunks(rows(len(pairs), uid=uid[pairs // len(distinct)], h=distinct[which].view(np.int64), ending=ending[which], m=m))
 
     return run
 
 
-_ENCODED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, classes binary, h long, ending long, m long"
+_ENCODED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, codes binary, rare binary"
+
+
+def _rare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, h, ending, m) of every rare word of a document."""
+    for batch in batches:
+        uid = np.asarray(batch.column("uid"))
+        for at in range(0, batch.num_rows, 256):
+            packed = [np.frombuffer(r, _RARE) for r in batch.column("rare").slice(at, 256).to_pylist()]
+            rows = np.concatenate([np.zeros(0, _RARE), *packed])
+            owner = np.repeat(uid[at : at + len(packed)], [len(r) for r in packed])
+            yield from chunks(pa.RecordBatch.from_arrays([pa.array(owner), *[pa.array(np.ascontiguousarray(rows[c])) for c in _RARE.names]], names=["uid", *_RARE.names]))
 
 
 # The recurrent model ------------------------------------------------------------------------------
 
-_SHAPES = (("embed", (CLASSES + 1, EMBED)), ("into", (EMBED, 3 * HIDDEN)), ("again", (HIDDEN, 3 * HIDDEN)), ("gate", (3 * HIDDEN,)), ("out", (HIDDEN, CLASSES)), ("lean", (CLASSES,)))
+#: Stands for the logarithm of 0 where a slot has no word.
+NEVER = -30.0
+_SHAPES = (
+    ("embed", (CODES + 1, EMBED)), ("into", (EMBED, 3 * HIDDEN)), ("again", (HIDDEN, 3 * HIDDEN)), ("gate", (3 * HIDDEN,)),
+    ("out", (HIDDEN, CLASSES)), ("lean", (CLASSES,)), ("inner", (CLASSES, HIDDEN, SLOTS)), ("inner_lean", (CLASSES, SLOTS)),
+)
+SIZE = sum(int(np.prod(s)) for _, s in _SHAPES)
 
 
-def fresh_weights(log_share: np.ndarray, seed: int = SEED) -> np.ndarray:
+def fresh_weights(log_class: np.ndarray, log_slot: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Weights that start from the unigram shares of classes and slots."""
     rng = np.random.default_rng(seed)
-    parts = []
-    for name, shape in _SHAPES:
-        if name == "lean":
-            parts.append(log_share.astype(np.float32))
-        else:
-            scale = {"gate": 0.0, "out": 0.05, "embed": 0.3}.get(name, 0.2)
-            parts.append((rng.standard_normal(shape) * scale).astype(np.float32).ravel())
-    return np.concatenate(parts)
+    given = {"lean": log_class, "inner_lean": log_slot}
+    scale = {"gate": 0.0, "out": 0.05, "inner": 0.02, "embed": 0.3}
+    parts = [given[name].ravel() if name in given else (rng.standard_normal(shape) * scale.get(name, 0.2)).ravel() for name, shape in _SHAPES]
+    return np.concatenate(parts).astype(np.float32)
 
 
 def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -183,7 +212,7 @@ def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
         size = int(np.prod(shape))
         out[name] = flat[at : at + size].reshape(shape)
         at += size
-    out["embed"][CLASSES] = 0.0  # stands for no token
+    out["embed"][CODES] = 0.0  # stands for no token
     return out
 
 
@@ -191,44 +220,75 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1.0)
 
 
+def _softmax(logits: np.ndarray, picked: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of each row's picked column; if asked for, the logits become the loss's slopes."""
+    np.minimum(logits, 60.0, out=logits)  # far beyond what the cell can give; keeps the sums finite
+    at = (np.arange(len(logits)), picked)
+    own = logits[at]
+    np.exp(logits, out=logits)
+    norm = logits @ np.ones(logits.shape[1], np.float32)
+    if learn:
+        logits *= (1.0 / norm)[:, None]
+        logits[at] -= 1.0
+    return logits, own - np.log(norm)
+
+
 def window_pass(w: dict[str, np.ndarray], ids: np.ndarray, begins: np.ndarray, state: np.ndarray, learn: bool):
-    """One window of steps: log-probability of every step's tokens (steps x streams), the state after it
-    and, if asked for, the gradient of the summed negative log-probability."""
-    steps, streams, tick = ids.shape
-    real = ids < CLASSES
-    n = real.sum(axis=2).astype(np.float32)
-    x = w["embed"][ids].sum(axis=2) / np.maximum(n, 1.0)[:, :, None]
+    """One window of steps: log-probability of every step's token (steps x streams; 0 where none is), the state after
+    it and, if asked for, the gradient of the summed negative log-probability."""
+    steps, streams = ids.shape
+    real = ids < CODES
+    x = w["embed"][ids]
     drive = x @ w["into"] + w["gate"]
     hs = np.empty((steps, streams, HIDDEN), np.float32)
     keep = []
     h = state
     for t in range(steps):
-        h = h * ~begins[t][:, None]
+        if begins[t].any():
+            h = h * ~begins[t][:, None]
         hs[t] = h
         g = h @ w["again"]
         zr = _sigmoid(drive[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        c = np.tanh(drive[t, :, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-        on = n[t][:, None] > 0
-        keep.append((z, r, c, g[:, 2 * HIDDEN :], on))
-        h = np.where(on, (1 - z) * c + z * h, h)
-    flat = hs.reshape(-1, HIDDEN)
-    logits = flat @ w["out"] + w["lean"]
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    norm = p.sum(axis=1, keepdims=True)
-    picked = np.take_along_axis(logits, np.minimum(ids.reshape(-1, tick), CLASSES - 1), axis=1)
-    logp = (np.where(real.reshape(-1, tick), picked, 0.0).sum(axis=1) - n.ravel() * np.log(norm[:, 0])).reshape(steps, streams)
+        gc = g[:, 2 * HIDDEN :]
+        c = np.tanh(drive[t, :, 2 * HIDDEN :] + r * gc)
+        on = real[t][:, None]
+        if learn:
+            keep.append((z, r, c, gc, on))
+        h = np.where(on, c + z * (h - c), h)
+    # tokens by class, so that a class's slots are one product
+    place = np.flatnonzero(real.ravel())
+    code = ids.ravel()[place]
+    order = np.argsort(code // SLOTS, kind="stable")
+    place, code = place[order], code[order]
+    kind, slot = code // SLOTS, code % SLOTS
+    flat = hs.reshape(-1, HIDDEN)[place]
+    p, own = _softmax(flat @ w["out"] + w["lean"], kind, learn)
+    bounds = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    grad = np.zeros(SIZE, np.float32) if learn else None
+    if learn:
+        d = _views(grad)
+        d["out"][...] = flat.T @ p
+        d["lean"][...] = p.sum(axis=0)
+        dflat = p @ w["out"].T
+    for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if a == b or c == ENDINGS:  # the end mark is alone in its class
+            continue
+        hc = flat[a:b]
+        q, inside = _softmax(hc @ w["inner"][c] + w["inner_lean"][c], slot[a:b], learn)
+        own[a:b] += inside
+        if learn:
+            d["inner"][c] = hc.T @ q
+            d["inner_lean"][c] = q.sum(axis=0)
+            dflat[a:b] += q @ w["inner"][c].T
+    logp = np.zeros(steps * streams, np.float32)
+    logp[place] = own
+    logp = logp.reshape(steps, streams)
     if not learn:
         return logp, h, None
-    p *= n.reshape(-1, 1) / norm
-    rows = np.repeat(np.arange(len(p)), tick)[real.ravel()]
-    np.subtract.at(p.ravel(), rows * CLASSES + ids.ravel()[real.ravel()], np.float32(1.0))
-    grad = np.zeros(sum(int(np.prod(s)) for _, s in _SHAPES), np.float32)
-    d = _views(grad)
-    d["out"][...] = flat.T @ p
-    d["lean"][...] = p.sum(axis=0)
-    dhs = (p @ w["out"].T).reshape(steps, streams, HIDDEN)
+    dhs = np.zeros((steps * streams, HIDDEN), np.float32)
+    dhs[place] = dflat
+    dhs = dhs.reshape(steps, streams, HIDDEN)
     dh = np.zeros((streams, HIDDEN), np.float32)
     ddrive = np.empty((steps, streams, 3 * HIDDEN), np.float32)
     for t in range(steps - 1, -1, -1):
@@ -237,64 +297,66 @@ def window_pass(w: dict[str, np.ndarray], ids: np.ndarray, begins: np.ndarray, s
         dc = up * (1 - z) * (1 - c * c)
         dz = up * (hs[t] - c) * z * (1 - z)
         dr = dc * gc * r * (1 - r)
-        ddrive[t] = np.concatenate((dz, dr, dc), axis=1)
+        ddrive[t, :, :HIDDEN], ddrive[t, :, HIDDEN : 2 * HIDDEN], ddrive[t, :, 2 * HIDDEN :] = dz, dr, dc
         dg = np.concatenate((dz, dr, dc * r), axis=1)
         d["again"] += hs[t].T @ dg
-        dh = (up * z + dh * ~on + dg @ w["again"].T + dhs[t]) * ~begins[t][:, None]
+        dh = up * z + dh * ~on + dg @ w["again"].T + dhs[t]
+        if begins[t].any():
+            dh = dh * ~begins[t][:, None]
     flat_drive = ddrive.reshape(-1, 3 * HIDDEN)
     d["into"][...] = x.reshape(-1, EMBED).T @ flat_drive
     d["gate"][...] = flat_drive.sum(axis=0)
-    dx = (flat_drive @ w["into"].T) / np.maximum(n, 1.0).reshape(-1, 1)
+    dx = flat_drive @ w["into"].T
     # gradient of the embeddings: steps' inputs summed by token
     order = np.argsort(ids.ravel(), kind="stable")
     tokens = ids.ravel()[order]
     first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-    d["embed"][tokens[first]] = np.add.reduceat(dx[order // tick], first, axis=0)
-    d["embed"][CLASSES] = 0.0
+    d["embed"][tokens[first]] = np.add.reduceat(dx[order], first, axis=0)
+    d["embed"][CODES] = 0.0
     return logp, h, grad
 
 
 def pack(texts: list[np.ndarray], streams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts laid into streams, longest first into the emptiest: tokens (steps, streams, TICK), begin
-    marks, and each step's text (-1: none)."""
+    """Texts laid into streams, longest first into the emptiest: tokens (steps, streams), begin marks, and each
+    step's text (-1: none)."""
     import heapq
 
-    size = [-(-len(t) // TICK) for t in texts]
     heap = [(0, s) for s in range(streams)]
     put = []
-    for i in sorted(range(len(texts)), key=lambda i: (-size[i], i)):
+    for i in sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i)):
         used, s = heapq.heappop(heap)
         put.append((i, used, s))
-        heapq.heappush(heap, (used + size[i], s))
+        heapq.heappush(heap, (used + len(texts[i]), s))
     steps = max(used for used, _ in heap)
-    ids = np.full((streams, steps * TICK), CLASSES, dtype=np.int64)
-    begins, owner = np.zeros((streams, steps), dtype=bool), np.full((streams, steps), -1)
+    ids = np.full((streams, steps), CODES, dtype=np.int32)
+    begins, owner = np.zeros((streams, steps), dtype=bool), np.full((streams, steps), -1, dtype=np.int32)
     for i, used, s in put:
-        ids[s, used * TICK : used * TICK + len(texts[i])] = texts[i]
+        ids[s, used : used + len(texts[i])] = texts[i]
         begins[s, used] = True
-        owner[s, used : used + size[i]] = i
-    return ids.reshape(streams, steps, TICK).swapaxes(0, 1), begins.T, owner.T
+        owner[s, used : used + len(texts[i])] = i
+    return np.ascontiguousarray(ids.T), np.ascontiguousarray(begins.T), np.ascontiguousarray(owner.T)
 
 
-def _streams_for(tokens: int) -> int:
-    """Fewer streams for little text, so that it still gives enough updates."""
-    return int(np.clip(tokens // (WINDOW * TICK * 40), 4, STREAMS))
+def _streams_for(texts: list[np.ndarray], most: int = STREAMS) -> int:
+    """Fewer streams for little text, and none that only waits for one very long text."""
+    tokens = sum(map(len, texts))
+    return int(np.clip(min(tokens // (WINDOW * 40), 2 * tokens // max(map(len, texts))), 16, most))
 
 
 def train_texts(flat: np.ndarray, texts: list[np.ndarray], rate: float) -> np.ndarray:
     """One pass of truncated back-propagation (Adam) over the texts, from and to flat weights."""
     flat = flat.copy()
-    ids, begins, _ = pack(texts, _streams_for(sum(map(len, texts))))
+    ids, begins, _ = pack(texts, _streams_for(texts))
     state = np.zeros((ids.shape[1], HIDDEN), np.float32)
     m, v = np.zeros_like(flat), np.zeros_like(flat)
     for k, at in enumerate(range(0, len(ids), WINDOW)):
         part = ids[at : at + WINDOW]
-        w = _views(flat)
-        _, state, grad = window_pass(w, part, begins[at : at + WINDOW], state, True)
-        grad /= max(1, int((part < CLASSES).sum()))
+        _, state, grad = window_pass(_views(flat), part, begins[at : at + WINDOW], state, True)
+        grad /= max(1, int((part < CODES).sum()))
         m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        flat -= rate * (m / (1 - 0.9 ** (k + 1))) / (np.sqrt(v / (1 - 0.99 ** (k + 1))) + 1e-6)
+        grad *= grad
+        v += 0.01 * (grad - v)
+        flat -= (rate / (1 - 0.9 ** (k + 1))) * m / (np.sqrt(v / (1 - 0.99 ** (k + 1))) + DAMP)
     return flat
 
 
@@ -304,7 +366,7 @@ def _train_task(weights, rate: float):
         texts: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for raw in batch.column("classes").to_pylist():
+            for raw in batch.column("codes").to_pylist():
                 texts.append(np.frombuffer(raw, np.uint16))
                 held += len(texts[-1])
                 if held > HELD:
@@ -326,22 +388,24 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
 def fit(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
     """Weights trained on every training text once; tasks' weights are averaged in Spark after each round."""
     sc = encoded.sparkSession.sparkContext
-    flat = fresh_weights(vocabulary.log_share)
-    train = encoded.where("classes IS NOT NULL AND NOT held_out").select("uid", "classes")
+    flat = fresh_weights(vocabulary.log_class, vocabulary.log_slot)
+    train = encoded.where("NOT held_out").select("uid", "codes")
     for k in range(rounds):
-        share = train.where(F.pmod(F.xxhash64("uid"), F.lit(rounds)) == k).select("classes")
-        tasks = share.mapInArrow(_train_task(sc.broadcast(flat), rate / (1 + k)), "seen double, flat binary")
+        share = train.where(F.pmod(F.xxhash64("uid"), F.lit(rounds)) == k).select("codes")
+        given = sc.broadcast(flat)
+        tasks = share.mapInArrow(_train_task(given, rate / (1 + k)), "seen double, flat binary")
         grouped = tasks.withColumn("branch", F.pmod(F.xxhash64("flat"), F.lit(_TREE))).groupBy("branch").applyInPandas(_average, "seen double, flat binary")
         done = grouped.collect()  # at most _TREE rows
+        given.destroy()
         if done:
             flat = np.frombuffer(_average(pd.DataFrame(done, columns=["seen", "flat"]))["flat"][0], np.float32).copy()
     return flat
 
 
 def text_scores(flat: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each text's classes, state carried through the whole text."""
+    """log10 probability of each text's codes, state carried through the whole text."""
     w = _views(flat.copy())
-    ids, begins, owner = pack(texts, min(STREAMS, max(1, len(texts))))
+    ids, begins, owner = pack(texts, min(len(texts), max(1, _streams_for(texts))))
     state = np.zeros((ids.shape[1], HIDDEN), np.float32)
     out = np.zeros(len(texts))
     for at in range(0, len(ids), WINDOW):
@@ -352,24 +416,33 @@ def text_scores(flat: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     return out / np.log(10)
 
 
+_SCORED = ("uid", "doc_id", "held_out", "n_tokens", "known", "base", "inner")
+
+
 def _score_task(weights):
+    """A document's row with its score in place of its codes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uids: list[int] = []
+        kept: list[pa.RecordBatch] = []
         texts: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(text_scores(weights.value, texts))], names=["uid", "outer"])
+            rows = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(text_scores(weights.value, texts))], names=[*_SCORED, "outer"])
 
         for batch in batches:
-            for uid, raw in zip(batch.column("uid").to_pylist(), batch.column("classes").to_pylist(), strict=True):
-                uids.append(uid)
-                texts.append(np.frombuffer(raw, np.uint16))
-                held += len(texts[-1])
+            codes = batch.column("codes")
+            begin = 0
+            for i, size in enumerate(np.diff(np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]).tolist()):
+                held += size // 2
+                if held > HELD or i == batch.num_rows - 1:
+                    texts += [np.frombuffer(raw, np.uint16) for raw in codes.slice(begin, i + 1 - begin).to_pylist()]
+                    kept.append(batch.select(list(_SCORED)).slice(begin, i + 1 - begin))
+                    begin = i + 1
                 if held > HELD:
                     yield flush()
-                    uids, texts, held = [], [], 0
-        if uids:
+                    kept, texts, held = [], [], 0
+        if texts:
             yield flush()
 
     return run
@@ -396,22 +469,24 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
         v = Vocabulary(frequent["h"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64), frequent["ending"].to_numpy(np.int64), tokens, kinds, n_docs, mass, types)
         shared = spark.sparkContext.broadcast(v)
         encoded = scratch.save(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_encode(shared), _ENCODED))
-        flat = fit(encoded, v)
-        outer = encoded.where("classes IS NOT NULL").select("uid", "classes").mapInArrow(_score_task(spark.sparkContext.broadcast(flat)), "uid long, outer double")
-        rare = encoded.where("h IS NOT NULL").select("uid", "h", "ending", "m")
-        totals = F.element_at(F.array(*[F.lit(float(t)) for t in v.ending_total]), (F.col("ending") + 1).cast("int"))
+        shared.destroy()
+        given = spark.sparkContext.broadcast(fit(encoded, v))
+        scored = encoded.select(*_SCORED, "codes").mapInArrow(_score_task(given), "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, outer double")
+        totals = F.element_at(F.array(*[F.lit(float(t)) for t in v.rest_total]), (F.col("ending") + 1).cast("int"))
         c = F.coalesce(F.col("n"), F.lit(0)) + 0.5
+        rare = encoded.where("length(rare) > 0").select("uid", "rare").mapInArrow(_rare_rows, "uid long, h long, ending long, m long")
         rare = rare.join(counts.select("h", "n"), "h", "left").groupBy("uid").agg(
             F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("r_known"),
             F.sum(F.col("m") * F.log10(c / v.base_total)).alias("r_base"),
             F.sum(F.col("m") * F.log10(c / totals)).alias("r_inner"),
         )
-        docs_rows = encoded.where("classes IS NOT NULL").select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "inner")
-        out = docs_rows.join(outer, "uid").join(rare, "uid", "left").select(
+        out = scored.join(rare, "uid", "left").select(
             F.col("doc_id").alias(key), "held_out", "n_tokens",
             (F.col("known") + F.coalesce("r_known", F.lit(0))).alias("n_known"),
             F.lit(tokens).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("r_base", F.lit(0.0))).alias("base_score"),
             (F.col("outer") + F.col("inner") + F.coalesce("r_inner", F.lit(0.0))).alias("score"),
         )
-        return cut(out)
+        out = cut(out)
+        given.destroy()
+        return out

@@ -82,9 +82,9 @@ def test_base_scores_are_exact_and_the_model_beats_them(spark):
 
 def test_backpropagation_matches_finite_differences():
     rng = np.random.default_rng(2)
-    flat = lm_scoring.fresh_weights(np.full(lm_scoring.CLASSES, -5.0))
-    ids = rng.integers(0, lm_scoring.CLASSES, (5, 3, lm_scoring.TICK))
-    ids[4, 1, 2:] = lm_scoring.CLASSES
+    flat = lm_scoring.fresh_weights(np.full(lm_scoring.CLASSES, -5.0), np.full((lm_scoring.CLASSES, lm_scoring.SLOTS), -4.0))
+    ids = rng.integers(0, 5 * lm_scoring.SLOTS, (5, 3))
+    ids[0, 2], ids[4, 1] = lm_scoring.END_CODE, lm_scoring.CODES
     begins, state = np.zeros((5, 3), bool), np.zeros((3, lm_scoring.HIDDEN), np.float32)
     begins[2, 0] = True
     _, _, grad = lm_scoring.window_pass(lm_scoring._views(flat), ids, begins, state, True)
@@ -99,6 +99,28 @@ def test_backpropagation_matches_finite_differences():
         assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(float(grad[k]), rel=0.05)
 
 
+def test_scores_are_the_models_probabilities_token_by_token():
+    rng = np.random.default_rng(9)
+    flat = lm_scoring.fresh_weights(rng.normal(-3, 1, lm_scoring.CLASSES), rng.normal(-3, 1, (lm_scoring.CLASSES, lm_scoring.SLOTS)), seed=5)
+    texts = [np.append(rng.integers(0, lm_scoring.END_CODE, n), lm_scoring.END_CODE).astype(np.uint16) for n in (0, 3, 200, 17, 40)]
+    w = {k: v.astype(np.float64) for k, v in lm_scoring._views(flat.copy()).items()}
+    n = lm_scoring.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for text, score in zip(texts, lm_scoring.text_scores(flat, texts), strict=True):
+        h, total = np.zeros(n), 0.0
+        for code in text.tolist():
+            kind, slot = divmod(code, lm_scoring.SLOTS)
+            for logits, at in ((h @ w["out"] + w["lean"], kind), (h @ w["inner"][kind] + w["inner_lean"][kind], slot)):
+                if at is slot and kind == lm_scoring.ENDINGS:
+                    continue
+                total += logits[at] - np.log(np.exp(logits).sum())
+            drive, g = w["embed"][code] @ w["into"] + w["gate"], h @ w["again"]
+            z, r = sigmoid(drive[:n] + g[:n]), sigmoid(drive[n : 2 * n] + g[n : 2 * n])
+            c = np.tanh(drive[2 * n :] + r * g[2 * n :])
+            h = (1 - z) * c + z * h
+        assert score == pytest.approx(total / math.log(10), rel=1e-4)
+
+
 def test_field_labels_blocks_of_layouts_that_it_has_not_seen():
     model = html_extract.trained()
     right = total = 0
