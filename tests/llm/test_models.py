@@ -238,8 +238,55 @@ def test_urls_get_rules_before_the_ratio(spark):
     assert got[3][:3] == ("notnet", "/de/8", None) and got[4][:3] == ("y.org", "", None) and got[5][:3] == got[6][:3] == ("", "", None)
 
 
-def test_gram_probabilities_sum_to_one(spark):
-    grams = spark.createDataFrame([("aab", 3, 1), ("aba", 2, 0), ("aaa", 0, 4)], "gram string, blocked long, other long")
-    assert url_filter.log_ratios(grams, order=2).count() == 3
-    ratio = {r.gram: r.ratio for r in url_filter.log_ratios(grams, order=2).collect()}
-    assert ratio["aab"] > 0 > ratio["aaa"]
+def _chance(counts, text, order, kinds):
+    """Witten-Bell by hand: the chance of each character of text and its end mark."""
+    def level(padded, i):
+        def go(n):
+            rest = 1 / kinds if n == 0 else go(n - 1)
+            seen = counts[n].get(padded[i - n : i], Counter())
+            return (seen[padded[i]] + len(seen) * rest) / (sum(seen.values()) + len(seen)) if seen else rest
+
+        return go(order)
+
+    padded = url_filter.START * order + text + url_filter.END
+    return [level(padded, i) for i in range(order, len(padded))]
+
+
+@pytest.mark.parametrize("small", [url_filter.SMALL, 0])
+def test_scores_and_threshold_are_those_of_the_grams_by_hand(spark, small):
+    rng = random.Random(2)
+    urls = []
+    for i in range(240):
+        top = rng.choice(("com", "net", "org"))
+        urls.append(f"http://{rng.choice(('a', 'b.x', 'spam'))}.example.{top}/{rng.choice(('en', 'de', 'es'))}/{rng.randrange(999)}")
+    urls += urls[:5] + [None]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge_urls(rows, order=2, small=small).collect()}
+    assert len(got) == len(urls)
+    fold = {r.page_id: r.fold for r in spark.createDataFrame([(i, r.host, r.path) for i, r in got.items()], "page_id long, host string, path string").selectExpr("page_id", "pmod(xxhash64(host, path), 2) fold").collect()}
+    text = {i: r.host + r.path for i, r in got.items()}
+    kinds = len(set("".join(text.values())) | {url_filter.END}) + 1
+    models = {}
+    for k in (0, 1):
+        for blocked in (True, False):
+            counts = [dict() for _ in range(3)]
+            for i, t in text.items():
+                if fold[i] == k and (got[i].rule is not None and got[i].verdict == "block") == blocked:
+                    padded = url_filter.START * 2 + t + url_filter.END
+                    for at in range(2, len(padded)):
+                        for n in range(3):
+                            counts[n].setdefault(padded[at - n : at], Counter())[padded[at]] += 1
+            models[k, blocked] = counts
+    for i, t in text.items():
+        k = 1 - fold[i]
+        b, o = (_chance(models[k, x], t, 2, kinds) for x in (True, False))
+        assert got[i].score == pytest.approx(sum(math.log10(x / y) for x, y in zip(b, o, strict=True)) / len(b), abs=1e-9)
+    allowed = sorted(r.score for r in got.values() if r.rule and r.verdict == "allow")
+    assert allowed and sum(x > got[0].threshold for x in allowed) <= 0.01 * len(allowed) and got[0].threshold >= 0
+    assert all(r.verdict == ("block" if r.score > r.threshold else "allow") for r in got.values() if r.rule is None)
+
+
+def test_grams_never_seen_by_a_model_fall_back_to_shorter_ones(spark):
+    grams = spark.createDataFrame([("aab", 3, 1, 3, 1), ("aba", 2, 0, 2, 0), ("aaa", 0, 4, 0, 4)], "gram string, blocked0 long, other0 long, blocked1 long, other1 long")
+    ratio = {r.gram: (r.ratio0, r.ratio1) for r in url_filter.log_ratios(grams, order=2).collect()}
+    assert len(ratio) == 3 and ratio["aab"][0] > 0 > ratio["aaa"][0] and all(a == b for a, b in ratio.values())
