@@ -3,10 +3,11 @@
 A page's markup is read into leaf blocks (runs of text between block-level tags) with the tags and the
 class and id words of their ancestors.  A block's features are its ancestors and its text's shape; a CRF
 with the labels article and other is trained by stochastic gradient on labelled pages and decoded by
-Viterbi.  The labelled pages are laid out here from a seed (:func:`labelled_pages`): the same kinds of
-blocks in many page layouts, each block with its label.
+Viterbi.  The labelled pages are laid out here from a seed (:func:`labelled_pages`): many kinds of
+blocks (prose, lists, tables, definitions, figures, boxes) in many page layouts, with and without a marked article,
+each block with its label.
 
-Defined results: null or empty html, and pages without article blocks, give the empty text with 0
+Defined results: a very long page is read whole; null or empty html, and pages without article blocks, give the empty text with 0
 characters; scripts, styles and comments never are blocks; unclosed and stray tags are tolerated;
 repeated rows stay repeated; other columns are not read.
 """
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sparktools import bare
+from .words import slices
 
-LABELLED_PAGES, EPOCHS, SEED = 240, 8, 7
+LABELLED_PAGES, EPOCHS, SEED = 400, 8, 7
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|select|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -96,15 +98,22 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     return blocks
 
 
+_CONTAINERS = frozenset(("article", "main", ".content", ".article", ".post", ".entry", ".story", ".body", ".text"))
+
+
 def features(blocks: list[tuple[str, tuple[str, ...], int]]) -> list[list[str]]:
     out = []
+    inside = [not _CONTAINERS.isdisjoint(marks) for _, marks, _ in blocks]
+    marked = any(inside)
     for i, (text, marks, linked) in enumerate(blocks):
         n = len(text)
         found = ["bias", *{f"in {m}" for m in marks}, f"length {min(8, n.bit_length())}", f"links {0 if not linked else min(4, 1 + 4 * linked // max(n, 1))}"]
         if marks:
             found.append(f"inner {marks[-1]}")
-        if not any(m in ("article", "main", ".content", ".article", ".post", ".entry", ".story") for m in marks):
-            found.append("outside")
+        if marked:
+            found.append("inside" if inside[i] else "outside")
+        else:
+            found += ["unmarked page", f"unmarked, length {min(8, n.bit_length())}", f"unmarked, inner {marks[-1] if marks else 'none'}", f"unmarked, links {0 if not linked else min(4, 1 + 4 * linked // max(n, 1))}"]
         found.append(f"stops {min(3, text.count('.') + text.count('!') + text.count('?'))}")
         if "©" in text:
             found.append("copyright")
@@ -213,25 +222,51 @@ def labelled_pages(count: int = LABELLED_PAGES, seed: int = SEED) -> list[tuple[
         parts += [(f'<div class="comment"><p>{prose(3, 60)}</p></div>', 0) for _ in range(rng.randint(1, 5))]
         return [*parts, (f"</{t}>", None)]
 
-    def article() -> list[tuple[str, int | None]]:
-        tag, name = rng.choice((("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="article-body"'), ("section", ' class="story"')))
+    def table() -> list[tuple[str, int | None]]:
+        wide, parts = rng.randint(1, 4), [("<table>", None)]
+        for r in range(rng.randint(1, 5)):
+            parts.append(("<tr>", None))
+            cell = "th" if r == 0 and rng.random() < 0.5 else "td"
+            parts += [(f"<{cell}>{words(1, 6)}</{cell}>", 1) for _ in range(wide)]
+            parts.append(("</tr>", None))
+        return [*parts, ("</table>", None)]
+
+    def definitions() -> list[tuple[str, int | None]]:
+        parts: list[tuple[str, int | None]] = [("<dl>", None)]
+        for _ in range(rng.randint(1, 4)):
+            parts += [(f"<dt>{words(1, 4)}</dt>", 1), (f"<dd>{prose(3, 30)}</dd>", 1)]
+        return [*parts, ("</dl>", None)]
+
+    def article(marked: bool) -> list[tuple[str, int | None]]:
+        if marked:
+            tag, name = rng.choice((("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="article-body"'), ("section", ' class="story"')))
+        else:
+            tag, name = rng.choice((("div", ""), ("div", ' id="page"'), ("div", ' class="column"'), ("section", ""), ("center", "")))
         title = prose(3, 14)
         parts: list[tuple[str, int | None]] = [(f"<{tag}{name}>", None)]
         if rng.random() < 0.8:
             parts.append((f"<h1>{title}</h1>", 1))
+        paragraph = rng.choice(("p", "p", "p", "div"))
         for i in range(rng.randint(1, 12)):
             kind = rng.random()
-            if kind < 0.72:
-                parts.append((f"<p>{prose()}</p>" if rng.random() < 0.8 else f"<p><b>{prose()}<br>", 1))
-            elif kind < 0.8:
-                parts.append((f"<h2>{words(1, 6)}</h2>", 1))
-            elif kind < 0.86:
+            if kind < 0.64:
+                text = prose() if rng.random() < 0.85 else f"{prose(3, 20)} {link()} {prose(3, 20)}"
+                parts.append((f"<{paragraph}>{text}</{paragraph}>" if paragraph == "div" or rng.random() < 0.8 else f"<p><b>{text}<br>", 1))
+            elif kind < 0.7:
+                parts.append((f"<h{rng.randint(2, 4)}>{words(1, 6)}</h2>", 1))
+            elif kind < 0.74:
                 parts.append((f"<blockquote>{prose(5, 40)}</blockquote>", 1))
-            elif kind < 0.92:
+            elif kind < 0.79:
                 parts += [("<ul>", None), *[(f"<li>{prose(3, 15)}</li>", 1) for _ in range(rng.randint(1, 4))], ("</ul>", None)]
-            elif kind < 0.95 and i:
+            elif kind < 0.84:
+                parts += table()
+            elif kind < 0.87:
+                parts += definitions()
+            elif kind < 0.89:
+                parts += [("<figure><img src='x'>", None), (f"<figcaption>{prose(3, 15)}</figcaption>", 1), ("</figure>", None)]
+            elif kind < 0.93 and i:
                 parts += boxed("div", rng.choice((' class="ad"', ' class="share"', ' class="related"', ' class="newsletter"')))
-            elif kind < 0.97 and i:
+            elif kind < 0.96 and i:
                 parts += boxed("aside", "")
             else:
                 parts += [("<pre>", None), (words(3, 20), 1), ("</pre>", None)]
@@ -244,8 +279,8 @@ def labelled_pages(count: int = LABELLED_PAGES, seed: int = SEED) -> list[tuple[
         after = [lambda: boxed("footer", ""), lambda: boxed("div", ' id="footer"'), remarks, lambda: listed("aside"), lambda: boxed("div", ' class="sidebar"', 5, 50), lambda: boxed("div", ' class="ad"'), lambda: listed("div", ' class="related"'), form, lambda: boxed("div", ' class="copyright"')]
         for make in rng.sample(before, rng.randint(1, 5)):
             parts += make()
-        if rng.random() < 0.95:
-            parts += article()
+        if rng.random() < 0.97:
+            parts += article(rng.random() < 0.65)
         for make in rng.sample(after, rng.randint(1, 5)):
             parts += make()
         if rng.random() < 0.4:
@@ -280,11 +315,12 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(model, page) for page in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
+            for part in slices(batch, "html"):
+                texts = [main_text(model, page) for page in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    names=["page_id", "url", "text", "n_chars"],
+                )
 
     rows = bare(pages, key, url, markup).toDF("page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long").withColumnRenamed("page_id", key).withColumnRenamed("url", url)
