@@ -84,9 +84,9 @@ def matching(results: DataFrame, mode: str, low_milli: int = 4000) -> DataFrame:
     return results.where(F.coalesce(modes[mode], F.lit(False)))
 
 
-def missed_kind() -> Column:
+def missed_kind(call: Column | None = None, parse: Column | None = None) -> Column:
     """Why a chunk gave no case, from call_status and parse_status."""
-    call, parse = F.lower(F.trim(F.coalesce("call_status", F.lit("")))), F.lower(F.trim(F.coalesce("parse_status", F.lit(""))))
+    call, parse = (F.lower(F.trim(F.coalesce(F.col(n) if c is None else c, F.lit("")))) for c, n in ((call, "call_status"), (parse, "parse_status")))
     return (
         F.when(call.isin("failed", "stopped"), "infrastructure")
         .when((call == "success") & parse.isin("empty", "unknown", "not_attempted", ""), "quality")
