@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import eligible, output_text
+from ..functions.ranks import number_buckets, positions
 
 VERDICTS = ("A only", "B only", "not comparable", "same output", "B better", "A better", "tie")
 
@@ -84,13 +85,21 @@ def preference_rates(pairs: DataFrame) -> DataFrame:
 
 
 def zip_by_position(a: DataFrame, b: DataFrame, order: str, partition: str | None = None) -> DataFrame:
-    """Pairs the n-th rows of two runs (within a partition column, so that no task holds all rows)."""
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        by = Window.partitionBy(*([partition] if partition else [])).orderBy(order)
-        keep = [c for c in df.columns if c != partition]
-        return df.withColumn("position", F.row_number().over(by)).select(*([partition] if partition else []), "position", F.struct(*keep).alias(name))
+    """Pairs the n-th rows of two runs, or of each value of a partition column; ``order`` is a whole number.
+
+    Places are found by ranges of the order, so neither a run nor a value of the partition column must fit a task.
+    """
+    own = [partition] if partition else []
 
-    return numbered(a, "a").join(numbered(b, "b"), [*([partition] if partition else []), "position"])
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        keep = [c for c in df.columns if c not in own]
+        placed = positions(df, [*map(F.col, own), number_buckets(df, order)], [F.col(order)])
+        if own:  # places inside the value: less those of the values before
+            first = placed.groupBy(*own).agg((F.min("position") - 1).alias("__first"))
+            placed = placed.join(first, own).withColumn("position", F.col("position") - F.col("__first")).drop("__first")
+        return placed.select(*own, "position", F.struct(*keep).alias(name))
+
+    return numbered(a, "a").join(numbered(b, "b"), [*own, "position"])
 
 
 def match_two_levels(results: DataFrame, cases: DataFrame, exact: list[str], loose: list[str], order: str) -> DataFrame:

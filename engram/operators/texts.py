@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 import unicodedata
@@ -17,25 +16,19 @@ from ..functions.columns import trim_u
 def normalise_reference(c: Column) -> Column:
     """markdown prefix, quotes and end punctuation off, white space to one space, lower case.
 
-    NFKC, which Spark lacks, is applied only to texts with characters beyond ASCII.
+    NFKC, which Spark lacks, is applied only to texts with characters beyond ASCII; all else is Spark's own.
     """
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    text = F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(nfkc(c))
+    plain = c.rlike(r"^[\x00-\x7F]*$")
+    text = F.when(plain, c).otherwise(nfkc(F.when(plain, F.lit(None)).otherwise(c)))
     text = F.regexp_replace(trim_u(text), r"^(?:(?:#{1,6}|[-*+]|\d+[.)、])\s*)+", "")
     text = F.regexp_replace(text, r"""^["'“”‘’`「」.,;:!?，。；：！？]+|["'“”‘’`「」.,;:!?，。；：！？]+$""", "")
     return F.lower(trim_u(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
-def normalise_reference_ascii(c: Column) -> Column:
-    """F1 for ASCII text, wholly in Spark's own functions."""
-    text = F.regexp_replace(F.trim(c), r"^(?:(?:#{1,6}|[-*+]|\d+[.)])\s*)+", "")
-    text = F.regexp_replace(text, r"""^["'`.,;:!?]+|["'`.,;:!?]+$""", "")
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-
-
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """one row per section: key, section_id (S001, ...), level, title, body.
 
@@ -103,28 +96,6 @@ def parsed_documents(rows: DataFrame, raw: str) -> DataFrame:
     return rows.withColumn("parsed", parse(F.col(raw)))
 
 
-def similar_rules(rules: DataFrame, key: str, group: str, text: str, ratio: float = 0.88, shared: int = 3) -> DataFrame:
-    """pairs of rules of a group that are nearly the same (contained in one another, or matched blocks >= ratio).
-
-    Candidates share ``shared`` of their rarest words, found by an inverted index whose words occur in at
-    most 1000 rules of the group, so no pair list of a whole group arises.
-    """
-    own = rules.select(F.col(key).alias("id"), F.col(group).alias("g"), F.lower(trim_u(F.regexp_replace(text, r"(?U)\s+", " "))).alias("t"))
-    words = own.select("id", "g", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    rare = words.groupBy("g", "w").agg(F.count("*").alias("df")).where("df BETWEEN 2 AND 1000")
-    ranked = words.join(rare, ["g", "w"]).withColumn("r", F.row_number().over(Window.partitionBy("g", "id").orderBy("df", "w"))).where("r <= 8")
-    pairs = ranked.alias("x").join(ranked.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")))
-    pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).count().where(F.col("count") >= shared)
-
-    @F.pandas_udf("double")
-    def matched(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(x, y, strict=True)], dtype=float)
-
-    texts = pairs.join(own.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    inside = F.contains(F.col("ta"), F.col("tb")) | F.contains(F.col("tb"), F.col("ta"))
-    return texts.withColumn("ratio", F.when(inside, 1.0).otherwise(matched("ta", "tb"))).where(F.col("ratio") >= ratio).select("a", "b", "ratio")
-
-
 def apply_edits(prompt: str, edits: list[dict], max_chars: int = 900) -> tuple[str, list[str]]:
     """applies edits (op, old_text, new_text, evidence_refs) in order within a budget of added characters.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..operators import compare, evidence, gate, results, sessions, stability, texts
+from ..operators import compare, evidence, gate, prompts, results, sessions, stability, texts
 from ..schemas import DIMENSIONS, WEIGHTS
 from ..streaming import events as streams
 from . import views as V
@@ -212,9 +212,12 @@ def q_gate_decision(spark, d):
     return gate.gate_decision(gate.gate_summary(_deltas(spark, d))).select(F.array_join("reasons", "; ").alias("reasons"), "accepted")
 
 
-@query()
+@query(f"""WITH {_AB}, c AS (SELECT 'reviewer:' || reviewer AS cluster, sum(delta_milli) / count(*) / 1000 AS mean_delta FROM pr GROUP BY reviewer), p AS (SELECT *, row_number() OVER (ORDER BY sha256(cluster), cluster) AS place, count(*) OVER () AS n FROM c),
+m AS (SELECT s.i AS sample, sum(p.mean_delta) / max(p.n) AS mean FROM range(2000) s(i), p d JOIN p ON p.place = CAST('0x' || substr(sha256('validation|' || s.i || '|' || d.place), 1, 8) AS BIGINT) % d.n + 1 GROUP BY 1)
+SELECT (SELECT round(avg(mean_delta), 6) FROM c) AS point, round(quantile_cont(mean, 0.025), 6) AS lower, round(quantile_cont(mean, 0.975), 6) AS upper FROM m""")
 def q_bootstrap_ci(spark, d):
-    return gate.bootstrap_interval(gate.cluster_means(_deltas(spark, d)), "validation")
+    found = gate.bootstrap_interval(gate.cluster_means(_deltas(spark, d)), "validation")
+    return found.select(*[F.round(c, 6).alias(c) for c in ("point", "lower", "upper")])
 
 
 _SPLIT = "p AS (SELECT who, row_number() OVER (ORDER BY sha256('split|' || who)) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS who FROM customer)), q AS (SELECT who, CASE WHEN n <= total - 2 * CAST(round_even(total * 0.2, 0) AS INT) THEN 'train' WHEN n <= total - CAST(round_even(total * 0.2, 0) AS INT) THEN 'validation' ELSE 'test' END AS part FROM p)"
@@ -402,7 +405,7 @@ def q_line_bag_diff(spark, d):
 SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(trim(x), '^((#{1,6}|[-*+]|[0-9]+[.)])\s*)+', ''), '^["''`.,;:!?]+|["''`.,;:!?]+$', '', 'g'), '\s+', ' ', 'g'))) AS ref FROM t""")
 def q_ref_normalise(spark, d):
     x = F.concat(F.lit("## "), F.col("page_id").cast("string"), F.lit('.  "Rule   '), F.element_at(F.split("url", "/"), 3), F.lit('".'))
-    return V.table(spark, d, "pages").select("page_id", texts.normalise_reference_ascii(x).alias("ref"))
+    return V.table(spark, d, "pages").select("page_id", texts.normalise_reference(x).alias("ref"))
 
 
 @query(f"WITH {V.RES} SELECT case_id, CAST(score_milli AS BIGINT) AS score_milli FROM res")
@@ -519,13 +522,20 @@ def q_export_flat(spark, d):
     return results.flat_export(V.results(spark, d), DIMENSIONS)
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 1 THEN '## Memory' || chr(10) || text WHEN doc_id % 3 = 2 THEN text END AS raw FROM documents),
+t AS (SELECT doc_id, text, regexp_replace(coalesce(replace(CASE WHEN doc_id % 3 = 0 THEN text ELSE raw END, chr(13) || chr(10), chr(10)), ''), '^\s+|\s+$', '', 'g') AS s FROM d),
+m AS (SELECT doc_id, s, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN text IS NULL THEN 'json_without_document' ELSE 'json' END WHEN s = '' THEN 'empty' WHEN regexp_matches(s, '(?m)^#{1,6}\s+\S') THEN 'markdown'
+WHEN regexp_matches(s, '(?m)^\s*([-*+]|\d+[.)])\s+\S') THEN 'list' ELSE 'unrecognised' END AS method FROM t)
+SELECT doc_id, method, CASE method WHEN 'json' THEN 0.98 WHEN 'markdown' THEN 0.78 WHEN 'list' THEN 0.7 ELSE 0.0 END AS confidence, CASE WHEN method IN ('json', 'markdown', 'list') THEN CAST(length(s) AS INT) END AS length FROM m""")
 def q_doc_parse(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.col("text").alias("memory")))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("## Memory\n"), F.col("text"))).otherwise(F.col("text")).alias("raw"))
     return texts.parsed_documents(docs, "raw").select("doc_id", "parsed.method", "parsed.confidence", F.length("parsed.document").alias("length"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, string_split(replace('intro' || chr(10) || '# One' || chr(10) || text || chr(10) || '## Two' || chr(10) || '- last', chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM d), s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM l),
+g AS (SELECT doc_id, sec, arg_min(line, n) AS first, CAST(length(string_agg(line, chr(10) ORDER BY n)) AS INT) AS length FROM s WHERE sec > 0 GROUP BY ALL)
+SELECT doc_id, 'S' || lpad(CAST(sec AS VARCHAR), 3, '0') AS section_id, CAST(length(regexp_extract(first, '^(#+)', 1)) AS INT) AS level, trim(regexp_replace(first, '^#+\s+', '')) AS title, length FROM g""")
 def q_sections(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", F.concat(F.lit("intro\n# One\n"), F.col("text"), F.lit("\n## Two\n- last")).alias("prompt"))
     return texts.sections(docs, "doc_id", "prompt").select("doc_id", "section_id", "level", "title", F.length("body").alias("length"))
@@ -535,4 +545,4 @@ def q_sections(spark, d):
 def q_rule_similarity(spark, d):
     docs = V.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("all").alias("g"), "text")
     docs = docs.unionByName(docs.select((F.col("id") + 100000).alias("id"), "g", F.concat("text", F.lit(" more")).alias("text")))
-    return texts.similar_rules(docs, "id", "g", "text")
+    return prompts.similar_rules(docs, "id", "g", "text")

@@ -23,8 +23,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, tolerate_ta
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_ix"), F.regexp_replace("value", "^﻿", "").alias("value"))
     rows = raw.where(trim_u(F.col("value")) != "").withColumn("ok", F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)))
-    last = rows.groupBy("file").agg(F.max("line_ix").alias("last_ix"))  # one row per file
-    rows = rows.join(F.broadcast(last), "file") if tolerate_tail else rows.withColumn("last_ix", F.lit(-1))
+    # a large file's splits may lie in any partition, so the last line is that of the last block
+    last = rows.groupBy("file").agg(F.max_by("line_ix", F.struct("block", "line_ix")).alias("last_ix"))
+    rows = rows.join(last, "file") if tolerate_tail else rows.withColumn("last_ix", F.lit(-1))
     rows = rows.where(F.col("ok") | (F.col("line_ix") != F.col("last_ix")))
     checked = F.when(F.col("ok"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80))).cast("string"))
     return rows.select("file", "line_ix", F.from_json(checked, schema).alias("row")).select("file", "line_ix", "row.*")
@@ -78,6 +79,30 @@ def read_markdown_cases(spark: SparkSession, root: str) -> DataFrame:
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    """The part that the workbook lists first; without a list that of the smallest number."""
+    names = z.namelist()
+    if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
+        sheet = next(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet"), None)
+        for link in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            if sheet is not None and link.get("Id") == sheet.get(_REL):
+                target = link.get("Target", "").lstrip("/")
+                return target if target.startswith("xl/") else f"xl/{target}"
+    return min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+
+
+def _rows_of(z: zipfile.ZipFile, part: str) -> Iterator[ET.Element]:
+    """The sheet's row elements one by one; each is emptied once read, so no tree of the whole sheet is held."""
+    with z.open(part) as stream:
+        for _, element in ET.iterparse(stream):
+            if element.tag == f"{{{_NS['m']}}}row":
+                yield element
+                element.clear()
+
+
 def sheet_rows(data: bytes) -> Iterator[list[str]]:
     """Cell texts of the first sheet of an .xlsx file, row by row."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -85,8 +110,7 @@ def sheet_rows(data: bytes) -> Iterator[list[str]]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
-        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        for row in ET.fromstring(z.read(sheet)).iter(f"{{{_NS['m']}}}row"):
+        for row in _rows_of(z, _first_sheet(z)):
             cells: dict[int, str] = {}
             for c in row.findall("m:c", _NS):
                 letters = re.match(r"[A-Z]+", c.get("r", "A"))[0]
@@ -125,23 +149,43 @@ def read_spreadsheets(spark: SparkSession, path: str) -> DataFrame:
 
 # What headers may be called, in order of preference.
 ALIASES = {
-    "case_id": ("case_id", "case"), "session_id": ("session",), "old_memory": ("旧user", "旧画像", "old"), "query": ("query", "user", "问题"),
-    "answer": ("answer", "assistant", "回答"), "candidate_output": ("新user", "模型输出", "new"), "model_name": ("模型", "model"), "prompt_version": ("版本", "version"),
-}
-
-
-def resolve_headers(headers: list[str], aliases: dict[str, tuple[str, ...]] = ALIASES) -> dict[str, str]:
-    """S3: canonical name -> header: the first alias that is part of a lower-cased header decides; each header serves once."""
+    "case_id": ("case_id", "case id", "用例id", "case标识", "case", "case_no", "编号", "case number"),
+    "session_id": ("session_id", "session", "对话id", "会话id", "会话"),
+    "old_memory": ("old_memory", "旧user.md", "旧画像", "user.md_old", "原始user.md", "旧memory", "old user", "old_user_md", "原始记忆"),
+    "dialogue": ("dialogue", "对话记录", "对话内容", "对话"),
+    "candidate_output": ("candidate_output", "新user.md", "候选输出", "new_user.md", "new_user_md", "模型输出", "generated", "生成结果"),
+    "reference_output": ("reference_output", "参考答案", "gold输出", "标注答案", "reference", "ground_truth", "gold", "人工标注"),
+    "model_name": ("model_name", "模型", "模型名称", "model"),
+    "prompt_version": ("prompt_version", "prompt版本", "版本", "version", "prompt"),
+    "reasoning": ("reasoning", "reason", "推理", "思考过程", "分析过程", "模型reasoning"),
+}
+TURN_ALIASES = {
+    "query": ("query", "user", "提问", "用户", "user_input", "问题"),
+    "answer": ("answer", "assistant", "回答", "助手", "assistant_output", "回复"),
+}
+
+
+def resolve_headers(headers: list[str]) -> dict[str, str]:
+    """S3: canonical name -> header.
+
+    A header means the first name, in the order of ALIASES, of which an alias is part of it in lower case; only headers
+    that mean none of these may be a query or an answer.  Of headers that mean the same the last counts.
+    """
     out: dict[str, str] = {}
-    for name, words in aliases.items():
-        for word in words:
-            hit = next((h for h in headers if word in h.lower() and h not in out.values()), None)
-            if hit is not None:
-                out[name] = hit
-                break
+    for header in headers:
+        text = header.strip().lower()
+        names = (name for table in (ALIASES, TURN_ALIASES) for name, words in table.items() if any(w in text for w in words))
+        name = next(names, None)
+        if name is not None:
+            out[name] = header
     return out
 
 
+def sheet_columns(rows: DataFrame, headers: list[str]) -> DataFrame:
+    """S3: rows of :func:`read_spreadsheets` with the columns that their headers mean, as text."""
+    return rows.select("file", "row_ix", *[F.coalesce(F.try_element_at("cells", F.lit(header)), F.lit("")).alias(name) for name, header in resolve_headers(headers).items()])
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines; the job's committer makes the overwrite all or nothing."""
     df.write.mode("overwrite").json(path)

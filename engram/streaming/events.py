@@ -19,12 +19,28 @@ def event_stream(spark: SparkSession, folder: str, pattern: str, schema: T.Struc
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster shares: spark.checkpoint.dir, or the warehouse where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there and returns the result as a table (memory sink; for aggregates)."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over what is there and returns the result as a table.
+
+    Every batch is written to a folder of its own number in the shared storage, so a batch that is repeated after a
+    failure changes nothing; in complete mode the last batch is the result, else all of them.
+    """
+    spark = stream.sparkSession
+    root = _shared(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        folder = f"{root}/rows/batch={number}" if mode != "complete" else f"{root}/rows"
+        batch.write.mode("overwrite").parquet(folder)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
 def tumbling(events: DataFrame, size: str, late: str = "1 hour") -> DataFrame:
@@ -57,11 +73,14 @@ _FOLDED = T.StructType([T.StructField("reviewer", T.LongType()), T.StructField("
 
 def _fold(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     document, n = state.get if state.exists else (None, 0)
-    rows = pd.concat(list(parts)).sort_values("ix")
-    accepted = rows[rows["outcome"] == "parsed"]
-    if len(accepted):
-        document = accepted["document"].iloc[-1]
-    n += len(rows)
+    last = None
+    for rows in parts:  # only the last accepted row of what came so far is held
+        n += len(rows)
+        accepted = rows[rows["outcome"] == "parsed"]
+        if len(accepted):
+            latest = accepted.loc[accepted["ix"].idxmax()]
+            if last is None or latest["ix"] > last:
+                last, document = latest["ix"], latest["document"]
     state.update((document, n))
     yield pd.DataFrame({"reviewer": [key[0]], "holds": [document], "n": [n]})
 
@@ -72,17 +91,29 @@ def fold_stream(rows: DataFrame) -> DataFrame:
 
 
 def journal_upsert(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str):
-    """ST3: a stream of results into a table with the last write of each key; a batch that is repeated changes nothing."""
+    """ST3: a stream of results into a journal whose last write of each key counts.
+
+    A batch writes only its own last writes, to a folder of its number; a batch that is repeated changes nothing.
+    :func:`read_journal` merges, :func:`compact_journal` writes the merged rows as a new journal.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 1}")
-        known = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        rows = spark.read.parquet(f"{path}/{number - 1}").unionByName(batch) if known else batch
-        last_writes(rows, keys, order).withColumnRenamed("position", "__p").drop("__p").select(*[c for c in batch.columns if c != order], *([order] if order in batch.columns else [])).write.mode("overwrite").parquet(f"{path}/{number}")
+        rows = last_writes(batch.withColumnRenamed(order, "__order").withColumn(order, F.col("__order")), keys, "__order").drop("position", "__order")
+        rows.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_journal(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
+    """ST3: the last write of every key, later batches over earlier ones between equal orders."""
+    rows = spark.read.parquet(path).withColumn("__at", F.struct(order, "batch"))
+    return last_writes(rows, keys, "__at").drop("position", "batch", "__at")
+
+
+def compact_journal(spark: SparkSession, path: str, keys: list[str], order: str, target: str) -> None:
+    """ST3: the journal's merged rows as the first batch of a new one."""
+    read_journal(spark, path, keys, order).write.parquet(f"{target}/batch=0")
+
+
 def stale_tasks(tasks: DataFrame, now, threshold_seconds: int = 300) -> DataFrame:
     """ST4: running tasks without a heartbeat for longer than the threshold are interrupted."""
     old = now.cast("double") - F.col("heartbeat_at").cast("double") > threshold_seconds

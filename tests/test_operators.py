@@ -1,5 +1,8 @@
 """Operators against small examples worked by hand."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import columns as C
@@ -83,7 +86,7 @@ def test_gate(spark):
 
 
 def test_split(spark):
-    assert gate.split_counts(6) == (4, 1, 1) and gate.split_counts(4, minimums=(1, 2, 1)) == (1, 2, 1)
+    assert gate.split_sizes(6) == (4, 1, 1) and gate.split_sizes(4, minimums=(1, 2, 1)) == (1, 2, 1)
     rows = spark.createDataFrame([(i, f"r{i % 6}") for i in range(24)], "row_ix int, reviewer string")
     out = gate.holdout_split(rows)
     assert out.count() == 24 and out.groupBy("reviewer").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
@@ -154,5 +157,25 @@ def test_the_registered_interval_uses_all_resamples(spark, monkeypatch):
     monkeypatch.setattr(queries, "_deltas", lambda spark, d: None)
     monkeypatch.setattr(queries.gate, "cluster_means", lambda deltas: clusters)
     got = queries.q_bootstrap_ci(spark, "").head()
-    assert got == gate.bootstrap_interval(clusters, "validation", samples=2000).head()
-    assert got != gate.bootstrap_interval(clusters, "validation", samples=500).head()
+    every, fewer = (gate.bootstrap_interval(clusters, "validation", samples=n).head() for n in (2000, 500))
+    assert list(got) == pytest.approx(list(every), abs=1e-6) and list(got) != pytest.approx(list(fewer), abs=1e-6)
+    assert every.lower < every.point < every.upper
+
+
+def test_similar_rules_are_those_of_all_pairs(spark):
+    from engram.operators import prompts
+
+    rng = random.Random(3)
+    base = ["必须记录用户明确说出的长期偏好和习惯", "不记录一次性的临时安排与当天行程", "keep every stable preference that the user states", "aaaaaaaaaaaaaaaaaaaaaaaa", "merge duplicate entries into a single line"]
+    rows = []
+    for i in range(160):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(words) + 1)
+            words[at : at + rng.randrange(2)] = rng.choice("的用户abc偏好xyz")
+        rows.append((i, f"g{i % 2}", f"- {''.join(words)}"))
+    rows += [(900 + i, "g0", "短规则") for i in range(3)] + [(950, "g0", ""), (951, "g0", None)]
+    table = spark.createDataFrame(rows, "id long, g string, t string")
+    keys = {r.id: (r.g, r.k) for r in table.select("id", "g", prompts.rule_key(F.col("t")).alias("k")).collect() if r.k}
+    want = {(a, b) for a in keys for b in keys if a < b and keys[a][0] == keys[b][0] and prompts._alike(keys[a][1], keys[b][1])}
+    assert {(r.a, r.b) for r in prompts.similar_rules(table, "id", "g", "t").collect()} == want and len(want) > 100

@@ -34,6 +34,9 @@ def test_spreadsheet(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Case_ID</t></si><si><t>query</t></si><si><t>hello</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2"><v>7</v></c><c r="C2" t="s"><v>2</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet10.xml", f'<worksheet {ns}><sheetData><row><c t="inlineStr"><is><t>other</t></is></c></row></sheetData></worksheet>')
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="x" r:id="r2"/><sheet name="y" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet10.xml"/><Relationship Id="r2" Target="worksheets/sheet1.xml"/></Relationships>')
     row = tables.read_spreadsheets(spark, str(tmp_path / "a.xlsx")).head()
     assert row.cells["Case_ID"] == "7" and row.cells["query"] == "hello"
     assert tables.resolve_headers(["Case_ID", "Session", "旧画像", "query", "answer", "模型输出", "模型", "版本"]) == {"case_id": "Case_ID", "session_id": "Session", "old_memory": "旧画像", "query": "query", "answer": "answer", "candidate_output": "模型输出", "model_name": "模型", "prompt_version": "版本"}
@@ -55,7 +58,14 @@ def test_journal_upsert(spark, tmp_path):
     spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 2)], "k string, v int, ix int").coalesce(1).write.parquet(str(src))
     stream = spark.readStream.schema("k string, v int, ix int").parquet(str(src))
     events.journal_upsert(stream, ["k"], "ix", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out" / "0")).collect()) == [("a", 2), ("b", 3)]
+    later = tmp_path / "more"
+    spark.createDataFrame([("a", 9, 5), ("c", 4, 3), ("b", 0, 1)], "k string, v int, ix int").write.parquet(str(later))
+    for part in later.glob("*.parquet"):
+        part.rename(src / f"more-{part.name}")
+    events.journal_upsert(stream, ["k"], "ix", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    events.compact_journal(spark, str(tmp_path / "out"), ["k"], "ix", str(tmp_path / "new"))
+    for path in ("out", "new"):
+        assert sorted((r.k, r.v) for r in events.read_journal(spark, str(tmp_path / path), ["k"], "ix").collect()) == [("a", 9), ("b", 3), ("c", 4)]
 
 
 def test_stale_tasks(spark):
