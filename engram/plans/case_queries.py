@@ -97,12 +97,12 @@ def q_without_wrappers(spark, d):
 
 
 @query("""WITH r AS (SELECT user_id, CASE event_id % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.98 WHEN 2 THEN 0.65 WHEN 3 THEN 0.05 + 0.2 * ((event_id % 10) / 10) WHEN 4 THEN 0.25 + 0.2 * ((event_id % 10) / 10) ELSE 0.0 END AS p FROM events)
-SELECT user_id, round(sum(p) / greatest(20, count(*)), 6) AS progress FROM r GROUP BY user_id""")
+SELECT user_id, round(sum(p) / 100000, 8) AS progress FROM r GROUP BY user_id""")
 def q_loop_progress(spark, d):
     e = F.col("event_id")
     stage = F.element_at(F.array(*[F.lit(s) for s in ("finished", "gate", "draft", "extraction", "evaluation", "none")]), (e % 6 + 1).cast("int"))
-    rounds = V.table(spark, d, "events").select("user_id", stage.alias("stage"), (e % 10).alias("done"), F.lit(10).alias("total"), F.lit(20).alias("planned"))
-    return cases.loop_progress(rounds, "user_id", "planned").select("user_id", F.round("progress", 6).alias("progress"))
+    rounds = V.table(spark, d, "events").select("user_id", stage.alias("stage"), (e % 10).alias("done"), F.lit(10).alias("total"), F.lit(100_000).alias("planned"))
+    return cases.loop_progress(rounds, "user_id", "planned").select("user_id", F.round("progress", 8).alias("progress"))
 
 
 @query("""SELECT coalesce(u.p_partkey, b.p_partkey) AS p_partkey, coalesce(u.v, b.v) AS v, CASE WHEN u.v IS NOT NULL THEN 'user' ELSE 'bundled' END AS origin FROM (SELECT p_partkey, p_name AS v FROM part WHERE p_partkey % 2 = 0) b
