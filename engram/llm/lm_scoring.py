@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparktools import Scratch, bare, cut
+from .sparktools import Scratch, bare, cut, one_thread
 from .words import Words, chunks, mix, slices, split_words
 
 #: Words with at least 1 / FREQUENT of all training tokens have their counts broadcast.
@@ -259,10 +259,10 @@ def window_pass(w: dict[str, np.ndarray], ids: np.ndarray, begins: np.ndarray, s
     # tokens by class, so that a class's slots are one product
     place = np.flatnonzero(real.ravel())
     code = ids.ravel()[place]
-    order = np.argsort(code // SLOTS, kind="stable")
+    order = np.argsort((code // SLOTS).astype(np.uint8), kind="stable")
     place, code = place[order], code[order]
     kind, slot = code // SLOTS, code % SLOTS
-    flat = hs.reshape(-1, HIDDEN)[place]
+    flat = np.take(hs.reshape(-1, HIDDEN), place, axis=0)
     p, own = _softmax(flat @ w["out"] + w["lean"], kind, learn)
     bounds = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
     grad = np.zeros(SIZE, np.float32) if learn else None
@@ -308,10 +308,11 @@ def window_pass(w: dict[str, np.ndarray], ids: np.ndarray, begins: np.ndarray, s
     d["gate"][...] = flat_drive.sum(axis=0)
     dx = flat_drive @ w["into"].T
     # gradient of the embeddings: steps' inputs summed by token
-    order = np.argsort(ids.ravel(), kind="stable")
-    tokens = ids.ravel()[order]
+    tokens = ids.ravel().astype(np.uint16)
+    order = np.argsort(tokens, kind="stable")
+    tokens = tokens[order]
     first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-    d["embed"][tokens[first]] = np.add.reduceat(dx[order], first, axis=0)
+    d["embed"][tokens[first]] = np.add.reduceat(np.take(dx, order, axis=0), first, axis=0)
     d["embed"][CODES] = 0.0
     return logp, h, grad
 
@@ -362,6 +363,7 @@ def train_texts(flat: np.ndarray, texts: list[np.ndarray], rate: float) -> np.nd
 
 def _train_task(weights, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         flat, seen = weights.value, 0
         texts: list[np.ndarray] = []
         held = 0
@@ -422,6 +424,7 @@ _SCORED = ("uid", "doc_id", "held_out", "n_tokens", "known", "base", "inner")
 def _score_task(weights):
     """A document's row with its score in place of its codes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         kept: list[pa.RecordBatch] = []
         texts: list[np.ndarray] = []
         held = 0

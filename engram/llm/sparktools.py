@@ -51,6 +51,23 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def one_thread() -> None:
+    """Lets numpy's linear algebra use one thread in this process: a Spark task has one core, and on products as small as
+    ours further threads only wait for each other.  Where the library can't be told, nothing happens."""
+    import ctypes
+    import glob
+    import os
+
+    import numpy
+
+    for path in glob.glob(os.path.join(os.path.dirname(numpy.__file__), "..", "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                return
+
+
 def bare(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, by exact name; columns that the caller added can't clash with ours."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
