@@ -317,9 +317,9 @@ def window_pass(w: dict[str, np.ndarray], ids: np.ndarray, begins: np.ndarray, s
     return logp, h, grad
 
 
-def pack(texts: list[np.ndarray], streams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts laid into streams, longest first into the emptiest: tokens (steps, streams), begin marks, and each
-    step's text (-1: none)."""
+def pack(texts: list[np.ndarray], streams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts laid into streams, longest first into the emptiest: tokens (steps, streams), begin marks, each step's text
+    (-1: none), and the streams' lengths, longest first, so that those still running always are the first ones."""
     import heapq
 
     heap = [(0, s) for s in range(streams)]
@@ -328,36 +328,58 @@ def pack(texts: list[np.ndarray], streams: int) -> tuple[np.ndarray, np.ndarray,
         used, s = heapq.heappop(heap)
         put.append((i, used, s))
         heapq.heappush(heap, (used + len(texts[i]), s))
-    steps = max(used for used, _ in heap)
-    ids = np.full((streams, steps), CODES, dtype=np.int32)
-    begins, owner = np.zeros((streams, steps), dtype=bool), np.full((streams, steps), -1, dtype=np.int32)
+    lengths = np.zeros(streams, dtype=np.int64)
+    for used, s in heap:
+        lengths[s] = used
+    rank = np.argsort(-lengths, kind="stable")
+    row = np.empty(streams, dtype=np.int64)
+    row[rank] = np.arange(streams)
+    steps = int(lengths.max())
+    ids = np.full((steps, streams), CODES, dtype=np.int32)
+    begins, owner = np.zeros((steps, streams), dtype=bool), np.full((steps, streams), -1, dtype=np.int32)
     for i, used, s in put:
-        ids[s, used : used + len(texts[i])] = texts[i]
-        begins[s, used] = True
-        owner[s, used : used + len(texts[i])] = i
-    return np.ascontiguousarray(ids.T), np.ascontiguousarray(begins.T), np.ascontiguousarray(owner.T)
+        at = slice(used, used + len(texts[i]))
+        ids[at, row[s]] = texts[i]
+        begins[used, row[s]] = True
+        owner[at, row[s]] = i
+    return ids, begins, owner, lengths[rank]
 
 
-def _streams_for(texts: list[np.ndarray], most: int = STREAMS) -> int:
-    """Fewer streams for little text, and none that only waits for one very long text."""
-    tokens = sum(map(len, texts))
-    return int(np.clip(min(tokens // (WINDOW * 40), 2 * tokens // max(map(len, texts))), 16, most))
+def _streams_for(texts: list[np.ndarray]) -> int:
+    """Fewer streams for little text, so that it still gives enough updates."""
+    return int(np.clip(sum(map(len, texts)) // (WINDOW * 40), 16, STREAMS))
+
+
+def _running(lengths: np.ndarray, at: int) -> int:
+    """Streams that have a step ``at``."""
+    return int(np.searchsorted(-lengths, -at, "left"))
 
 
 def train_texts(flat: np.ndarray, texts: list[np.ndarray], rate: float) -> np.ndarray:
-    """One pass of truncated back-propagation (Adam) over the texts, from and to flat weights."""
+    """One pass of truncated back-propagation (Adam) over the texts, from and to flat weights.
+
+    Windows give their gradients to a step once it has half the tokens of a full window, so the rest of one long text,
+    alone in its window, doesn't move the weights by a few tokens at a time.
+    """
     flat = flat.copy()
-    ids, begins, _ = pack(texts, _streams_for(texts))
+    ids, begins, _, lengths = pack(texts, _streams_for(texts))
     state = np.zeros((ids.shape[1], HIDDEN), np.float32)
     m, v = np.zeros_like(flat), np.zeros_like(flat)
-    for k, at in enumerate(range(0, len(ids), WINDOW)):
-        part = ids[at : at + WINDOW]
-        _, state, grad = window_pass(_views(flat), part, begins[at : at + WINDOW], state, True)
-        grad /= max(1, int((part < CODES).sum()))
-        m += 0.1 * (grad - m)
-        grad *= grad
-        v += 0.01 * (grad - v)
-        flat -= (rate / (1 - 0.9 ** (k + 1))) * m / (np.sqrt(v / (1 - 0.99 ** (k + 1))) + DAMP)
+    total, tokens, k = np.zeros_like(flat), 0, 0
+    for at in range(0, len(ids), WINDOW):
+        n = _running(lengths, at)
+        part = ids[at : at + WINDOW, :n]
+        _, state, grad = window_pass(_views(flat), part, begins[at : at + WINDOW, :n], state[:n], True)
+        total += grad
+        tokens += int((part < CODES).sum())
+        if 2 * tokens >= WINDOW * ids.shape[1] or at + WINDOW >= len(ids):
+            k += 1
+            total /= max(1, tokens)
+            m += 0.1 * (total - m)
+            total *= total
+            v += 0.01 * (total - v)
+            flat -= (rate / (1 - 0.9**k)) * m / (np.sqrt(v / (1 - 0.99**k)) + DAMP)
+            total[:], tokens = 0.0, 0
     return flat
 
 
@@ -407,14 +429,18 @@ def fit(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate:
 def text_scores(flat: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each text's codes, state carried through the whole text."""
     w = _views(flat.copy())
-    ids, begins, owner = pack(texts, min(len(texts), max(1, _streams_for(texts))))
+    ids, begins, owner, lengths = pack(texts, min(len(texts), _streams_for(texts)))
     state = np.zeros((ids.shape[1], HIDDEN), np.float32)
     out = np.zeros(len(texts))
-    for at in range(0, len(ids), WINDOW):
-        logp, state, _ = window_pass(w, ids[at : at + WINDOW], begins[at : at + WINDOW], state, False)
-        own = owner[at : at + WINDOW].ravel()
+    at = 0
+    while at < len(ids):
+        n = _running(lengths, at)
+        upto = min(len(ids), at + WINDOW * max(1, STREAMS // n))  # as many tokens whether few streams run or many
+        logp, state, _ = window_pass(w, ids[at:upto, :n], begins[at:upto, :n], state[:n], False)
+        own = owner[at:upto, :n].ravel()
         some = own >= 0
         out += np.bincount(own[some], weights=logp.ravel()[some].astype(np.float64), minlength=len(texts))
+        at = upto
     return out / np.log(10)
 
 
