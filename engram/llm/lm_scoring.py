@@ -8,7 +8,7 @@ last slot and go by their (smoothed) counts in it, an unseen token taking the sl
 
 The recurrent cell is gated and steps once per token: the state after all tokens so far predicts the next one, which
 then is its input.  It is trained in numpy by back-propagation truncated
-to ``WINDOW`` steps, over every training document once: in each of ``ROUNDS`` rounds every task starts
+to ``WINDOW`` steps (more where few streams run on), over every training document once: in each of ``ROUNDS`` rounds every task starts
 from the common weights, trains on its share of that round's documents, and Spark averages the tasks'
 weights.  Documents are packed into parallel streams; the state is carried across windows to a document's
 end and reset at its start, for training and for scoring alike.
@@ -44,6 +44,8 @@ ENDINGS, REST = CLASSES - 1, SLOTS - 1
 CODES = CLASSES * SLOTS
 END_CODE = ENDINGS * SLOTS
 WINDOW, STREAMS = 16, 512
+#: A window has up to so many times WINDOW steps where few streams still run.
+LONGER = 16
 EMBED, HIDDEN = 8, 12
 ROUNDS, RATE, SEED = 3, 0.01, 11
 #: Damps the steps of weights that rarely have a gradient.
@@ -355,6 +357,12 @@ def _running(lengths: np.ndarray, at: int) -> int:
     return int(np.searchsorted(-lengths, -at, "left"))
 
 
+def _window_end(n: int, streams: int, at: int, steps: int) -> int:
+    """End of the window from ``at`` on, in which n of the streams run: the fewer they are, the more steps, so that its
+    cost is spread over as many tokens."""
+    return min(steps, at + WINDOW * min(LONGER, max(1, streams // n)))
+
+
 def train_texts(flat: np.ndarray, texts: list[np.ndarray], rate: float) -> np.ndarray:
     """One pass of truncated back-propagation (Adam) over the texts, from and to flat weights.
 
@@ -366,13 +374,16 @@ def train_texts(flat: np.ndarray, texts: list[np.ndarray], rate: float) -> np.nd
     state = np.zeros((ids.shape[1], HIDDEN), np.float32)
     m, v = np.zeros_like(flat), np.zeros_like(flat)
     total, tokens, k = np.zeros_like(flat), 0, 0
-    for at in range(0, len(ids), WINDOW):
+    at = 0
+    while at < len(ids):
         n = _running(lengths, at)
-        part = ids[at : at + WINDOW, :n]
-        _, state, grad = window_pass(_views(flat), part, begins[at : at + WINDOW, :n], state[:n], True)
+        upto = _window_end(n, ids.shape[1], at, len(ids))
+        part = ids[at:upto, :n]
+        _, state, grad = window_pass(_views(flat), part, begins[at:upto, :n], state[:n], True)
+        at = upto
         total += grad
         tokens += int((part < CODES).sum())
-        if 2 * tokens >= WINDOW * ids.shape[1] or at + WINDOW >= len(ids):
+        if 2 * tokens >= WINDOW * ids.shape[1] or at == len(ids):
             k += 1
             total /= max(1, tokens)
             m += 0.1 * (total - m)
@@ -435,7 +446,7 @@ def text_scores(flat: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     at = 0
     while at < len(ids):
         n = _running(lengths, at)
-        upto = min(len(ids), at + WINDOW * max(1, STREAMS // n))  # as many tokens whether few streams run or many
+        upto = _window_end(n, STREAMS, at, len(ids))
         logp, state, _ = window_pass(w, ids[at:upto, :n], begins[at:upto, :n], state[:n], False)
         own = owner[at:upto, :n].ravel()
         some = own >= 0
