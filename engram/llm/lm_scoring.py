@@ -240,15 +240,18 @@ def window_pass(w: dict[str, np.ndarray], ids: np.ndarray, begins: np.ndarray, s
     it and, if asked for, the gradient of the summed negative log-probability."""
     steps, streams = ids.shape
     real = ids < CODES
-    x = w["embed"][ids]
-    drive = x @ w["into"] + w["gate"]
-    hs = np.empty((steps, streams, HIDDEN), np.float32)
+    # what each token gives the gates, looked up
+    drive = np.take(w["embed"] @ w["into"] + w["gate"], ids, axis=0)
+    # a last entry of 1 in every state takes the leanings into the products
+    hs = np.ones((steps, streams, HIDDEN + 1), np.float32)
+    out = np.vstack((w["out"], w["lean"]))
+    inner = np.concatenate((w["inner"], w["inner_lean"][:, None]), axis=1)
     keep = []
     h = state
     for t in range(steps):
         if begins[t].any():
             h = h * ~begins[t][:, None]
-        hs[t] = h
+        hs[t, :, :HIDDEN] = h
         g = h @ w["again"]
         zr = _sigmoid(drive[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
@@ -264,24 +267,24 @@ def window_pass(w: dict[str, np.ndarray], ids: np.ndarray, begins: np.ndarray, s
     order = np.argsort((code // SLOTS).astype(np.uint8), kind="stable")
     place, code = place[order], code[order]
     kind, slot = code // SLOTS, code % SLOTS
-    flat = np.take(hs.reshape(-1, HIDDEN), place, axis=0)
-    p, own = _softmax(flat @ w["out"] + w["lean"], kind, learn)
+    flat = np.take(hs.reshape(-1, HIDDEN + 1), place, axis=0)
+    p, own = _softmax(flat @ out, kind, learn)
     bounds = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
     grad = np.zeros(SIZE, np.float32) if learn else None
     if learn:
         d = _views(grad)
-        d["out"][...] = flat.T @ p
-        d["lean"][...] = p.sum(axis=0)
+        both = flat.T @ p
+        d["out"][...], d["lean"][...] = both[:HIDDEN], both[HIDDEN]
         dflat = p @ w["out"].T
     for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         if a == b or c == ENDINGS:  # the end mark is alone in its class
             continue
         hc = flat[a:b]
-        q, inside = _softmax(hc @ w["inner"][c] + w["inner_lean"][c], slot[a:b], learn)
+        q, inside = _softmax(hc @ inner[c], slot[a:b], learn)
         own[a:b] += inside
         if learn:
-            d["inner"][c] = hc.T @ q
-            d["inner_lean"][c] = q.sum(axis=0)
+            both = hc.T @ q
+            d["inner"][c], d["inner_lean"][c] = both[:HIDDEN], both[HIDDEN]
             dflat[a:b] += q @ w["inner"][c].T
     logp = np.zeros(steps * streams, np.float32)
     logp[place] = own
@@ -297,24 +300,25 @@ def window_pass(w: dict[str, np.ndarray], ids: np.ndarray, begins: np.ndarray, s
         z, r, c, gc, on = keep[t]
         up = dh * on
         dc = up * (1 - z) * (1 - c * c)
-        dz = up * (hs[t] - c) * z * (1 - z)
+        before = hs[t, :, :HIDDEN]
+        dz = up * (before - c) * z * (1 - z)
         dr = dc * gc * r * (1 - r)
         ddrive[t, :, :HIDDEN], ddrive[t, :, HIDDEN : 2 * HIDDEN], ddrive[t, :, 2 * HIDDEN :] = dz, dr, dc
         dg = np.concatenate((dz, dr, dc * r), axis=1)
-        d["again"] += hs[t].T @ dg
+        d["again"] += before.T @ dg
         dh = up * z + dh * ~on + dg @ w["again"].T + dhs[t]
         if begins[t].any():
             dh = dh * ~begins[t][:, None]
     flat_drive = ddrive.reshape(-1, 3 * HIDDEN)
-    d["into"][...] = x.reshape(-1, EMBED).T @ flat_drive
     d["gate"][...] = flat_drive.sum(axis=0)
-    dx = flat_drive @ w["into"].T
-    # gradient of the embeddings: steps' inputs summed by token
+    # gradients of the tokens' inputs, summed by token
     tokens = ids.ravel().astype(np.uint16)
     order = np.argsort(tokens, kind="stable")
     tokens = tokens[order]
     first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-    d["embed"][tokens[first]] = np.add.reduceat(np.take(dx, order, axis=0), first, axis=0)
+    given, seen = np.add.reduceat(np.take(flat_drive, order, axis=0), first, axis=0), tokens[first]
+    d["into"][...] = w["embed"][seen].T @ given
+    d["embed"][seen] = given @ w["into"].T
     d["embed"][CODES] = 0.0
     return logp, h, grad
 
