@@ -38,7 +38,7 @@ from .words import Words, chunks, mix, slices, split_words
 #: Words with at least 1 / FREQUENT of all training tokens have their counts broadcast.
 FREQUENT = 1 << 20
 #: Classes of endings and, last, the end mark's; slots of a class, the last for all words without one of their own.
-CLASSES, SLOTS = 32, 48
+CLASSES, SLOTS = 32, 64
 ENDINGS, REST = CLASSES - 1, SLOTS - 1
 #: Codes are class * SLOTS + slot; the last one stands for no token.
 CODES = CLASSES * SLOTS
@@ -46,7 +46,7 @@ END_CODE = ENDINGS * SLOTS
 WINDOW, STREAMS = 16, 512
 #: A window has up to so many times WINDOW steps where few streams still run.
 LONGER = 16
-EMBED, HIDDEN = 8, 12
+EMBED, HIDDEN = 8, 16
 ROUNDS, RATE, SEED = 3, 0.01, 11
 #: Damps the steps of weights that rarely have a gradient.
 DAMP = 1e-3
