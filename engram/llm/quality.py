@@ -230,16 +230,32 @@ class Learner:
 
 
 def _learn(given, seed: int):
-    """What a part's rows change of the common state: places, changes, and the bias."""
+    """What each part's rows, which come one part after the other, change of the common state: places, changes, and the bias."""
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, n, bias = given.value
-        own = Learner(z, n, bias)
-        group = group.sort_values(["f", "soft"], kind="stable")
-        own.learn([np.frombuffer(f, np.int32) for f in group["f"]], group["soft"].to_numpy(), seed + key[0])
-        at = np.flatnonzero(own.n != n)
-        change = [at.astype(np.int32), (own.z[at] - z[at]).astype(np.float32), (own.n[at] - n[at]).astype(np.float32)]
-        return pd.DataFrame({"at": [change[0].tobytes()], "z": [change[1].tobytes()], "n": [change[2].tobytes()], "bias": [own.bias - bias], "parts": [1]})
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            own = Learner(z, n, bias)
+            own.learn([np.frombuffer(f, np.int32) for f in rows["f"].to_pylist()], rows["soft"].to_numpy(), seed + rows["part"][0].as_py())
+            at = np.flatnonzero(own.n != n)
+            change = [at.astype(np.int32), (own.z[at] - z[at]).astype(np.float32), (own.n[at] - n[at]).astype(np.float32)]
+            return pa.RecordBatch.from_arrays([*[pa.array([c.tobytes()], pa.binary()) for c in change], pa.array([float(own.bias - bias)]), pa.array([1], pa.int32())], names=["at", "z", "n", "bias", "parts"])
+
+        for batch in batches:
+            part = np.asarray(batch.column("part"))
+            ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)).tolist()
+            for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+                if begin == end:
+                    continue
+                if held and held[0].column("part")[0].as_py() != part[begin]:
+                    yield flush()
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield flush()
 
     return run
 
@@ -259,24 +275,26 @@ def _joined(group: pd.DataFrame) -> pd.DataFrame:
 def train(rows: DataFrame, epochs: int = EPOCHS, seed: int = 5) -> Learner:
     """Trains on rows (f: features as bytes, soft) in tasks.
 
-    Rows are dealt by a hash of their features to parts of bounded rows and bytes, and in every epoch each part learns
-    from the common state; a feature's change is the mean over the parts that have it.  The parts' changes, sparse, are
+    Rows are dealt, once, by a hash of their features to parts of bounded rows and bytes, written part by part, and in every
+    epoch each part is read and learns from the common state; a feature's change is the mean over the parts that have it.  The parts' changes, sparse, are
     joined in Spark; the driver gets one state of fixed size.
     """
     spark = rows.sparkSession
     count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("f")), F.lit(0))).head()
     parts = max(1, -(-count // PART_ROWS), -(-size // PART_BYTES))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("f"), F.lit(parts)).cast("int"))
+    part = F.pmod(F.xxhash64("f"), F.lit(parts)).cast("int")
     learner = Learner()
-    for epoch in range(epochs):
-        given = spark.sparkContext.broadcast((learner.z.astype(np.float32), learner.n.astype(np.float32), learner.bias))
-        changes = dealt.groupBy("part").applyInPandas(_learn(given, seed + 1000 * epoch), "at binary, z binary, n binary, bias double, parts int")
-        # one group of at most ``parts`` sparse states, a number that the sample bounds
-        moved = changes.groupBy("parts").applyInPandas(_joined, "z binary, n binary, bias double").head()
-        given.destroy()
-        if moved is None:
-            break
-        learner = Learner(learner.z + np.frombuffer(moved.z, np.float32), learner.n + np.frombuffer(moved.n, np.float32), learner.bias + moved.bias)
+    with Scratch(spark) as scratch:
+        dealt = scratch.save(rows.select(part.alias("part"), "f", "soft").repartition(parts, "part").sortWithinPartitions("part", "f", "soft"))
+        for epoch in range(epochs):
+            given = spark.sparkContext.broadcast((learner.z.astype(np.float32), learner.n.astype(np.float32), learner.bias))
+            changes = dealt.mapInArrow(_learn(given, seed + 1000 * epoch), "at binary, z binary, n binary, bias double, parts int")
+            # one group of at most ``parts`` sparse states, a number that the sample bounds
+            moved = changes.groupBy("parts").applyInPandas(_joined, "z binary, n binary, bias double").head()
+            given.destroy()
+            if moved is None:
+                break
+            learner = Learner(learner.z + np.frombuffer(moved.z, np.float32), learner.n + np.frombuffer(moved.n, np.float32), learner.bias + moved.bias)
     return learner
 
 
