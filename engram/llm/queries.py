@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_counts, url_filter
+from . import decontaminate, divergence, exact_dedup, html_extract, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_counts, url_filter
 
 #: The vocabulary of op3; its folder is a parameter of the environment.
 VOCABULARY = "byte_bpe_50k.json"
@@ -63,6 +63,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, scorer).where("kept")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
@@ -74,9 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.TAKEN_SQL,
     "op2_exact_dedup": exact_dedup.COPIES_SQL,
+    "op11_source_divergence": divergence.DIVERGENCE_SQL,
 }
