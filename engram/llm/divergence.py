@@ -149,12 +149,17 @@ def _encode(min_docs: int, chunk_rows: int):
     return run
 
 
-_PARTS = "part string, lang string, source string, item string, value long, chunk long, id int"
+_PARTS = "part string, lang string, source string, item string, value long, chunk long, ids array<int>, terms array<string>, values array<long>"
+#: A chunk tells the value of a source's so many best terms; top / MARK such chunks bound what the ``top`` terms of all reach.
+MARK = 8
 
 
 def _compare(top: int):
-    """The parts of one chunk: sums of pairs of sources, and the leading terms of each source against the language."""
-    schema = pa.schema([("part", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64()), ("chunk", pa.int64()), ("id", pa.int32())])
+    """The parts of one chunk: sums of pairs of sources, and a row of each source's leading terms against the language, whose value is the MARK-th best."""
+    schema = pa.schema([
+        ("part", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64()), ("chunk", pa.int64()),
+        ("ids", pa.list_(pa.int32())), ("terms", pa.list_(pa.string())), ("values", pa.list_(pa.int64())),
+    ])
 
     def run(table: pa.Table) -> pa.Table:
         rows = [r for r in table.to_pylist() if not r["whole"]]
@@ -173,7 +178,7 @@ def _compare(top: int):
             others = np.flatnonzero(side != side[i]) if two else np.flatnonzero(np.arange(len(rows)) != i)
             for j in others.tolist():
                 gap = p[i] - p[j]
-                out.append(("pair", lang, r["source"], rows[j]["source"], int((gap * gap // p[j]).sum()), None, None))
+                out.append(("pair", lang, r["source"], rows[j]["source"], int((gap * gap // p[j]).sum()), None, None, None, None))
         if whole and not two:
             w = whole[0]
             q = shares(np.frombuffer(w["counts"], np.int64), w["total"], kept)
@@ -181,8 +186,10 @@ def _compare(top: int):
                 own = np.flatnonzero((counts[i] > 0) & (p[i] > q))
                 gap = p[i][own] - q[own]
                 f = gap * gap // q[own]
-                for k in np.argsort(-f, kind="stable")[:top].tolist():  # ids ascend, so equal values keep the order of their terms
-                    out.append(("term", lang, r["source"], w["terms"][own[k]], int(f[k]), chunk, int(own[k])))
+                best = np.argsort(-f, kind="stable")[:top]  # ids ascend, so equal values keep the order of their terms
+                if len(best):
+                    mark = int(f[best[MARK - 1]]) if len(best) >= MARK else None
+                    out.append(("term", lang, r["source"], None, mark, chunk, own[best].tolist(), [w["terms"][k] for k in own[best].tolist()], f[best].tolist()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
 
     return run
@@ -227,7 +234,12 @@ def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source
         pairs = pairs.join(sums, ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
         own = Window.partitionBy("lang", "source")
         pairs = pairs.withColumn("rank", F.row_number().over(own.orderBy(F.desc("value"), "item")))
-        terms = parts.where("part = 'term'").withColumn("rank", F.row_number().over(own.orderBy(F.desc("value"), "chunk", "id"))).where(F.col("rank") <= top)
+        # as many chunks hold MARK terms of this value at least as make up the top
+        leading = parts.where("part = 'term'")
+        least = leading.where("value IS NOT NULL").withColumn("nth", F.row_number().over(own.orderBy(F.desc("value")))).where(F.col("nth") == -(-top // MARK)).select("lang", "source", F.col("value").alias("least"))
+        leading = leading.join(least, ["lang", "source"], "left").withColumn("t", F.explode(F.expr("filter(arrays_zip(ids, terms, values), t -> t.values >= coalesce(least, 0))")))
+        terms = leading.select("lang", "source", "part", F.col("t.terms").alias("item"), F.col("t.values").alias("value"), "chunk", F.col("t.ids").alias("id"))
+        terms = terms.withColumn("rank", F.row_number().over(own.orderBy(F.desc("value"), "chunk", "id"))).where(F.col("rank") <= top)
         return cut(pairs.unionByName(terms.select("lang", "source", "part", "item", "value", "rank")))
 
 
