@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, exact_dedup, html_extract, lm_scoring, mixing, near_dedup, quality, substring_dedup, token_counts, url_filter
+from . import decontaminate, divergence, exact_dedup, html_extract, lexical_search, lm_scoring, mixing, near_dedup, quality, set_join, substring_dedup, token_counts, url_filter
 
 #: The vocabulary of op3; its folder is a parameter of the environment.
 VOCABULARY = "byte_bpe_50k.json"
@@ -67,6 +67,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.joined_sets(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
@@ -79,10 +87,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_source_divergence": op11_source_divergence,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.TAKEN_SQL,
     "op2_exact_dedup": exact_dedup.COPIES_SQL,
     "op11_source_divergence": divergence.DIVERGENCE_SQL,
+    "op13_lexical_search": lexical_search.RANKED_SQL,
 }
