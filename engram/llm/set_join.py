@@ -3,10 +3,12 @@
 A document's set holds the distinct runs of ``size`` words (A-Z lower-cased); equal sets are one class.  Two sets
 link when 100 * |intersection| >= percent * |union|.
 
-Index: the elements of every set are ordered rare first (the ``FREQUENT`` most frequent elements of the corpus last, by
-their count, else by hash; the order changes the work, no result).  Linked sets share an element of one's probing
-prefix and of the smaller one's shorter index prefix, so only prefixes are listed: most elements stand in one list
-only and are dropped by a filter before anything else is shuffled.
+Index: the elements of every set are ordered rare first: those of a fixed share of all elements (``SAMPLED``, by hash) that are certainly in
+no other set, then the others by hash, the ``FREQUENT`` most frequent ones of the corpus last by their count.  The order changes the
+work, no result.  A set with more unique elements than a linked one may lack is linked with nothing and ends here, which are
+most sets of a corpus.  Linked sets share an element of one's probing prefix and of the smaller one's shorter index
+prefix, so only prefixes are listed, without their unique elements; elements in one list only are dropped by a filter
+before anything else is shuffled.
 
 Skipping whole lists: the smallest indexed set of every list is its head, and each set is compared with the heads of its lists.
 When the linked sets' components leave a list with one component, nothing in it can be new, and the list is skipped.  A
@@ -44,11 +46,15 @@ from .near_dedup import _Forest as Forest
 from .near_dedup import _row_name as row_name
 from .near_dedup import _set_hashes as set_hashes
 from .sparktools import Scratch, bare, connected_components, cut, drop_members, possibly_in
-from .words import slices
+from .substring_dedup import _collect_filter as collect_filter
+from .substring_dedup import _Filter as Filter
+from .words import chunks, mix, slices
 
 SIZE = 3
 #: Elements at the end of the order, and how often one must stand in a task's texts to be counted for it.
 FREQUENT, OFTEN = 1 << 18, 4
+#: One in so many elements is looked at to find those that no other set has.
+SAMPLED = 4
 #: Elements that a task holds before it counts them.
 HELD = 1 << 22
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
@@ -79,43 +85,63 @@ def _digests(size: int):
     return run
 
 
-def _often(size: int, often: int):
-    """Elements that several texts of a task hold, with their counts."""
+def _looked_at(s: np.ndarray) -> np.ndarray:
+    return mix(s) % np.uint64(SAMPLED) == 0
+
+
+def _counted(size: int, often: int):
+    """Counts of a task's sampled elements, and of those that several of its texts hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(values[n >= often].view(np.int64)), pa.array(n[n >= often], pa.int64())], names=["h", "n"])
+            some = (n >= often) | _looked_at(values)
+            yield from chunks(pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(n[some], pa.int64())], names=["m", "n"]))
 
         for batch in batches:
             for part in slices(batch, "text"):
                 held += shingle_sets(part.column("text"), size)
                 if sum(map(len, held)) > HELD:
-                    yield flush()
+                    yield from flush()
                     held = []
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
-def _prefixes(size: int, percent: int, shared):
-    """(id, n, keys): the probing prefix of every set, rare elements first."""
+def _prefixes(size: int, percent: int, shared, repeated):
+    """(id, n, skip, keys): the probing prefix of every set that may have links, behind its ``skip`` unique elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, count = shared.value
+        known = Filter(*repeated.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), size)
-                keys = []
-                for s in sets:
-                    if len(frequent) and len(s):
+                every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                looked = np.flatnonzero(_looked_at(every))
+                unique = np.zeros(len(every), dtype=bool)
+                unique[looked[~known.has(every[looked])]] = True
+                first = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
+                rows = []
+                for i, s in enumerate(sets):
+                    own = unique[first[i] : first[i + 1]]
+                    skip, length = int(own.sum()), prefix_lengths(len(s), percent)[0]
+                    if skip >= length or not len(s):
+                        continue
+                    s = s[~own]
+                    if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         s = s[np.lexsort((s, np.where(frequent[at] == s, count[at], 0)))]
-                    keys.append(s[: prefix_lengths(len(s), percent)[0]].tobytes() if len(s) else b"")
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], names=["id", "n", "keys"])
+                    rows.append((i, skip, s[: length - skip].tobytes()))
+                at = [r[0] for r in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row").take(pa.array(at, pa.int64())), pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
+                    names=["id", "n", "skip", "keys"],
+                )
 
     return run
 
@@ -126,8 +152,8 @@ def _entries(percent: int):
             keys = [np.frombuffer(k, np.int64) for k in batch.column("keys").to_pylist()]
             sizes = np.array([len(k) for k in keys], dtype=np.int64)
             n = np.asarray(batch.column("n"))
-            index = np.array([prefix_lengths(int(x), percent)[1] if x else 0 for x in n], dtype=np.int64)
-            pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            index = np.array([prefix_lengths(int(x), percent)[1] for x in n], dtype=np.int64)
+            pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(np.asarray(batch.column("skip")), sizes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(np.repeat(np.asarray(batch.column("id")), sizes)), pa.array(np.repeat(n, sizes)), pa.array(pos), pa.array(pos < np.repeat(index, sizes))],
                 names=["key", "id", "n", "pos", "listed"],
@@ -322,12 +348,13 @@ def joined_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         classes = scratch.save(digests.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("id"), F.min("doc_id").alias("first_id")))
         copies = digests.where("n > 0").join(classes, ["h1", "h2"]).where("row <> id").select("row").distinct()
         single = drop_members(rows.where("text IS NOT NULL"), "row", scratch.save(copies))
-        counted = rows.select("text").mapInArrow(_often(size, often), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        last = counted.orderBy(F.desc("n"), "h").limit(frequent).toArrow().sort_by("h")
-        h, n = np.asarray(last.column("h")).view(np.uint64), np.asarray(last.column("n"))
+        counted = scratch.save(single.select("text").mapInArrow(_counted(size, often), "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1"))
+        last = counted.where(F.col("n") >= often).orderBy(F.desc("n"), "m").limit(frequent).toArrow()
+        h, n = np.asarray(last.column("m")).view(np.uint64), np.asarray(last.column("n"))
         order = np.argsort(h)
         shared = spark.sparkContext.broadcast((h[order], n[order]))
-        prefixes = scratch.save(single.select("row", "text").mapInArrow(_prefixes(size, percent, shared), "id long, n long, keys binary").where("n > 0"))
+        repeated, _ = collect_filter(counted.select("m"))
+        prefixes = scratch.save(single.select("row", "text").mapInArrow(_prefixes(size, percent, shared, repeated), "id long, n long, skip long, keys binary"))
         entries = prefixes.mapInArrow(_entries(percent), "key long, id long, n long, pos long, listed boolean")
         twice = scratch.save(entries.groupBy("key").count().where("count > 1").select("key"))
         entries = scratch.save(possibly_in(entries, "key", twice).join(twice, "key").dropDuplicates(["key", "id"]))
@@ -361,4 +388,5 @@ def joined_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         )
         out = cut(out)
     shared.destroy()
+    repeated.destroy()
     return out
