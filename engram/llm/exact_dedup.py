@@ -5,10 +5,11 @@ pass hashes each text and counts filter positions; a position that was hit twice
 repeated text.  The second pass probes those positions: a row with a position that was hit once is
 certainly alone and passes straight through, all others are shuffled on their hash and settled there.
 
-The positions are counted in a table keyed by (bucket, bit), and the filter is a table of one bitmap a
-bucket.  It is broadcast only while its size, which follows from the row count and is checked first, is
-within a bound; beyond the bound only (hash) columns are joined by shuffle, and texts still stay
-where they are.
+The positions are counted in a table keyed by (bucket, bit), and the filter that is broadcast is a table of one bitmap a
+bucket, of at most BROADCAST_BUCKETS * 4 KB.  Up to about 16 million rows it clears nearly every single text; with more rows it
+is fuller, so more rows are shuffled than need be, in :func:`without_copies` with their texts.  The result is the same at every size.
+
+Very long texts are hashed where they stand; an empty table gives an empty result.
 
 Defined results: null counts as the empty text; of equal texts the row with the most code points
 stays, then the smallest id, a null id after all others; rows that repeat both id and text are equal
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sparktools import BROADCAST_BUCKETS, BUCKET_IDS, bare, bit_is_set, cut, filter_positions
+from .sparktools import bare, bit_is_set, buckets_for, cut, filter_positions
 
 #: Deleted before texts are compared.  Fixed values of the operator's contract.
 WHITE = " \t\n\x0b\x0c\r"
@@ -33,7 +34,7 @@ def normalised_sha(text: Column) -> Column:
 
 def _possible_repeats(hashes: DataFrame, rows: int) -> tuple[DataFrame, int]:
     """Filter of the hashes (one long column ``h`` per row) whose positions were all hit twice."""
-    buckets = max(1, -(-rows // BUCKET_IDS))
+    buckets = buckets_for(rows)
     hits = hashes.select(F.explode(filter_positions(F.col("h"), buckets)).alias("p")).groupBy("p.bucket", "p.bit").count()
     return hits.where("count > 1").groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")), buckets
 
@@ -44,15 +45,8 @@ def _probed(rows: DataFrame, hashes: DataFrame, count: int) -> DataFrame:
     table = table.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
     rows = rows.withColumn("__probe", filter_positions(F.col("__h"), buckets))
     hit = " AND ".join(bit_is_set("__bits", f"__probe[{i}].bit") for i in range(3))
-    if buckets <= BROADCAST_BUCKETS:
-        table = F.broadcast(table)
-        rows = rows.join(table, F.col("__probe")[0]["bucket"] == F.col("__bucket"), "left")
-        return rows.withColumn("__again", F.coalesce(F.expr(hit), F.lit(False))).drop("__probe", "__bucket", "__bits")
-    again = (
-        hashes.select(F.col("h"), filter_positions(F.col("h"), buckets).alias("__probe")).distinct()
-        .join(table, F.col("__probe")[0]["bucket"] == F.col("__bucket")).where(hit).select("h")
-    )
-    return rows.drop("__probe").join(again.withColumn("__again", F.lit(True)), F.col("__h") == F.col("h"), "left").drop("h").withColumn("__again", F.coalesce("__again", F.lit(False)))
+    rows = rows.join(F.broadcast(table), F.col("__probe")[0]["bucket"] == F.col("__bucket"), "left")
+    return rows.withColumn("__again", F.coalesce(F.expr(hit), F.lit(False))).drop("__probe", "__bucket", "__bits")
 
 
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

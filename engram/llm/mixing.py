@@ -222,7 +222,7 @@ def taken_words(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, seed: str = "mix") -> DataFrame:
-    """The mixed rows: all columns of ``docs``, then mix_shard, mix_epoch, mix_words.
+    """The mixed rows: all columns of ``docs``, then mix_shard, mix_epoch, mix_words (with ``_`` behind the name where ``docs`` has a column of that name).
 
     A document stands once for every draw that takes words of it, with whole text; mix_words says how
     many of its words the draw takes (fewer than all only for a source's last document).  Every output
@@ -246,7 +246,14 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     rows = rows.where("mix_words > 0").withColumn("__at", F.xxhash64(F.lit(seed), "__order", "d.epoch"))
     out = rows.select("__row", F.col("d.shard").alias("mix_shard"), F.col("d.epoch").alias("mix_epoch"), "mix_words", "__at", F.pmod("__at", F.lit(64)).alias("__piece"))
     out = out.repartition("mix_shard", "__piece").sortWithinPartitions("mix_shard", "__at")
-    return out.select("__row.*", *[F.col(c) for c in ("mix_shard", "mix_epoch", "mix_words")])
+    taken = {c.lower() for c in docs.columns}
+    return out.select("__row.*", *[F.col(c).alias(_free(c, taken)) for c in ("mix_shard", "mix_epoch", "mix_words")])
+
+
+def _free(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
 
 
 TAKEN_SQL = r"""

@@ -16,8 +16,9 @@ components are the groups.
 
 Defined results: null or empty texts have an empty set and are linked with nothing; texts with fewer
 words than a shingle have the whole sequence as the only element; rows with equal sets always share a
-group; a null id never becomes a group's id unless the group has no other; repeated rows each get a
-row; other columns of the input are not read.
+group; a null id never becomes a group's id unless the group has no other; rows that share an id but not the text are documents of
+their own, repeated rows each get a row (and stay or go together); very long texts are whole sets; an empty table gives no rows; other
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def _keys(sets: list[np.ndarray], values: np.ndarray, percent: int) -> tuple[np.
     return np.concatenate(owners), np.concatenate(keys)
 
 
-_DIGEST = pa.schema([("rid", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.binary())])
+_DIGEST = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.binary())])
 _MEMBER = pa.schema([("cluster", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
 
 
@@ -152,7 +153,7 @@ def _digests(percent: int):
                     for i, k in zip(some.tolist(), np.split(key[order], ends), strict=True):
                         keys[i] = k.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), part.column("row"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array(keys, pa.binary())],
+                    [part.column("row"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array(keys, pa.binary())],
                     schema=_DIGEST,
                 )
 
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, of which one stays in each group; only rows that may have to go are shuffled."""
-    gone = _grouped(docs, key, text, percent).where("NOT kept").select("row").distinct()
+    gone = _grouped(docs, key, text, percent).where("NOT stays").select("row").distinct()
     named = docs.withColumn("__row_name", _row_name(F.col(f"`{key}`"), F.col(f"`{text}`")))
     return drop_members(named, "__row_name", gone).drop("__row_name")
 
@@ -272,16 +273,15 @@ def _row_name(key: Column, text: Column) -> Column:
 
 
 def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """row (a hash of key and text), doc_id, n_shingles, component_id, kept."""
+    """row (a hash of key and text), doc_id, n_shingles, component_id, kept (its id is the component's), stays (it is the component's one row)."""
     spark = docs.sparkSession
     rows = bare(docs, key, text).toDF("doc_id", "text")
     rows = rows.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"), _row_name(F.col("doc_id"), F.col("text")).alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"), "text",
+        _row_name(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text",
     )
     with Scratch(spark) as scratch:
-        digests = scratch.save(rows.mapInArrow(_digests(percent), "rid long, row long, doc_id long, n long, h1 long, h2 long, keys binary"))
-        classes = digests.where("n > 0").groupBy("h1", "h2").agg(F.coalesce(F.min("doc_id"), F.min("rid")).alias("id"), F.first("keys").alias("keys"))
+        digests = scratch.save(rows.mapInArrow(_digests(percent), "row long, doc_id long, n long, h1 long, h2 long, keys binary"))
+        classes = digests.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("id"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best"), F.first("keys").alias("keys"))
         classes = scratch.save(classes)
         bands = scratch.save(classes.select("id", "keys").mapInArrow(_explode_keys, "key long, id long"))
         shared = bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
@@ -289,7 +289,7 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         edges = bands.join(shared, "key").where("id <> low").select(F.col("low").alias("src"), F.col("id").alias("dst"))
         clusters = scratch.save(connected_components(edges).withColumnRenamed("label", "cluster"))
         # only documents of clusters send their texts through the shuffle
-        texts = possibly_in(rows.select(F.col("rid").alias("id"), "text"), "id", clusters.select("id"))
+        texts = possibly_in(rows.select(F.col("row").alias("id"), "text"), "id", clusters.select("id"))
         member = texts.join(clusters, "id").select("cluster", "id", "text").mapInArrow(_members, "cluster long, id long, n long, sketch binary, shingles binary")
         member = scratch.save(member.dropDuplicates(["cluster", "id"]))
         sized = cut(
@@ -308,12 +308,15 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         )
         links = dealt.mapInArrow(_confirm(percent), "src long, dst long")
         groups = cut(connected_components(links))
-        labels = classes.join(groups, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("component"))
+        labels = scratch.save(classes.join(groups, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"), "best"))
+        names = labels.groupBy("label").agg(F.min("best").alias("best"))
+        labels = labels.drop("best").join(names, "label").select("h1", "h2", "best")
         out = digests.join(labels, ["h1", "h2"], "left").select(
             "row",
             "doc_id",
             F.col("n").alias("n_shingles"),
-            F.expr("CASE WHEN n > 0 THEN component ELSE doc_id END").alias("component_id"),
-            F.expr("n = 0 OR coalesce(doc_id, rid) <=> component").alias("kept"),
+            F.expr("CASE WHEN n > 0 THEN best.doc_id ELSE doc_id END").alias("component_id"),
+            F.expr("n = 0 OR if(best.nameless, row = best.row, doc_id <=> best.doc_id)").alias("kept"),
+            F.expr("n = 0 OR row = best.row").alias("stays"),
         )
         return cut(out)

@@ -11,10 +11,11 @@ prefix, so only prefixes are listed, without their unique elements; elements in
 before anything else is shuffled.
 
 Skipping whole lists: the smallest indexed set of every list is its head, and each set is compared with the heads of its lists.
-When the linked sets' components leave a list with one component, nothing in it can be new, and the list is skipped.  A
-group of very many near copies costs a few comparisons a copy this way, however large it is.
+A list whose other sets are then one component holds nothing new and is skipped; the others go on without their
+heads, ``ROUNDS`` times.  A group of very many near copies costs a few comparisons a copy this way, however large it is, and
+lists of few sets are done.
 
-Lists with several components form clusters.  A cluster is cut into blocks of ``BLOCK_DOCS`` sets and ``BLOCK_SHINGLES`` elements;
+Lists that still have several components form clusters.  A cluster is cut into blocks of ``BLOCK_DOCS`` sets and ``BLOCK_SHINGLES`` elements;
 sizes fall in classes so wide that only equal and neighbouring classes can link, and only such blocks meet.  In a pair of blocks:
 
 * block-skip by position: index lists are sorted by (size, position).  For a probe's position, each size has a range of positions
@@ -56,10 +57,10 @@ FREQUENT, OFTEN = 1 << 18, 4
 #: One in so many elements is looked at to find those that no other set has.
 SAMPLED = 4
 #: Elements that a task holds before it counts them.
-HELD = 1 << 22
+HELD = 1 << 21
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
-#: Hot heads are copied so often for the comparison with their lists.
-SALT = 16
+#: Times that lists lose their head, and pairs of a head that one copy of it serves.
+ROUNDS, PART = 3, 256
 #: A set whose similarity with a computed one reaches this share takes its answers from there.
 RELATIVE = 0.8
 
@@ -175,10 +176,11 @@ def _members(size: int):
 def _with_heads(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("shingles", "head_shingles"))
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
-            linked = pa.array([100 * o >= percent * (len(x) + len(y) - o) for x, y, o in zip(a, b, both, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("head").filter(linked), batch.column("id").filter(linked)], names=["src", "dst"])
+            for part in slices(batch, "shingles"):
+                a, b = ([np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] for c in ("shingles", "head_shingles"))
+                both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
+                linked = pa.array([100 * o >= percent * (len(x) + len(y) - o) for x, y, o in zip(a, b, both, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("head").filter(linked), part.column("id").filter(linked)], names=["src", "dst"])
 
     return run
 
@@ -280,6 +282,15 @@ class SkipJoin:
         return out
 
 
+def _against_heads(pairs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs (id, head).  A head of many pairs is copied to parts of them; no other is copied."""
+    parts = pairs.groupBy("head").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    head_sets = member.select(F.col("id").alias("head"), F.col("shingles").alias("head_shingles")).join(parts, "head").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    dealt = pairs.join(parts, "head").withColumn("part", F.expr("CAST(pmod(xxhash64(id), parts) AS INT)")).drop("parts")
+    both = dealt.join(member.select("id", "shingles"), "id").join(head_sets, ["head", "part"])
+    return both.select("id", "head", "shingles", "head_shingles").mapInArrow(_with_heads(percent), "src long, dst long")
+
+
 _GROUP = ("cluster", "kl", "sl", "kr", "sr")
 
 
@@ -358,22 +369,24 @@ def joined_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         entries = prefixes.mapInArrow(_entries(percent), "key long, id long, n long, pos long, listed boolean")
         twice = scratch.save(entries.groupBy("key").count().where("count > 1").select("key"))
         entries = scratch.save(possibly_in(entries, "key", twice).join(twice, "key").dropDuplicates(["key", "id"]))
-        heads = entries.where("listed").groupBy("key").agg(F.min(F.struct("n", "id")).alias("h")).select("key", F.col("h.n").alias("head_n"), F.col("h.id").alias("head"))
-        pairs = entries.join(heads, "key").where(f"id <> head AND 100 * least(n, head_n) >= {percent} * greatest(n, head_n)").select("id", "head").distinct()
-        pairs = scratch.save(pairs)
         wanted = scratch.save(entries.select("id").distinct())
         texts = possibly_in(rows.select("row", "text"), "row", wanted).join(wanted.withColumnRenamed("id", "row"), "row")
         member = scratch.save(texts.mapInArrow(_members(size), "id long, n long, shingles binary").dropDuplicates(["id"]))
-        # each set against the heads of its lists
-        head_sets = member.join(pairs.select(F.col("head").alias("id")).distinct(), "id").select(F.col("id").alias("head"), F.col("shingles").alias("head_shingles"))
-        head_sets = head_sets.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALT - 1}L)")))
-        both = pairs.join(member.select("id", "shingles"), "id").withColumn("salt", F.expr(f"pmod(xxhash64(id), {SALT}L)")).join(head_sets, ["head", "salt"])
-        found = scratch.save(both.select("id", "head", "shingles", "head_shingles").mapInArrow(_with_heads(percent), "src long, dst long"))
-        joined = scratch.save(connected_components(found))
-        # lists with more than one component are left
-        labelled = scratch.save(entries.join(joined, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")))
-        left = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("star")).where("low <> high")
-        left = scratch.save(labelled.join(left.select("key", "star"), "key").select("id", "star", "label").distinct())
+        joined, found = None, None
+        left = entries.withColumn("label", F.col("id"))
+        for _ in range(ROUNDS):
+            # each set against the heads of its lists
+            heads = left.where("listed").groupBy("key").agg(F.min(F.struct("n", "id", "label")).alias("h")).select("key", F.col("h.n").alias("head_n"), F.col("h.id").alias("head"), F.col("h.label").alias("head_label"))
+            headed = scratch.save(left.join(heads, "key").where("id <> head"))
+            pairs = headed.where(f"label <> head_label AND 100 * least(n, head_n) >= {percent} * greatest(n, head_n)").select("id", "head").distinct()
+            links = scratch.save(_against_heads(scratch.save(pairs), member, percent))
+            found = links if found is None else scratch.save(found.unionByName(links))
+            joined = scratch.save(connected_components(found))
+            # without their heads, lists with more than one component and an indexed set are left
+            rest = headed.select("key", "id", "n", "listed").join(joined, "id", "left").withColumn("label", F.coalesce("label", "id"))
+            open_lists = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("listed").alias("some"), F.min("id").alias("star")).where("low <> high AND some")
+            left = scratch.save(rest.join(open_lists.select("key", "star"), "key"))
+        left = scratch.save(left.select("id", "star", "label").distinct())
         clusters = connected_components(left.select(F.col("star").alias("src"), F.col("id").alias("dst"))).withColumnRenamed("label", "cluster")
         open_sets = scratch.save(member.join(left.select("id", "label").distinct(), "id").join(clusters, "id").select("cluster", "label", "id", "n", "shingles"))
         more = scratch.save(_dealt(open_sets, scratch, percent).mapInArrow(_join_blocks(percent), "src long, src_label long, dst long, dst_label long"))

@@ -100,16 +100,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 #: Bits in a bucket of a filter table (the length that bitmap_construct_agg makes) and ids dealt to it.
 BUCKET_BITS, BUCKET_IDS = 32768, 2048
-#: A filter of more buckets than this (4 KB each) is not broadcast.
+#: A filter never has more buckets than this (4 KB each).  With more members it is fuller and clears fewer rows; no result changes.
 BROADCAST_BUCKETS = 8192
 
 
+def buckets_for(members: int) -> int:
+    return max(1, min(BROADCAST_BUCKETS, -(-members // BUCKET_IDS)))
+
+
 def filter_table(hashes: DataFrame, column: str, expected: int) -> tuple[DataFrame, int]:
-    """A blocked Bloom filter of the long ``column`` as rows (bucket, bits), and its number of buckets."""
-    buckets = max(1, -(-expected // BUCKET_IDS))
+    """A blocked Bloom filter of the long ``column`` as rows (__bucket, __bits), and its number of buckets."""
+    buckets = buckets_for(expected)
     table = (
         hashes.select(F.explode(filter_positions(F.col(column), buckets)).alias("p"))
-        .groupBy("p.bucket").agg(F.expr("bitmap_construct_agg(p.bit)").alias("bits"))
+        .groupBy(F.col("p.bucket").alias("__bucket")).agg(F.expr("bitmap_construct_agg(p.bit)").alias("__bits"))
     )
     return table, buckets
 
@@ -128,22 +132,18 @@ def bit_is_set(bits: str, bit: str) -> str:
 def _probed(df: DataFrame, column: str, members: DataFrame, expected: int) -> DataFrame:
     """Adds __maybe: whether ``column`` may be in ``members`` (false only if it certainly isn't)."""
     table, buckets = filter_table(members.toDF("member"), "member", expected)
-    probes = df.withColumn("__probe", filter_positions(F.col(column), buckets))
-    joined = probes.join(F.broadcast(table), F.col("__probe")[0]["bucket"] == F.col("bucket"), "left")
-    hit = " AND ".join(bit_is_set("bits", f"__probe[{i}].bit") for i in range(3))
+    probes = df.withColumn("__probe", filter_positions(F.col(f"`{column}`"), buckets))
+    joined = probes.join(F.broadcast(table), F.col("__probe")[0]["bucket"] == F.col("__bucket"), "left")
+    hit = " AND ".join(bit_is_set("__bits", f"__probe[{i}].bit") for i in range(3))
     return joined.withColumn("__maybe", F.coalesce(F.expr(hit), F.lit(False))).select(*[F.col(f"`{c}`") for c in df.columns], "__maybe")
 
 
 def possibly_in(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``column`` may be in ``members`` (one column; no row in it is lost).
 
-    The filter is broadcast only while its size, checked first, is within BROADCAST_BUCKETS * 4 KB;
-    beyond that the rows are returned unfiltered and the join that follows does all the work.
+    The filter that is broadcast takes at most BROADCAST_BUCKETS * 4 KB, however many members there are.
     """
-    expected = members.count()
-    if expected > BROADCAST_BUCKETS * BUCKET_IDS:
-        return df
-    return _probed(df, column, members, expected).where("__maybe").drop("__maybe")
+    return _probed(df, column, members, members.count()).where("__maybe").drop("__maybe")
 
 
 def drop_members(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
@@ -156,8 +156,6 @@ def drop_members(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
     if expected == 0:
         return df
     members = members.toDF("__member")
-    if expected > BROADCAST_BUCKETS * BUCKET_IDS:
-        return df.join(members, F.col(f"`{column}`") == F.col("__member"), "left_anti")
     probed = _probed(df, column, members, expected)
     clear = probed.where("NOT __maybe").drop("__maybe")
     looked_up = probed.where("__maybe").drop("__maybe").join(members, F.col(f"`{column}`") == F.col("__member"), "left_anti")

@@ -14,9 +14,9 @@ edges matched), then cut out of the texts.
 
 Documents with the same word sequence are one class; only its smallest id takes part in the edges.
 
-Defined results: a null or empty text has no words and keeps the hash of the empty text; an order
-between equal windows is (id, position), rows without an id last and of those equal texts as one document; repeated rows with the same id and words are
-one document and get equal rows; other columns of the input are not read.
+Defined results: a null or empty text has no words and keeps the hash of the empty text; equal windows are ordered by (id, hash of id and
+text, position), rows without an id last: rows that share an id but not the text are documents of their own, rows that share both are
+one document and get equal rows; very long texts are whole documents; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +40,6 @@ FILTER_BUCKETS = 8192
 #: Possible repeats that a task holds before it orders and sends them.
 HELD = 1 << 20
 _PLACE = np.uint64((1 << 20) - 1)
-#: Rows without an id get one from here on, by their text.
-_NO_ID = 1 << 62
-
 
 def _digest(words: Words, i: int, keep: np.ndarray | None = None) -> str:
     """SHA-256 of a text's words, or of those that ``keep`` marks, joined by one space."""
@@ -157,7 +155,7 @@ def _candidate_rows(k: int, gram: int, shared):
     this task, 3 the repeats inside a document that the task itself could tell."""
 
     schema = pa.schema([
-        ("kind", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("text", pa.large_binary()), ("spans", pa.binary()),
+        ("kind", pa.int32()), ("nameless", pa.bool_()), ("doc_id", pa.int64()), ("row", pa.int64()), ("text", pa.large_binary()), ("spans", pa.binary()),
         ("edge", pa.int64()), ("edge2", pa.int64()), ("at", pa.int64()),
     ])
 
@@ -172,31 +170,31 @@ def _candidate_rows(k: int, gram: int, shared):
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate([h[0] for h in held])
-            at = np.concatenate([h[1] for h in held])
-            edge = np.concatenate([h[2] for h in held])
-            edge2 = np.concatenate([h[3] for h in held])
-            order = np.lexsort((at, ids, edge2, edge))
-            ids, at, edge, edge2 = ids[order], at[order], edge[order], edge2[order]
+            nameless, ids, row, at, edge, edge2 = (np.concatenate([h[c] for h in held]) for c in range(6))
+            order = np.lexsort((at, row, ids, nameless, edge2, edge))
+            nameless, ids, row, at, edge, edge2 = (x[order] for x in (nameless, ids, row, at, edge, edge2))
             first = np.ones(len(ids), dtype=bool)
             first[1:] = (edge[1:] != edge[:-1]) | (edge2[1:] != edge2[:-1])
-            yield from chunks(rows(kind=pa.array(np.full(int(first.sum()), 2)), doc_id=pa.array(ids[first]), edge=pa.array(edge[first].view(np.int64)), edge2=pa.array(edge2[first].view(np.int64)), at=pa.array(at[first])))
+            yield from chunks(rows(
+                kind=pa.array(np.full(int(first.sum()), 2)), nameless=pa.array(nameless[first]), doc_id=pa.array(ids[first]), row=pa.array(row[first]), edge=pa.array(edge[first].view(np.int64)),
+                edge2=pa.array(edge2[first].view(np.int64)), at=pa.array(at[first]),
+            ))
             late = np.flatnonzero(~first)
             source = np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))[late]
-            same = (ids[late] == ids[source]) & (at[late] == at[source])  # the same row read twice
+            same = (row[late] == row[source]) & (at[late] == at[source])  # the same row read twice
             late = late[~same]
-            order = np.lexsort((at[late], ids[late]))
-            ids, at = ids[late][order], at[late][order]
-            if len(ids):
-                new = np.ones(len(ids), dtype=bool)
-                new[1:] = (ids[1:] != ids[:-1]) | (at[1:] != at[:-1] + 1)
+            order = np.lexsort((at[late], row[late]))
+            row, at = row[late][order], at[late][order]
+            if len(row):
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
                 begin = np.flatnonzero(new)
-                length = np.diff(np.append(begin, len(ids)))
-                owner = ids[begin]
+                length = np.diff(np.append(begin, len(row)))
+                owner = row[begin]
                 cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
                 pairs = np.stack([at[begin], length], axis=1)
                 yield rows(
-                    kind=pa.array(np.full(len(cuts) + 1, 3)), doc_id=pa.array(owner[np.concatenate(([0], cuts))]),
+                    kind=pa.array(np.full(len(cuts) + 1, 3)), row=pa.array(owner[np.concatenate(([0], cuts))]),
                     spans=pa.array([p.tobytes() for p in np.split(pairs, cuts)], pa.binary()),
                 )
 
@@ -208,15 +206,16 @@ def _candidate_rows(k: int, gram: int, shared):
                 text_of = np.searchsorted(words.first, chosen, "right") - 1
                 busy = np.zeros(part.num_rows, dtype=bool)
                 busy[text_of] = True
-                ids = np.asarray(part.column("doc_id"))
+                ids = np.asarray(pc.fill_null(part.column("doc_id"), 0))
+                nameless, row = np.asarray(pc.is_null(part.column("doc_id"))), np.asarray(part.column("row"))
                 if len(chosen):
                     edge = window_hashes(words.hash, k)[chosen]
                     edge2 = window_hashes(mix(words.hash ^ np.uint64(0x1F83D9ABFB41BD6B)), k)[chosen]
-                    held.append((ids[text_of], chosen - words.first[text_of], edge, edge2))
+                    held.append((nameless[text_of], ids[text_of], row[text_of], chosen - words.first[text_of], edge, edge2))
                     size += len(chosen)
                 own = part.filter(pa.array(busy))
                 if own.num_rows:
-                    yield rows(kind=pa.array(np.full(own.num_rows, 1)), doc_id=own.column("doc_id"), row=own.column("row"), text=own.column("text"))
+                    yield rows(kind=pa.array(np.full(own.num_rows, 1)), row=own.column("row"), text=own.column("text"))
                 if size > HELD:
                     yield from flush()
                     held, size = [], 0
@@ -226,7 +225,7 @@ def _candidate_rows(k: int, gram: int, shared):
     return run
 
 
-_ROWS = "kind int, doc_id long, row long, text binary, spans binary, edge long, edge2 long, at long"
+_ROWS = "kind int, nameless boolean, doc_id long, row long, text binary, spans binary, edge long, edge2 long, at long"
 
 
 def _cut_out(k: int):
@@ -262,40 +261,41 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """Per document: key, n_words, n_removed, kept_sha256 after removing words of windows seen earlier."""
     spark = docs.sparkSession
     rows = bare(docs, key, text).toDF("doc_id", "text")
-    own = F.expr(f"coalesce(CAST(doc_id AS BIGINT), {_NO_ID} + pmod(xxhash64(text), {1 << 61}))")
-    rows = rows.select(own.alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     with Scratch(spark) as scratch:
         digests = scratch.save(rows.mapInArrow(_digests, "doc_id long, row long, n long, h1 long, h2 long, sha string"))
-        classes = scratch.save(digests.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id")))
-        named = scratch.save(digests.join(classes, ["h1", "h2"]).select("doc_id", "row", "n", "sha", "first_id"))
+        classes = scratch.save(digests.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("h1", "h2", F.col("first.row").alias("first_row")))
+        named = scratch.save(digests.join(classes, ["h1", "h2"]).select("doc_id", "row", "n", "sha", "first_row"))
         # only the class's first document takes part in the edges
-        single = drop_members(rows, "row", named.where("doc_id > first_id").select("row").distinct())
+        single = drop_members(rows, "row", named.where("row <> first_row").select("row").distinct())
         minimisers = single.select("text").mapInArrow(_minimiser_rows(k, gram), "m long, n long")
         twice = scratch.save(minimisers.groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m"))
         shared, _ = _collect_filter(twice)
         found = scratch.save(single.mapInArrow(_candidate_rows(k, gram, shared), _ROWS))
-        place_of = Window.partitionBy("edge", "edge2").orderBy("doc_id", "at")
+        shared.destroy()
+        place_of = Window.partitionBy("edge", "edge2").orderBy("nameless", "doc_id", "row", "at")
         edges = found.where("kind = 2").select(
-            "doc_id", "at", F.first("doc_id").over(place_of).alias("source"), F.first("at").over(place_of).alias("source_at")
-        ).where("doc_id <> source OR at <> source_at")
+            "row", "at", F.first("row").over(place_of).alias("source"), F.first("at").over(place_of).alias("source_at")
+        ).where("row <> source OR at <> source_at")
         # a nonbranching path: neighbours in the document whose sources are neighbours too
-        run_of = Window.partitionBy("doc_id").orderBy("at")
+        run_of = Window.partitionBy("row").orderBy("at")
         paths = (
-            edges.dropDuplicates(["doc_id", "at"])
+            edges.dropDuplicates(["row", "at"])
             .withColumn("new", F.when((F.col("at") == F.lag("at").over(run_of) + 1) & (F.col("source") == F.lag("source").over(run_of)) & (F.col("source_at") == F.lag("source_at").over(run_of) + 1), 0).otherwise(1))
             .withColumn("path", F.sum("new").over(run_of))
-            .groupBy("doc_id", "path").agg(F.min("at").alias("at"), F.count("*").alias("length"))
+            .groupBy("row", "path").agg(F.min("at").alias("at"), F.count("*").alias("length"))
         )
-        spans = paths.select("doc_id", F.array("at", "length").alias("pair")).mapInArrow(_pack, "doc_id long, spans binary")
-        spans = spans.unionByName(found.where("kind = 3").select("doc_id", "spans"))
-        spans = scratch.save(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")))
-        busy = found.where("kind = 1").select("doc_id", "row", "text").join(spans, "doc_id")
+        spans = paths.select("row", F.array("at", "length").alias("pair")).mapInArrow(_pack, "row long, spans binary")
+        spans = spans.unionByName(found.where("kind = 3").select("row", "spans"))
+        spans = scratch.save(spans.groupBy("row").agg(F.collect_list("spans").alias("spans")))
+        busy = found.where("kind = 1").select("row", "text").join(spans, "row")
         shorter = busy.mapInArrow(_cut_out(k), "row long, n_removed long, kept_sha256 string").dropDuplicates(["row"])
+        gone = f"row <> first_row AND n >= {k}"
         out = named.join(shorter, "row", "left").select(
-            F.expr(f"CASE WHEN doc_id >= {_NO_ID} THEN NULL ELSE doc_id END").alias(key),
+            F.col("doc_id").alias(key),
             F.col("n").alias("n_words"),
-            F.expr(f"CASE WHEN doc_id > first_id AND n >= {k} THEN n ELSE coalesce(n_removed, 0) END").alias("n_removed"),
-            F.expr(f"CASE WHEN doc_id > first_id AND n >= {k} THEN '{EMPTY_SHA}' ELSE coalesce(kept_sha256, sha) END").alias("kept_sha256"),
+            F.expr(f"CASE WHEN {gone} THEN n ELSE coalesce(n_removed, 0) END").alias("n_removed"),
+            F.expr(f"CASE WHEN {gone} THEN '{EMPTY_SHA}' ELSE coalesce(kept_sha256, sha) END").alias("kept_sha256"),
         )
         return cut(out)
 
@@ -303,7 +303,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = [np.array(p, dtype=np.int64).tobytes() for p in batch.column("pair").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pairs, pa.binary())], names=["doc_id", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(pairs, pa.binary())], names=["row", "spans"])
 
 
 def _collect_filter(values: DataFrame):

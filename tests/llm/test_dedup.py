@@ -104,3 +104,31 @@ def test_likelihood_estimate_is_near_the_true_similarity():
         above, below = np.array([(values[0] > values[1]).sum()]), np.array([(values[0] < values[1]).sum()])
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs(near_dedup.estimate(above, below, np.array([len(a)]), np.array([len(b)]))[0] - true) < 0.15
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, passage, "a"), (1, "x y " + passage, "a"), (1 << 62, "z " + passage, "a"), ((1 << 63) - 1, "only this", "a"), (None, passage + " end", "b"), (None, passage + " end", "b"), (7, passage, "c")]
+    got = [tuple(r) for r in substring_dedup.repeated_spans(frame(spark, rows)).collect()]
+    words = lambda t: len(t.split())
+    assert sorted((str(i), n) for i, n, _, _ in got) == sorted((str(i), words(t)) for i, t, _ in rows)
+    gone = {str((i, n)): r for i, n, r, _ in got}
+    assert sorted([gone["(1, 40)"], gone["(1, 42)"]]) == [0, 40] and gone[str((1 << 62, 41))] == 40 and gone["(None, 41)"] == 40 and gone["(7, 40)"] == 40 and gone[str(((1 << 63) - 1, 2))] == 0
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, ""), (1, b, ""), (2, a + " x", ""), (3, b + " x", ""), (None, b + " x y", ""), (None, "quite alone here with nobody else", ""), (9, None, "")]
+    got = sorted([(str(r.doc_id), r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()], key=str)
+    assert got == sorted([("1", 1, True), ("1", 1, True), ("2", 1, False), ("3", 1, False), ("None", 1, False), ("None", None, True), ("9", 9, True)], key=str)
+    kept = near_dedup.without_near_duplicates(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", a), ("1", b), ("None", rows[5][1]), ("9", None)])
+
+
+def test_a_full_filter_changes_no_result(spark, rows, monkeypatch):
+    from engram.llm import sparktools
+
+    docs = frame(spark, rows)
+    read = lambda: (sorted(map(str, exact_dedup.copies(docs).collect())), sorted(map(str, exact_dedup.without_copies(docs).collect())), sorted(map(str, near_dedup.near_duplicates(docs).collect())))
+    want = read()
+    monkeypatch.setattr(sparktools, "BROADCAST_BUCKETS", 1)
+    monkeypatch.setattr(sparktools, "BUCKET_IDS", 4)
+    assert read() == want
