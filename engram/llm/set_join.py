@@ -10,8 +10,8 @@ most sets of a corpus.  Linked sets share an element of one's probing prefix and
 prefix, so only prefixes are listed, without their unique elements; elements in one list only are dropped by a filter
 before anything else is shuffled.
 
-Skipping whole lists: the smallest indexed set of every list is its head, and each set is compared with the heads of its lists.
-A list whose other sets are then one component holds nothing new and is skipped; the others go on without their
+Skipping whole lists: the smallest indexed set of every list is its head, and each set is compared with the heads of its lists,
+by a signature that bounds the overlap and then in full.  A list whose other sets are then one component holds nothing new and is skipped; the others go on without their
 heads, ``ROUNDS`` times.  A group of very many near copies costs a few comparisons a copy this way, however large it is, and
 lists of few sets are done.
 
@@ -114,7 +114,7 @@ def _counted(size: int, often: int):
 
 
 def _prefixes(size: int, percent: int, shared, repeated):
-    """(id, n, skip, keys): the probing prefix of every set that may have links, behind its ``skip`` unique elements."""
+    """(id, n, skip, keys, signature): the probing prefix of every set that may have links, behind its ``skip`` unique elements, and the set's elements counted by their hash's first bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, count = shared.value
@@ -137,11 +137,11 @@ def _prefixes(size: int, percent: int, shared, repeated):
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         s = s[np.lexsort((s, np.where(frequent[at] == s, count[at], 0)))]
-                    rows.append((i, skip, s[: length - skip].tobytes()))
+                    rows.append((i, skip, s[: length - skip].tobytes(), np.bincount((sets[i] >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.uint32).tobytes()))
                 at = [r[0] for r in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row").take(pa.array(at, pa.int64())), pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                    names=["id", "n", "skip", "keys"],
+                    [part.column("row").take(pa.array(at, pa.int64())), pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *[pa.array([r[c] for r in rows], pa.binary()) for c in (2, 3)]],
+                    names=["id", "n", "skip", "keys", "signature"],
                 )
 
     return run
@@ -173,6 +173,18 @@ def _members(size: int):
     return run
 
 
+def _can_link(percent: int):
+    """Pairs whose sets can overlap enough: equal elements have equal first bits, so the smaller counts bound the overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, 64).astype(np.int64) for c in ("signature", "head_signature"))
+            good = pa.array(np.minimum(a, b).sum(axis=1) >= needed(a.sum(axis=1), b.sum(axis=1), percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("id", "head")], names=["id", "head"])
+
+    return run
+
+
 def _with_heads(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,12 +294,16 @@ class SkipJoin:
         return out
 
 
-def _against_heads(pairs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (id, head).  A head of many pairs is copied to parts of them; no other is copied."""
+def _against_heads(pairs: DataFrame, signatures: DataFrame, member: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The links among pairs (id, head): signatures first, then full sets of what is left.  A head of many pairs is copied to parts of them, no other is copied."""
+    signed = pairs.join(signatures, "id").join(signatures.select(F.col("id").alias("head"), F.col("signature").alias("head_signature")), "head")
+    pairs = scratch.save(signed.select("id", "head", "signature", "head_signature").mapInArrow(_can_link(percent), "id long, head long"))
+    named = scratch.save(pairs.select(F.explode(F.array("id", "head")).alias("id")).distinct())
+    sets = possibly_in(member.select("id", "shingles"), "id", named)
     parts = pairs.groupBy("head").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    head_sets = member.select(F.col("id").alias("head"), F.col("shingles").alias("head_shingles")).join(parts, "head").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    head_sets = sets.select(F.col("id").alias("head"), F.col("shingles").alias("head_shingles")).join(parts, "head").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
     dealt = pairs.join(parts, "head").withColumn("part", F.expr("CAST(pmod(xxhash64(id), parts) AS INT)")).drop("parts")
-    both = dealt.join(member.select("id", "shingles"), "id").join(head_sets, ["head", "part"])
+    both = dealt.join(sets, "id").join(head_sets, ["head", "part"])
     return both.select("id", "head", "shingles", "head_shingles").mapInArrow(_with_heads(percent), "src long, dst long")
 
 
@@ -365,13 +381,15 @@ def joined_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         order = np.argsort(h)
         shared = spark.sparkContext.broadcast((h[order], n[order]))
         repeated, _ = collect_filter(counted.select("m"))
-        prefixes = scratch.save(single.select("row", "text").mapInArrow(_prefixes(size, percent, shared, repeated), "id long, n long, skip long, keys binary"))
+        prefixes = scratch.save(single.select("row", "text").mapInArrow(_prefixes(size, percent, shared, repeated), "id long, n long, skip long, keys binary, signature binary"))
         entries = prefixes.mapInArrow(_entries(percent), "key long, id long, n long, pos long, listed boolean")
         twice = scratch.save(entries.groupBy("key").count().where("count > 1").select("key"))
         entries = scratch.save(possibly_in(entries, "key", twice).join(twice, "key").dropDuplicates(["key", "id"]))
         wanted = scratch.save(entries.select("id").distinct())
-        texts = possibly_in(rows.select("row", "text"), "row", wanted).join(wanted.withColumnRenamed("id", "row"), "row")
-        member = scratch.save(texts.mapInArrow(_members(size), "id long, n long, shingles binary").dropDuplicates(["id"]))
+        # rows that repeat id and text are one set; the join has dealt them by the same key
+        texts = possibly_in(rows.select("row", "text"), "row", wanted).join(wanted.withColumnRenamed("id", "row"), "row").dropDuplicates(["row"])
+        member = scratch.save(texts.mapInArrow(_members(size), "id long, n long, shingles binary"))
+        signatures = prefixes.select("id", "signature").join(wanted, "id").dropDuplicates(["id"])
         joined, found = None, None
         left = entries.withColumn("label", F.col("id"))
         for _ in range(ROUNDS):
@@ -379,7 +397,7 @@ def joined_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
             heads = left.where("listed").groupBy("key").agg(F.min(F.struct("n", "id", "label")).alias("h")).select("key", F.col("h.n").alias("head_n"), F.col("h.id").alias("head"), F.col("h.label").alias("head_label"))
             headed = scratch.save(left.join(heads, "key").where("id <> head"))
             pairs = headed.where(f"label <> head_label AND 100 * least(n, head_n) >= {percent} * greatest(n, head_n)").select("id", "head").distinct()
-            links = scratch.save(_against_heads(scratch.save(pairs), member, percent))
+            links = scratch.save(_against_heads(scratch.save(pairs), signatures, member, scratch, percent))
             found = links if found is None else scratch.save(found.unionByName(links))
             joined = scratch.save(connected_components(found))
             # without their heads, lists with more than one component and an indexed set are left

@@ -229,15 +229,40 @@ def test_long_items_are_found_whole_and_in_part(spark):
     assert sorted(got) == [(k, k // 4) for k in range(20)]
 
 
-@pytest.mark.parametrize("item", ["a1 a2 a3 a4 a5 a6 a7 a8", "a1 a1 a1 a1"])
-def test_short_items_among_other_words_are_searched(item):
-    owners, words = decontaminate.item_passages([item])
-    idf = np.ones(decontaminate.BINS)
-    items = decontaminate.Items(owners, words, idf)
-    searcher = decontaminate.Searcher(idf, [7], [(items, np.eye(len(items.vocabulary), dtype=np.float32))])
-    other = [f"b{i}" for i in range(32 - len(item.split()))]
-    (found,) = searcher.find(pa.array([" ".join([*other[:9], item, *other[9:]])]))
-    assert found[:4] == (0, 0, 1.0, 1.0) and found[4] >= decontaminate.COSINE
+def test_short_items_are_found_verbatim_and_changed(spark):
+    rng = random.Random(13)
+    docs, items, wanted = [], [], set()
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 15):
+        for copy in range(12):
+            item = [f"s{n}x{copy}y{i}" for i in range(n)]
+            put = list(item)
+            if copy % 3 == 1 and n >= 4:
+                put[rng.randrange(n)] = "replaced"
+            if copy % 3 == 2:
+                put.insert(rng.randrange(n + 1), "more")
+            items.append(item)
+            docs.append(_made_text(rng, 400) + put + _made_text(rng, rng.randrange(300)))
+    table = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    idf = decontaminate.weights_of(decontaminate.token_bins(table))
+    wanted = {(k, k) for k, (item, doc) in enumerate(zip(items, docs, strict=True)) if _held(item, doc, idf)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    for blocks in (8, 1):
+        found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench, blocks=blocks).collect()}
+        print("short items found", len(found & wanted), "of", len(wanted))
+        assert {p for p in wanted if len(items[p[1]]) <= decontaminate.SHORT} <= found and len(found & wanted) >= 0.9 * len(wanted) and found <= wanted
+    assert len(wanted) >= 140
+
+
+def test_a_benchmark_in_parts_finds_the_same(spark, monkeypatch):
+    rng = random.Random(14)
+    items = [_made_text(rng, n) for n in (3, 8, 20, 30, 70, 25, 40, 5)]
+    docs = [_made_text(rng, 60) + w + _made_text(rng, 60) for w in items] + [_made_text(rng, 200), []]
+    table = spark.createDataFrame([(k, " ".join(d), 1) for k, d in enumerate(docs)] + [(99, None, 1)], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(50, None), (51, " ")], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "PASSAGES", 2)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench, blocks=1).collect()}
+    assert got == {(k, k) for k in range(8)}
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(table, bench, blocks=1).collect()) == [8, 9, 99]
 
 
 def test_common_subsequence_is_the_longest():
