@@ -134,16 +134,6 @@ def weighted_total(dims: Column, weights: dict[str, int]) -> Column:
     return total.cast("long")
 
 
-def canonical_text(*parts: Column) -> Column:
-    """a text that is equal for equal parts only: each part with its length before it."""
-    return F.concat_ws("|", *[F.concat(F.length(F.coalesce(p.cast("string"), F.lit(""))).cast("string"), F.lit(":"), F.coalesce(p.cast("string"), F.lit(""))) for p in parts])
-
-
-def case_hash(*parts: Column) -> Column:
-    """SHA-256 over the canonical text of a case's inputs."""
-    return F.sha2(canonical_text(*parts), 256)
-
-
 def stable_swap(key: Column) -> Column:
     """whether A and B change places, by the lowest bit of the first byte of the key's SHA-256."""
     return F.conv(F.substring(F.sha2(key, 256), 2, 1), 16, 10).cast("int") % 2 == 1

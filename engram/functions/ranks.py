@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets that an order is cut into; the only rows that one task sorts together are one a bucket.
-BUCKETS = 1024
+#: Buckets of equal shares that an order is cut into, and bounds that are looked up together.
+SHARES, STEP = 256, 16
 
 
 def positions(rows: DataFrame, buckets: list[Column], order: list[Column], name: str = "position") -> DataFrame:
@@ -27,11 +27,20 @@ def positions(rows: DataFrame, buckets: list[Column], order: list[Column], name:
     return rows.join(moved, same).withColumn(name, F.col("__before") + inner).drop(*keys, *[f"{k}_" for k in keys], "__before")
 
 
-def number_buckets(rows: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
-    """A bucket of a whole-number column: equal widths between its least and greatest value."""
-    low, high = rows.agg(F.min(column), F.max(column)).head()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    return F.floor((F.col(column) - F.lit(low or 0)) / F.lit(width))
+def number_buckets(rows: DataFrame, column: str, buckets: int = SHARES) -> Column:
+    """A bucket of a number column, each with about the same share of the rows however the values lie.
+
+    The bounds are approximate quantiles of all rows, found by one aggregate; a value is looked up in two steps.
+    """
+    points = rows.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)], 10_000)).head()[0] or []
+    bounds = sorted(set(points))
+    if not bounds:
+        return F.lit(0)
+    parts = [bounds[at : at + STEP] for at in range(0, len(bounds), STEP)]
+    value = F.col(column)
+    part = F.size(F.filter(F.array(*[F.lit(p[0]) for p in parts]), lambda b: b <= value))
+    inside = F.element_at(F.array(*[F.array(*[F.lit(b) for b in p]) for p in parts]), F.greatest(F.lit(1), part))
+    return F.when(part == 0, 0).otherwise((part - 1) * STEP + F.size(F.filter(inside, lambda b: b <= value)))
 
 
 def hash_buckets(digest: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import blank_to_null, trim_u
 from ..functions.ranks import number_buckets, positions
+from .documents import memory_body
 
 
 def turns_in_row() -> Column:
@@ -145,15 +146,8 @@ def distinct_in_order(values: Column) -> Column:
 
 
 def without_wrappers(text: Column, name: str) -> Column:
-    """a document's body: outer code fence off, lines' ends trimmed, wrapper and blank lines at the front and blank ones at the end dropped."""
-    body = trim_u(F.coalesce(text, F.lit("")))
-    fenced = r"(?is)^\s*```(?:markdown|md|text|json)?[ \t]*\r?\n?(.*?)\r?\n?```\s*$"
-    body = F.when(body.rlike(fenced), F.regexp_extract(body, fenced, 1)).otherwise(body)
-    body = F.regexp_replace(F.regexp_replace(body, "\r\n?", "\n"), r"(?m)[ \t]+$", "")
-    own = name.replace(".", r"\.")
-    wrapper = rf"(?:#{{1,6}}\s*(?:Output|输出|{own})\s*[:：]?|---+\s*{own}\s*---+|(?:\*{{1,2}}|_{{1,2}})?(?:Output|输出)(?:\*{{1,2}}|_{{1,2}})?\s*[:：]?)?"
-    body = F.regexp_replace(body, rf"(?i)^(?:[ \t]*{wrapper}[ \t]*\n)+", "")
-    return F.regexp_replace(F.regexp_replace(body, rf"(?i)^[ \t]*{wrapper}[ \t]*$", ""), r"\s+$", "")
+    """a document's body without fence, wrapper and blank lines around it."""
+    return memory_body(text, name)
 
 
 def round_progress(done: str = "done", total: str = "total") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import eligible, rule_ids, squeeze
+from ..functions.columns import eligible, rule_ids, squeeze, trim_u
 from ..schemas import DIMENSIONS
 from .texts import json_body
 
@@ -18,31 +18,49 @@ def clean_reference(ref: Column) -> Column:
     return F.btrim(squeeze(F.coalesce(ref, F.lit(""))), F.lit(EDGE))
 
 
-def reference_exists(ref: Column, prompt: Column) -> Column:
-    """the reference, or all its parts, or all its quoted parts stand in the prompt (white space squeezed)."""
+# Fixed value: a quoted part of a reference, from two characters on.
+QUOTED = r"[“\"'「『《【]([^”\"'」』》】]{2,180})[”\"'」』》】]"
+
+
+def reference_exists(ref: Column, prompt: Column, squeezed: bool = False) -> Column:
+    """F22, as rule reports read it: the reference, or all its parts, or all its quoted parts stand in the prompt.
+
+    White space is squeezed in both; ``squeezed`` says that the prompt's is already.
+    """
     whole = clean_reference(ref)
-    text = squeeze(F.coalesce(prompt, F.lit("")))
+    text = F.coalesce(prompt, F.lit("")) if squeezed else squeeze(F.coalesce(prompt, F.lit("")))
     parts = F.filter(F.transform(F.split(whole, PARTS), clean_reference), lambda p: p != "")
-    quoted = F.filter(F.transform(F.regexp_extract_all(whole, F.lit(r"[“\"「『《]([^”\"」』》]+)[”\"」』》]"), 1), clean_reference), lambda p: p != "")
+    quoted = F.filter(F.transform(F.regexp_extract_all(whole, F.lit(QUOTED), 1), clean_reference), lambda p: p != "")
     there = lambda p: F.contains(text, p)
     return (whole != "") & (there(whole) | ((F.size(parts) > 1) & F.forall(parts, there)) | ((F.size(quoted) > 0) & F.forall(quoted, there)))
 
 
+def reference_stands(ref: Column, prompt: Column) -> Column:
+    """F22, as judges' results are checked: the reference without quotes around it, or all its parts between slashes, stand in the prompt as they are."""
+    bare = lambda c: F.btrim(trim_u(c), F.lit("\"'“”‘’"))
+    text = F.coalesce(prompt, F.lit(""))
+    whole = bare(F.coalesce(ref, F.lit("")))
+    parts = F.transform(F.filter(F.split(whole, "/"), lambda p: trim_u(p) != ""), bare)
+    return F.contains(text, whole) | ((F.size(parts) > 0) & F.forall(parts, lambda p: F.contains(text, p)))
+
+
 def resolved_prompts(results: DataFrame, prompts: DataFrame) -> DataFrame:
     """Adds prompt_text, prompt_source and hash_match: the prompt of the result's hash, else that of its version.
 
     ``prompts`` has name, version, text; of equal hashes or versions the first name counts.
     """
-    own = prompts.withColumn("hash", F.sha1("text"))
-    by_hash = own.groupBy(F.col("hash").alias("prompt_hash")).agg(F.min_by(F.struct("name", "text"), "name").alias("__h"))
-    keys = own.select("name", "text", "hash", F.explode(F.array_distinct(F.array("name", "version"))).alias("prompt_version"))
-    by_version = keys.groupBy("prompt_version").agg(F.min_by(F.struct("name", "text", "hash"), "name").alias("__v"))
-    joined = results.join(by_hash, "prompt_hash", "left").join(by_version, "prompt_version", "left")
+    own = prompts.withColumn("hash", F.sha1("text")).withColumn("squeezed", squeeze(F.coalesce("text", F.lit(""))))
+    by_hash = own.groupBy(F.col("hash").alias("__hash")).agg(F.min_by(F.struct("name", "text", "squeezed"), "name").alias("__h"))
+    keys = own.select("name", "text", "squeezed", "hash", F.explode(F.array_distinct(F.array("name", "version"))).alias("prompt_version"))
+    by_version = keys.groupBy("prompt_version").agg(F.min_by(F.struct("name", "text", "squeezed", "hash"), "name").alias("__v"))
     has_hash = F.coalesce(F.col("prompt_hash"), F.lit("")) != ""
+    # rows without a hash find no partner, so each has a key of its own and none is hot
+    asked = results.withColumn("__asked", F.when(has_hash, F.col("prompt_hash")).otherwise(F.concat(F.lit("none "), F.monotonically_increasing_id().cast("string"))))
+    joined = asked.join(by_hash, F.col("__asked") == F.col("__hash"), "left").drop("__asked", "__hash").join(by_version, "prompt_version", "left")
     found = has_hash & F.col("__h").isNotNull()
     match = F.when(found, F.lit(True)).when(F.col("__v").isNotNull() & has_hash, F.col("__v.hash") == F.col("prompt_hash"))
     return joined.withColumns({
-        "prompt_text": F.when(found, F.col("__h.text")).otherwise(F.col("__v.text")), "prompt_source": F.coalesce(F.when(found, F.col("__h.name")).otherwise(F.col("__v.name")), F.lit("")),
+        "prompt_text": F.when(found, F.col("__h.text")).otherwise(F.col("__v.text")), "prompt_squeezed": F.when(found, F.col("__h.squeezed")).otherwise(F.col("__v.squeezed")), "prompt_source": F.coalesce(F.when(found, F.col("__h.name")).otherwise(F.col("__v.name")), F.lit("")),
         "hash_match": match,
     }).drop("__h", "__v")
 
@@ -53,7 +71,7 @@ def reference_report(results: DataFrame) -> DataFrame:
     ``all_refs`` holds the result's references and those of its diagnostics.
     """
     refs = F.coalesce(F.col("all_refs"), F.array())
-    invalid = F.array_distinct(F.filter(refs, lambda r: ~reference_exists(r, F.col("prompt_text"))))
+    invalid = F.array_distinct(F.filter(refs, lambda r: ~reference_exists(r, F.col("prompt_squeezed"), squeezed=True)))
     unknown = F.array_sort(F.array_except(rule_ids(F.col("comment")), rule_ids(F.col("prompt_text"))))
     named = (F.coalesce(F.col("prompt_hash"), F.lit("")) != "") | (F.coalesce(F.col("prompt_version"), F.lit("")) != "")
     empty = F.coalesce(F.col("prompt_text"), F.lit("")) == ""

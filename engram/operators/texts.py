@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 import unicodedata
 
 import pandas as pd
@@ -53,98 +51,6 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-_FENCE = re.compile(r"^\s*```[\w-]*\s*\n(.*?)\n?```\s*$", re.S)
-_MARKER = re.compile(r"(?im)^\s*(?:#+\s*)?(?:USER\.md|MEMORY\.md)\s*[:：]?\s*$")
-_HEADING = re.compile(r"(?m)^#{1,6}\s+\S")
-_ITEM = re.compile(r"(?m)^\s*(?:[-*+]|\d+[.)])\s+\S")
-_KEYS = ("user.md", "USER.md", "memory.md", "MEMORY.md", "memory", "document", "content")
-
-
-def parse_document(raw: str | None) -> tuple[str | None, str, float]:
-    """(document, method, confidence) of a model's output: JSON by key, last marker, markdown, list, none."""
-    text = (raw or "").replace("\r\n", "\n").strip()
-    fenced = _FENCE.match(text)
-    text = fenced[1].strip() if fenced else text
-    if not text:
-        return None, "empty", 0.0
-    if text[0] in "{[":
-        try:
-            value = json.loads(text)
-        except ValueError:
-            value = None
-        if isinstance(value, dict):
-            for k in _KEYS:
-                if isinstance(value.get(k), str):
-                    return value[k].strip(), "json", 0.98
-            return None, "json_without_document", 0.0
-    marks = list(_MARKER.finditer(text))
-    if marks:
-        return text[marks[-1].end() :].strip() or None, "marker", 0.97
-    if _HEADING.search(text):
-        return text, "markdown", 0.78
-    if _ITEM.search(text):
-        return text, "list", 0.7
-    return None, "unrecognised", 0.0
-
-
-def parsed_documents(rows: DataFrame, raw: str) -> DataFrame:
-    """F12 over a column: adds parsed (document, method, confidence)."""
-    @F.pandas_udf("document string, method string, confidence double")
-    def parse(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_document(x) for x in s], columns=["document", "method", "confidence"])
-
-    return rows.withColumn("parsed", parse(F.col(raw)))
-
-
-def apply_edits(prompt: str, edits: list[dict], max_chars: int = 900) -> tuple[str, list[str]]:
-    """applies edits (op, old_text, new_text, evidence_refs) in order within a budget of added characters.
-
-    Returns the new prompt and what happened to each edit; edits without evidence, whose old text is not
-    there exactly once, or over the budget, are left out.
-    """
-    used, notes = 0, []
-    for e in edits:
-        new, old = e.get("new_text") or "", e.get("old_text") or ""
-        if not e.get("evidence_refs"):
-            notes.append("no evidence")
-        elif e["op"] in ("replace", "delete", "insert_after", "insert_before") and prompt.count(old) != 1:
-            notes.append("target not found once")
-        elif used + len(new) > max_chars:
-            notes.append("over budget")
-        else:
-            used += len(new)
-            notes.append("applied")
-            if e["op"] == "append":
-                prompt = f"{prompt.rstrip()}\n{new}\n"
-            else:
-                put = {"replace": new, "delete": "", "insert_after": f"{old}\n{new}", "insert_before": f"{new}\n{old}"}[e["op"]]
-                prompt = prompt.replace(old, put)
-    return prompt, notes
-
-
-def patched_prompts(prompts: DataFrame, max_chars: int = 900) -> DataFrame:
-    """F28 over rows (prompt, edits array<struct<op, old_text, new_text, evidence_refs>>): adds patched (text, notes)."""
-    # struct arrays reach pandas as JSON, which keeps field names whatever the Arrow version
-    as_json = F.to_json("edits")
-
-    @F.pandas_udf("text string, notes array<string>")
-    def patch_json(prompt: pd.Series, edits: pd.Series) -> pd.DataFrame:
-        done = [apply_edits(p or "", json.loads(es) if es else [], max_chars) for p, es in zip(prompt, edits, strict=True)]
-        return pd.DataFrame(done, columns=["text", "notes"])
-
-    return prompts.withColumn("patched", patch_json("prompt", as_json))
-
-
-def prompt_diff(rows: DataFrame, old: str, new: str) -> DataFrame:
-    """added and removed lines, growth, and headings that the new text has more than once."""
-    a, b = F.split(F.col(old), "\n"), F.split(F.col(new), "\n")
-    heads = F.filter(b, lambda line: line.startswith("#"))
-    return rows.withColumns({
-        "lines_added": F.size(F.array_except(b, a)), "lines_removed": F.size(F.array_except(a, b)),
-        "growth": (F.length(new) - F.length(old)) / F.greatest(F.lit(1), F.length(old)), "repeated_headings": F.size(heads) - F.size(F.array_distinct(heads)),
-    })
-
-
 def message_content(envelope: Column) -> Column:
     """the text of an interface's JSON answer, whichever of the usual fields has it."""
     fields = ("$.choices[0].message.content", "$.choices[0].message.reasoning", "$.choices[0].text", "$.content", "$.result", "$.answer")

@@ -414,12 +414,26 @@ def q_small_columns(spark, d):
     return V.table(spark, d, "events").select("event_id", wait.alias("wait"), C.safe_name(F.concat(F.lit(" a/ b.c-"), e.cast("string"))).alias("name"), F.array_join(C.headings(text), ",").alias("heads"))
 
 
-@query("SELECT event_id, CAST(1 + event_id % 2 AS INT) AS added, 1 AS removed FROM events")
+@query("""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS old, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+v AS (SELECT doc_id, old, replace(array_to_string(list_concat(list_slice(ls, 2, len(ls)), ['# New', ls[1], '# New']), chr(10)), ' the ', ' a ') AS new FROM d),
+s AS (SELECT doc_id, old, new, CASE WHEN old LIKE '%' || chr(10) OR old = '' THEN list_slice(string_split(old, chr(10)), 1, len(string_split(old, chr(10))) - 1) ELSE string_split(old, chr(10)) END AS a, string_split(new, chr(10)) AS b FROM v),
+la AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM s), lb AS (SELECT doc_id, unnest(b) AS line, generate_subscripts(b, 1) AS j FROM s),
+m AS MATERIALIZED (SELECT doc_id, i, j FROM la JOIN lb USING (doc_id, line)),
+r AS (SELECT doc_id, CAST(1 AS BIGINT) AS alo, CAST(len(a) + 1 AS BIGINT) AS ahi, CAST(1 AS BIGINT) AS blo, CAST(len(b) + 1 AS BIGINT) AS bhi, CAST(0 AS BIGINT) AS k FROM s
+UNION ALL SELECT doc_id, x.alo, x.ahi, x.blo, x.bhi, x.k FROM (
+SELECT doc_id, unnest([{'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j, 'k': CAST(0 AS BIGINT)}, {'alo': i + n, 'ahi': ahi, 'blo': j + n, 'bhi': bhi, 'k': CAST(0 AS BIGINT)}, {'alo': i, 'ahi': i, 'blo': j, 'bhi': j, 'k': n}]) AS x FROM (
+SELECT doc_id, alo, ahi, blo, bhi, min(i) AS i, min(j) AS j, count(*) AS n FROM (
+SELECT r.doc_id, alo, ahi, blo, bhi, i, j, i - row_number() OVER (PARTITION BY r.doc_id, alo, blo, i - j ORDER BY i) AS g FROM r JOIN m ON m.doc_id = r.doc_id AND i >= alo AND i < ahi AND j >= blo AND j < bhi WHERE k = 0) GROUP BY doc_id, alo, ahi, blo, bhi, i - j, g
+QUALIFY row_number() OVER (PARTITION BY doc_id, alo, blo ORDER BY count(*) DESC, min(i), min(j)) = 1))),
+t AS (SELECT doc_id, sum(k) AS same FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(b) - same AS INT) AS added, CAST(len(a) - same AS INT) AS removed, CASE WHEN old = '' THEN 1.0 ELSE (length(new) - length(old)) / length(old) END AS growth, sha256(old) AS old_hash FROM s JOIN t USING (doc_id)""")
 def q_prompt_diff(spark, d):
-    from ..operators import texts
+    from ..operators import diffs
 
-    rows = V.table(spark, d, "events").select("event_id", F.lit("a\nb\nc").alias("old"), F.when(F.col("event_id") % 2 == 0, "a\nb\nnew").otherwise("a\nb\nnew\nmore").alias("new"))
-    return texts.prompt_diff(rows, "old", "new").select("event_id", F.col("lines_added").alias("added"), F.col("lines_removed").alias("removed"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    new = F.replace(F.array_join(F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit("# New"), lines[0], F.lit("# New"))), "\n"), F.lit(" the "), F.lit(" a "))
+    rows = V.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("old"), new.alias("new"))
+    return diffs.line_diff(rows, "old", "new").select("doc_id", "diff.added", "diff.removed", "diff.growth", "diff.old_hash")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'interrupted' WHEN event_id % 3 = 1 THEN 'running' ELSE 'done' END AS status FROM events")
@@ -431,12 +445,60 @@ def q_stale_tasks(spark, d):
     return streams.stale_tasks(rows, F.lit(1000).cast("timestamp")).select("event_id", "status")
 
 
-@query("""SELECT p.p_partkey AS evidence_id, q.p_partkey AS section_id FROM part p JOIN part q ON contains(lower(q.p_name), lower(p.p_brand || ' ' || p.p_name)) OR contains(lower(p.p_brand || ' ' || p.p_name), lower(q.p_name)) WHERE p.p_partkey % 5 = 0 AND q.p_partkey % 5 = 0""")
+_KEYS = r"""e AS (SELECT p_partkey AS evidence_id, CASE p_partkey % 3 WHEN 0 THEN '《' || upper(p_name) || '》 ' || p_type WHEN 1 THEN substr(p_name, 3, 9) ELSE CAST(p_size AS VARCHAR) || p_brand END AS ref FROM part),
+x AS (SELECT evidence_id, regexp_replace(lower(ref), '[^\p{L}\p{N}]', '', 'g') AS r FROM e), y AS (SELECT p_partkey AS section_id, regexp_replace(lower(p_name || CASE WHEN p_partkey % 4 = 0 THEN p_size || p_brand ELSE '' END), '[^\p{L}\p{N}]', '', 'g') AS t FROM part)"""
+
+
+def _referring(spark, d):
+    p, k = V.table(spark, d, "part"), F.col("p_partkey")
+    ref = F.when(k % 3 == 0, F.concat(F.lit("《"), F.upper("p_name"), F.lit("》 "), "p_type")).when(k % 3 == 1, F.substring("p_name", 3, 9)).otherwise(F.concat(F.col("p_size").cast("string"), "p_brand"))
+    title = F.concat("p_name", F.when(k % 4 == 0, F.concat(F.col("p_size").cast("string"), "p_brand")).otherwise(""))
+    return p.select(k.alias("evidence_id"), ref.alias("ref")), p.select(k.alias("section_id"), title.alias("title"))
+
+
+@query(f"WITH {_KEYS} SELECT evidence_id, section_id FROM x JOIN y ON r <> '' AND t <> '' AND (contains(r, t) OR contains(t, r))")
 def q_sections_for_evidence(spark, d):
     from ..operators import evidence
 
-    p = V.table(spark, d, "part").where("p_partkey % 5 = 0")
-    return evidence.sections_for_evidence(p.select(F.col("p_partkey").alias("evidence_id"), F.concat("p_brand", F.lit(" "), "p_name").alias("ref")), p.select(F.col("p_partkey").alias("section_id"), F.col("p_name").alias("title")))
+    return evidence.sections_for_evidence(*_referring(spark, d))
+
+
+@query(f"""WITH {_KEYS}, f AS (SELECT evidence_id, section_id FROM x JOIN y ON r <> '' AND t <> '' AND (contains(r, t) OR contains(t, r))), o AS (SELECT *, row_number() OVER (ORDER BY evidence_id DESC, section_id) AS n FROM f)
+SELECT 'L' || lpad(CAST(n AS VARCHAR), 3, '0') AS intent_id, section_id, evidence_id FROM o WHERE n <= 50""")
+def q_local_intents(spark, d):
+    from ..operators import evidence
+
+    found, sections = _referring(spark, d)
+    found = found.withColumns({"ix": -F.col("evidence_id"), "ref_ix": F.lit(0), "comment": F.lit("c")})
+    return evidence.local_intents(found, sections.withColumn("place", F.col("section_id")), 50).drop("issue")
+
+
+_REFS = r"""q AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_type, '# Rules' || chr(10) || '- keep  ' || p_name || chr(10) || '- R1 ' || p_type AS prompt FROM part),
+c AS (SELECT p_partkey, prompt, CASE p_partkey % 9 WHEN 0 THEN '- keep ' || a || ' ' || b || '。' WHEN 1 THEN b || ' / ' || a WHEN 2 THEN 'see 【' || a || '】 and 「' || p_type || '」' WHEN 3 THEN 'as ''' || b || ''' says' WHEN 4 THEN 'see 《nowhere》' WHEN 5 THEN a || '、absent' WHEN 6 THEN '“' || a || '”' WHEN 7 THEN ' ' ELSE a || '/' || p_type || '/' END AS ref FROM q)"""
+
+
+def _refs(spark, d):
+    p, k = V.table(spark, d, "part"), F.col("p_partkey")
+    a, b, t = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_type")
+    forms = [
+        F.concat(F.lit("- keep "), a, F.lit(" "), b, F.lit("。")), F.concat(b, F.lit(" / "), a), F.concat(F.lit("see 【"), a, F.lit("】 and 「"), t, F.lit("」")), F.concat(F.lit("as '"), b, F.lit("' says")), F.lit("see 《nowhere》"),
+        F.concat(a, F.lit("、absent")), F.concat(F.lit("“"), a, F.lit("”")), F.lit(" "), F.concat(a, F.lit("/"), t, F.lit("/")),
+    ]
+    return p.select("p_partkey", F.element_at(F.array(*forms), (k % 9 + 1).cast("int")).alias("ref"), F.concat(F.lit("# Rules\n- keep  "), "p_name", F.lit("\n- R1 "), "p_type").alias("prompt"))
+
+
+@query(rf"""WITH {_REFS}, n AS (SELECT *, trim(regexp_replace(prompt, '\s+', ' ', 'g')) AS text, trim(trim(regexp_replace(ref, '\s+', ' ', 'g')), ' -:：,，.。；;“”"''`「」『』《》【】[]()（）') AS r FROM c),
+w AS (SELECT *, list_filter(list_transform(regexp_split_to_array(r, '\s*(?:/|、|；|;|\n)\s*'), lambda x: trim(x, ' -:：,，.。；;“”"''`「」『』《》【】[]()（）')), lambda x: x <> '') AS parts,
+list_filter(list_transform(regexp_extract_all(r, '[“"''「『《【]([^”"''」』》】]{{2,180}})[”"''」』》】]', 1), lambda x: trim(x, ' -:：,，.。；;“”"''`「」『』《》【】[]()（）')), lambda x: x <> '') AS quoted FROM n)
+SELECT p_partkey, r <> '' AND (contains(text, r) OR (len(parts) > 1 AND len(list_filter(parts, lambda x: NOT contains(text, x))) = 0) OR (len(quoted) > 0 AND len(list_filter(quoted, lambda x: NOT contains(text, x))) = 0)) AS there FROM w""")
+def q_quoted_refs(spark, d):
+    return _refs(spark, d).select("p_partkey", rules.reference_exists(F.col("ref"), F.col("prompt")).alias("there"))
+
+
+@query(rf"""WITH {_REFS}, n AS (SELECT *, trim(trim(ref), '"''“”‘’') AS r FROM c), w AS (SELECT *, list_transform(list_filter(string_split(r, '/'), lambda x: trim(x) <> ''), lambda x: trim(trim(x), '"''“”‘’')) AS parts FROM n)
+SELECT p_partkey, contains(prompt, r) OR (len(parts) > 0 AND len(list_filter(parts, lambda x: NOT contains(prompt, x))) = 0) AS stands FROM w""")
+def q_plain_refs(spark, d):
+    return _refs(spark, d).select("p_partkey", rules.reference_stands(F.col("ref"), F.col("prompt")).alias("stands"))
 
 
 @query(f"WITH {V.RES} SELECT case_id, 'fatal' AS mode FROM res WHERE ok AND fatal UNION ALL SELECT case_id, 'failed' FROM res WHERE NOT ok UNION ALL SELECT case_id, 'tagged' FROM res WHERE len(error_tags) > 0 UNION ALL SELECT case_id, 'diagnosed' FROM res WHERE n_diagnostics > 0 UNION ALL SELECT case_id, 'all' FROM res")

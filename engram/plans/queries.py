@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import canonical
 from ..functions import columns as C
-from ..operators import compare, evidence, gate, prompts, results, sessions, stability, texts
+from ..operators import compare, documents, evidence, gate, prompts, results, sessions, stability, texts
 from ..schemas import DIMENSIONS, WEIGHTS
 from ..streaming import events as streams
 from . import views as V
@@ -413,9 +414,51 @@ def q_weighted_total(spark, d):
     return V.results(spark, d).select("case_id", C.weighted_total(F.col("dims"), WEIGHTS).alias("score_milli"))
 
 
-@query(f"""WITH {V.RES} SELECT case_id, sha256(length(case_id) || ':' || case_id || '|' || length(output) || ':' || output || '|' || length(reviewer) || ':' || reviewer) AS hash FROM res""")
+_TURNS = """t AS (SELECT conv_id, '[' || string_agg('{"content":' || to_json(coalesce(text, '')) || ',"metadata":{"at":' || CAST(turn * 1e-5 AS DOUBLE) || ',"turn":' || turn || '},"role":' || to_json(role) || '}', ',' ORDER BY turn) || ']' AS dialogue, min(turn) AS first, max(turn) AS last FROM conversations GROUP BY conv_id),
+h AS (SELECT conv_id, sha256('{"candidate_output":"","dialogue":' || dialogue || ',"instructions":"keep \\"it\\" short","old_memory":"- m' || conv_id % 7 || '\\n","reasoning":"","reference_output":"","session_id":' || CASE WHEN conv_id % 3 = 0 THEN 'null' ELSE '"s' || conv_id || '"' END || ',"task_type":"user_md","turn_range":[' || first || ',' || last || ']}') AS hash FROM t)"""
+
+
+def _cases(spark, d):
+    turns = V.table(spark, d, "conversations").select("conv_id", F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content"), F.struct("turn", (F.col("turn") * F.lit(1e-5)).alias("at")).alias("metadata")).alias("t"))
+    cases = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    return cases.select(
+        "conv_id", F.lit("user_md").alias("task_type"), F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("s"), F.col("conv_id").cast("string"))).alias("session_id"),
+        F.concat(F.lit("- m"), (F.col("conv_id") % 7).cast("string"), F.lit("\n")).alias("old_memory"), F.lit('keep "it" short').alias("instructions"), F.lit(None).cast("string").alias("candidate_output"),
+        F.lit("").alias("reference_output"), F.lit(None).cast("string").alias("reasoning"), F.array(F.col("ts")[0]["turn"], F.element_at("ts", -1)["turn"]).alias("turn_range"), F.col("ts").alias("dialogue"),
+    )
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, hash FROM h")
 def q_case_hash(spark, d):
-    return V.results(spark, d).select("case_id", C.case_hash(F.col("case_id"), F.col("output"), F.col("reviewer")).alias("hash"))
+    cases = _cases(spark, d)
+    return cases.select("conv_id", canonical.case_input_hash(cases).alias("hash"))
+
+
+_CONFIG = """'{"dimensions":["a' || ix % 4 || '","b"],"judge_model":' || to_json(model_name) || ',"max_tokens":' || CASE WHEN ix % 5 = 0 THEN 'null' ELSE CAST(ix % 9 * 1000 AS VARCHAR) END || ',"mock":' || (ix % 2 = 0) || ',"temperature":' || CAST(ix % 11 / 10 AS DOUBLE) || ',"top_p":' || CAST(ix * 1e-7 AS DOUBLE) || ',"weights":{"' || CASE WHEN ix % 2 = 0 THEN 'x":1,"y":2' ELSE 'x":2,"y":1' END || '}}'"""
+
+
+def _configs(spark, d):
+    k, r = F.col("ix"), V.results(spark, d)
+    return r.withColumn("config", F.struct(
+        F.create_map(F.lit("y"), F.when(k % 2 == 0, 2).otherwise(1), F.lit("x"), F.when(k % 2 == 0, 1).otherwise(2)).alias("weights"), (k * F.lit(1e-7)).alias("top_p"), (k % 11 / 10).alias("temperature"), (k % 2 == 0).alias("mock"),
+        F.when(k % 5 != 0, k % 9 * 1000).alias("max_tokens"), F.col("model_name").alias("judge_model"), F.array(F.concat(F.lit("a"), (k % 4).cast("string")), F.lit("b")).alias("dimensions"),
+    ))
+
+
+@query(f"WITH {V.RES} SELECT case_id, sha256({_CONFIG}) AS hash FROM res")
+def q_config_hash(spark, d):
+    rows = _configs(spark, d)
+    return rows.select("case_id", canonical.config_hash(F.col("config"), rows.schema["config"].dataType).alias("hash"))
+
+
+@query(f"""WITH {V.RES}, {_TURNS}, c AS (SELECT ix, sha256({_CONFIG}) AS config FROM res)
+SELECT ix, sha256('{{"case_input_hash":"' || coalesce(h.hash, '') || '","scoring_config_hash":"' || config || '"}}') AS fingerprint, CASE WHEN ix % 6 = 0 THEN '' ELSE sha1('prompt ' || ix) END AS prompt FROM c LEFT JOIN h ON h.conv_id = c.ix""")
+def q_evaluation_fingerprint(spark, d):
+    rows, cases = _configs(spark, d), _cases(spark, d)
+    hashes = cases.select(F.col("conv_id").alias("ix"), canonical.case_input_hash(cases).alias("hash"))
+    config = canonical.config_hash(F.col("config"), rows.schema["config"].dataType)
+    prompt = F.when(F.col("ix") % 6 != 0, F.concat(F.lit("prompt "), F.col("ix").cast("string")))
+    return rows.select("ix", config.alias("config"), canonical.prompt_hash(prompt).alias("prompt")).join(hashes, "ix", "left").select("ix", canonical.evaluation_fingerprint(F.col("hash"), F.col("config")).alias("fingerprint"), "prompt")
 
 
 @query(f"WITH {V.RES} SELECT case_id, substr(sha256(case_id), 2, 1) IN ('1','3','5','7','9','b','d','f') AS swap FROM res")
@@ -522,14 +565,31 @@ def q_export_flat(spark, d):
     return results.flat_export(V.results(spark, d), DIMENSIONS)
 
 
-@query(r"""WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 1 THEN '## Memory' || chr(10) || text WHEN doc_id % 3 = 2 THEN text END AS raw FROM documents),
-t AS (SELECT doc_id, text, regexp_replace(coalesce(replace(CASE WHEN doc_id % 3 = 0 THEN text ELSE raw END, chr(13) || chr(10), chr(10)), ''), '^\s+|\s+$', '', 'g') AS s FROM d),
-m AS (SELECT doc_id, s, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN text IS NULL THEN 'json_without_document' ELSE 'json' END WHEN s = '' THEN 'empty' WHEN regexp_matches(s, '(?m)^#{1,6}\s+\S') THEN 'markdown'
-WHEN regexp_matches(s, '(?m)^\s*([-*+]|\d+[.)])\s+\S') THEN 'list' ELSE 'unrecognised' END AS method FROM t)
-SELECT doc_id, method, CASE method WHEN 'json' THEN 0.98 WHEN 'markdown' THEN 0.78 WHEN 'list' THEN 0.7 ELSE 0.0 END AS confidence, CASE WHEN method IN ('json', 'markdown', 'list') THEN CAST(length(s) AS INT) END AS length FROM m""")
+_PARSED_BODY = r"""f AS (SELECT *, regexp_replace(body, '^\s+|\s+$', '', 'g') AS s FROM p),
+u AS (SELECT *, CASE WHEN regexp_matches(s, '(?is)^```(?:markdown|md|text|json)?[ \t]*\r?\n?(.*?)\r?\n?```$') THEN regexp_extract(s, '(?is)^```(?:markdown|md|text|json)?[ \t]*\r?\n?(.*?)\r?\n?```$', 1) ELSE s END AS t FROM f),
+n AS (SELECT *, list_transform(string_split(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '\s+$', '')) AS ls FROM u),
+o AS (SELECT *, list_position(list_transform(ls, lambda x: x <> '' AND NOT regexp_full_match(regexp_replace(x, '^\s+', ''), '(?i)(?:#{1,6}\s*(?:Output|输出|USER\.md)\s*[:：]?|---+\s*USER\.md\s*---+|(?:\*{1,2}|_{1,2})?(?:Output|输出)(?:\*{1,2}|_{1,2})?\s*[:：]?)')), true) AS first FROM n)
+SELECT doc_id, method, confidence, warned, CASE WHEN body IS NOT NULL THEN sha256(CASE WHEN first IS NULL OR first = 0 THEN '' ELSE regexp_replace(array_to_string(list_slice(ls, first, len(ls)), chr(10)), '\n+$', '') END) END AS digest FROM o"""
+
+
+@query(rf"""WITH d AS (SELECT doc_id, doc_id % 12 AS k, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS s FROM documents),
+j AS (SELECT *, CASE WHEN k IN (8, 9) THEN string_split(CASE WHEN k = 9 THEN '- first' || chr(10) ELSE '' END || s, chr(10)) END AS ls FROM d),
+m AS (SELECT *, CASE WHEN k = 0 THEN 'json:document' WHEN k = 1 THEN 'json:data.result.answer' WHEN k = 2 THEN 'json_document_type_mismatch' WHEN k IN (3, 4) THEN 'document_envelope_v1' WHEN k = 5 THEN 'output_heading' WHEN k = 6 THEN 'document_separator'
+WHEN k = 7 THEN 'reasoning_only' WHEN k = 10 THEN 'document_heading' WHEN k = 11 THEN 'none' WHEN k = 8 AND s = '' THEN 'none' WHEN len(list_filter(ls, lambda l: regexp_matches(l, '^[ \t]*(?:#{{1,6}}[ \t]+\S|第[一二三四五六七八九十]+分区|[一二三四五六七八九十]+、)'))) > 0 THEN 'structured_markdown_fallback'
+WHEN len(list_filter(ls, lambda l: regexp_matches(l, '^[ \t]*(?:[-*•]|\d+[.、])[ \t]+\S'))) > 0 THEN 'list_fallback' ELSE 'unrecognized' END AS method FROM j),
+p AS (SELECT doc_id, method, CASE WHEN k = 4 THEN 0.9 WHEN k = 3 THEN 1.0 WHEN k < 2 THEN 0.98 WHEN k IN (5, 6, 10) THEN 0.97 WHEN method = 'structured_markdown_fallback' THEN 0.78 WHEN method = 'list_fallback' THEN 0.7 ELSE 0.0 END AS confidence,
+CAST(CASE WHEN k IN (2, 4, 7) OR (k IN (8, 9) AND method <> 'none') THEN 1 ELSE 0 END AS INT) AS warned, CASE WHEN k IN (2, 7) OR method IN ('none', 'unrecognized') THEN NULL WHEN k = 9 THEN '- first' || chr(10) || s WHEN k = 8 THEN s WHEN k = 3 THEN x || chr(10) ELSE x END AS body FROM m),
+{_PARSED_BODY}""")
 def q_doc_parse(spark, d):
-    docs = V.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.col("text").alias("memory")))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("## Memory\n"), F.col("text"))).otherwise(F.col("text")).alias("raw"))
-    return texts.parsed_documents(docs, "raw").select("doc_id", "parsed.method", "parsed.confidence", F.length("parsed.document").alias("length"))
+    x, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 12
+    raw = (
+        F.when(k == 0, F.to_json(F.struct(x.alias("document")))).when(k == 1, F.to_json(F.struct(F.struct(F.struct(x.alias("answer")).alias("result")).alias("data"))))
+        .when(k == 2, F.to_json(F.struct(F.lit("MEMORY.md").alias("document_type"), x.alias("document")))).when(k == 3, F.concat(F.lit("said\n<<<MEMORY_DOCUMENT_V1:USER.md>>>\n"), x, F.lit("\n<<<END_MEMORY_DOCUMENT_V1>>>\nafter")))
+        .when(k == 4, F.concat(F.lit("<<<memory_document_v1:user.md>>> \n"), x)).when(k == 5, F.concat(F.lit("# USER.md\nold\n## Output:\n"), x)).when(k == 6, F.concat(F.lit("Output\nold\n --- USER.md ---\n"), x))
+        .when(k == 7, F.concat(F.lit("Reasoning: so\n"), x)).when(k == 8, x).when(k == 9, F.concat(F.lit("- first\n"), x)).when(k == 10, F.concat(F.lit("**Output**\n# USER.md\n"), x)).otherwise(" \n")
+    )
+    rows = documents.parsed_documents(V.table(spark, d, "documents").select("doc_id", raw.alias("raw")), "raw")
+    return rows.select("doc_id", "parsed.method", "parsed.confidence", F.size("parsed.warnings").alias("warned"), F.sha2("parsed.document", 256).alias("digest"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, string_split(replace('intro' || chr(10) || '# One' || chr(10) || text || chr(10) || '## Two' || chr(10) || '- last', chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM documents),

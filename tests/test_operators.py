@@ -130,19 +130,10 @@ def test_text_functions(spark):
     assert tuple(r) == ("keep abc", "a\nb", "1", 1600)
 
 
-def test_parse_document_order():
-    assert texts.parse_document('```json\n{"memory": "- x"}\n```') == ("- x", "json", 0.98)
-    assert texts.parse_document("USER.md\nold\nUSER.md:\n- new") == ("- new", "marker", 0.97)
-    assert texts.parse_document("# T\nx")[1] == "markdown" and texts.parse_document("- x")[1] == "list"
-    assert texts.parse_document("words")[:2] == (None, "unrecognised") and texts.parse_document(None)[1] == "empty"
-
-
 def test_sections_and_patches(spark):
     docs = spark.createDataFrame([(1, "intro\n# A\nx\n## B\ny"), (2, "one\n\ntwo\nmore"), (3, None)], "id int, t string")
     got = [(x.id, x.section_id, x.level, x.title, x.body) for x in texts.sections(docs, "id", "t").orderBy("id", "section_id").collect()]
     assert got == [(1, "S001", 1, "A", "# A\nx"), (1, "S002", 2, "B", "## B\ny"), (2, "S001", 0, "one", "one"), (2, "S002", 0, "two", "two\nmore")]
-    text, notes = texts.apply_edits("a\nb", [dict(op="replace", old_text="b", new_text="c", evidence_refs=["e"]), dict(op="append", new_text="z"), dict(op="append", new_text="w" * 2000, evidence_refs=["e"])])
-    assert text == "a\nc" and notes == ["applied", "no evidence", "over budget"]
 
 
 def test_line_bag_diff(spark):
@@ -162,6 +153,24 @@ def test_the_registered_interval_uses_all_resamples(spark, monkeypatch):
     assert every.lower < every.point < every.upper
 
 
+def same_rule(a, b):
+    """What SURVEY says of two rule keys, for one pair."""
+    from difflib import SequenceMatcher
+
+    from engram.operators.prompts import NO_RECORD, RECORD
+
+    n, m = sorted((len(a), len(b)))
+    inside = a in b or b in a
+    if n < 8 or inside or n < 14:
+        return a == b if n < 8 else inside and n >= 12 and n / m >= 0.58
+    kind = [("no" if any(w in k for w in NO_RECORD) else "yes" if any(w in k for w in RECORD) else "") for k in (a, b)]
+    shares = []
+    for size in (2, 1):
+        x, y = ({k[i : i + size] for i in range(len(k) + 1 - size)} for k in (a, b))
+        shares.append(len(x & y) / min(len(x), len(y)))
+    return SequenceMatcher(None, a, b).ratio() >= 0.88 or (kind[0] != "" and kind[0] == kind[1] and shares[0] >= 0.6 and shares[1] >= 0.78)
+
+
 def test_similar_rules_are_those_of_all_pairs(spark):
     from engram.operators import prompts
 
@@ -177,5 +186,23 @@ def test_similar_rules_are_those_of_all_pairs(spark):
     rows += [(900 + i, "g0", "短规则") for i in range(3)] + [(950, "g0", ""), (951, "g0", None)]
     table = spark.createDataFrame(rows, "id long, g string, t string")
     keys = {r.id: (r.g, r.k) for r in table.select("id", "g", prompts.rule_key(F.col("t")).alias("k")).collect() if r.k}
-    want = {(a, b) for a in keys for b in keys if a < b and keys[a][0] == keys[b][0] and prompts._alike(keys[a][1], keys[b][1])}
+    want = {(a, b) for a in keys for b in keys if a < b and keys[a][0] == keys[b][0] and same_rule(keys[a][1], keys[b][1])}
     assert {(r.a, r.b) for r in prompts.similar_rules(table, "id", "g", "t").collect()} == want and len(want) > 100
+
+
+def test_buckets_have_equal_shares_however_values_lie(spark):
+    from engram.functions.ranks import number_buckets, positions
+
+    rows = spark.range(40_000, numPartitions=4).select(F.monotonically_increasing_id().alias("v")).unionByName(spark.createDataFrame([(1 << 62,), (-5,), (None,)], "v long"))
+    bucket = number_buckets(rows, "v")
+    sizes = [r[1] for r in rows.groupBy(bucket.alias("b")).count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 400
+    got = [r.position for r in positions(rows, [bucket], [F.col("v")]).orderBy(F.col("v").asc_nulls_first()).collect()]
+    assert got == list(range(1, 40_004))
+    assert positions(rows.limit(0), [number_buckets(rows.limit(0), "v")], [F.col("v")]).collect() == []
+
+
+def test_no_row_of_the_bootstrap_grows_with_the_clusters(spark):
+    clusters = spark.range(3000).select(F.col("id").cast("string").alias("cluster"), (F.col("id") % 7).cast("double").alias("mean_delta"))
+    got = gate.bootstrap_interval(clusters, "s", samples=100).head()
+    assert got.lower < got.point < got.upper and got.point == pytest.approx(2.998, abs=0.01)
