@@ -177,8 +177,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [np.frombuffer(k, np.int64) for k in batch.column("keys").to_pylist()]
-        ids = np.repeat(np.asarray(batch.column("id")), [len(k) for k in keys])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(ids)], names=["key", "id"])
+        owner = pa.array(np.repeat(np.arange(batch.num_rows), [len(k) for k in keys]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), batch.column("id").take(owner), batch.column("doc_id").take(owner)], names=["key", "id", "doc_id"])
 
 
 class _Forest:
@@ -283,9 +283,10 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         digests = scratch.save(rows.mapInArrow(_digests(percent), "row long, doc_id long, n long, h1 long, h2 long, keys binary"))
         classes = digests.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("id"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best"), F.first("keys").alias("keys"))
         classes = scratch.save(classes)
-        bands = scratch.save(classes.select("id", "keys").mapInArrow(_explode_keys, "key long, id long"))
-        shared = bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-        shared = scratch.save(shared.select("key", "low"))
+        # a band's representative is its smallest document, mostly the same one for all bands of a group, so that few edges differ
+        bands = scratch.save(classes.select("id", "best.doc_id", "keys").mapInArrow(_explode_keys, "key long, id long, doc_id long"))
+        shared = bands.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+        shared = scratch.save(shared.select("key", F.col("first.id").alias("low")))
         edges = bands.join(shared, "key").where("id <> low").select(F.col("low").alias("src"), F.col("id").alias("dst"))
         clusters = scratch.save(connected_components(edges).withColumnRenamed("label", "cluster"))
         # only documents of clusters send their texts through the shuffle
