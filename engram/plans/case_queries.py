@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import cases, detail, results, rules, sessions
 from . import views as V
-from .queries import query
+from .queries import PARSED_BODY, query
 
 _TURNS = "(CASE WHEN coalesce(query, '') <> '' THEN 1 ELSE 0 END) + (CASE WHEN coalesce(answer, '') <> '' THEN 1 ELSE 0 END)"
 
@@ -88,12 +88,12 @@ def q_distinct_in_order(spark, d):
     return V.table(spark, d, "events").select("event_id", F.array_join(cases.distinct_in_order(a), ",").alias("distinct_values"))
 
 
-@query("SELECT event_id, 'Head ' || event_id || chr(10) || 'body' AS body FROM events")
+@query(rf"""SELECT doc_id, digest FROM (WITH d AS (SELECT doc_id, chr(10) || '## Output:' || chr(13) || chr(10) || chr(10) || '--- USER.md ---' || chr(10) || coalesce(text, '') || '  ' || chr(10) || chr(10) AS x FROM documents),
+p AS (SELECT doc_id, '' AS method, 0 AS confidence, 0 AS warned, CASE doc_id % 3 WHEN 0 THEN '```markdown' || chr(10) || x || chr(10) || '```' || chr(10) WHEN 1 THEN x ELSE substr(x, 40) END AS body FROM d), {PARSED_BODY})""")
 def q_without_wrappers(spark, d):
-    e = F.col("event_id").cast("string")
-    inner = F.concat(F.lit("\n## Output:\r\n\n--- USER.md ---\nHead "), e, F.lit("  \nbody\n\n"))
-    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```markdown\n"), inner, F.lit("\n```\n"))).otherwise(inner)
-    return V.table(spark, d, "events").select("event_id", cases.without_wrappers(text, "USER.md").alias("body"))
+    k, x = F.col("doc_id") % 3, F.concat(F.lit("\n## Output:\r\n\n--- USER.md ---\n"), F.coalesce("text", F.lit("")), F.lit("  \n\n"))
+    text = F.when(k == 0, F.concat(F.lit("```markdown\n"), x, F.lit("\n```\n"))).when(k == 1, x).otherwise(F.substr(x, F.lit(40)))
+    return V.table(spark, d, "documents").select("doc_id", F.sha2(cases.without_wrappers(text, "USER.md"), 256).alias("digest"))
 
 
 @query("""WITH r AS (SELECT user_id, CASE event_id % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.98 WHEN 2 THEN 0.65 WHEN 3 THEN 0.05 + 0.2 * ((event_id % 10) / 10) WHEN 4 THEN 0.25 + 0.2 * ((event_id % 10) / 10) ELSE 0.0 END AS p FROM events)
@@ -289,10 +289,12 @@ def q_evidence_by_refs(spark, d):
     return rules.evidence_of(e, e.where("event_id % 10 = 3"), "event_id", 5).select("event_id")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'R1 a,plain' ELSE 'R2 b,plain' END AS refs FROM events")
+@query(r"""WITH l AS (SELECT event_id, ['R' || event_id % 4 || ' a', 'x' || event_id % 3, 'x' || event_id % 5, 'R' || event_id % 3 || ' b and R' || user_id % 3, 'x' || event_id % 3] AS refs FROM events)
+SELECT event_id, array_to_string(list_filter(refs, lambda x, i: list_position(refs, x) = i AND len(list_filter(regexp_extract_all(x, '\bR\d+\b'), lambda r: r NOT IN ('R1', 'R2'))) = 0), ',') AS refs FROM l""")
 def q_merged_refs(spark, d):
-    own = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("R1 a"), F.lit("R8 gone"))).otherwise(F.array(F.lit("R2 b")))
-    return V.table(spark, d, "events").select("event_id", F.array_join(rules.merged_references(own, F.array(F.array(F.lit("plain"), F.lit("R2 b and R9")), F.array(F.lit("plain"))), F.array(F.lit("R1"), F.lit("R2"))), ",").alias("refs"))
+    e, t = F.col("event_id"), lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    own, nested = F.array(t("R", e % 4, " a"), t("x", e % 3)), F.array(F.array(t("x", e % 5), t("R", e % 3, " b and R", F.col("user_id") % 3)), F.array(t("x", e % 3)))
+    return V.table(spark, d, "events").select("event_id", F.array_join(rules.merged_references(own, nested, F.array(F.lit("R1"), F.lit("R2"))), ",").alias("refs"))
 
 
 @query("""SELECT event_id, (event_id % 50) / 10 AS total, CASE WHEN event_id % 3 = 2 THEN NULL ELSE (event_id % 5) * 1.0 END AS coverage, CASE WHEN event_id % 3 = 0 THEN 'wrong_fact,over_memory' WHEN event_id % 3 = 1 THEN 'over_memory' ELSE '' END AS tags, event_id % 3 = 1 AS fatal FROM events""")
@@ -369,9 +371,9 @@ def q_judges_disagree(spark, d):
     return both.where(compare.judges_disagree()).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, 'a b ' || event_type AS text FROM events")
+@query(r"""SELECT doc_id, sha256(trim(regexp_replace(chr(12288) || coalesce(text, '') || chr(9) || chr(10), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS digest FROM documents""")
 def q_squeeze(spark, d):
-    return V.table(spark, d, "events").select("event_id", C.squeeze(F.concat(F.lit("　 a \t b\n"), F.col("event_type"), F.lit("  "))).alias("text"))
+    return V.table(spark, d, "documents").select("doc_id", F.sha2(C.squeeze(F.concat(F.lit("　"), F.coalesce("text", F.lit("")), F.lit("\t\n"))), 256).alias("digest"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN 'x1.0' ELSE '-7' END AS id FROM events")
@@ -387,12 +389,13 @@ def q_source_key(spark, d):
     return e.select("event_id", C.source_key(F.lit("user_md"), F.when(F.col("event_id") % 2 == 1, F.col("user_id").cast("string")), F.lit(" "), F.col("event_id") % 5, F.lit(None), F.lit(9)).alias("source_key"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 1.0 END AS p, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.5 END AS r, 2.0 / 3 AS f1 FROM events")
+@query("""WITH s AS (SELECT l_orderkey, list(DISTINCT l_partkey % 7) FILTER (l_linenumber % 3 <> 0) AS a, list(DISTINCT l_suppkey % 7) FILTER (l_linenumber % 4 <> 1) AS b FROM lineitem GROUP BY 1),
+n AS (SELECT l_orderkey, coalesce(len(a), 0) AS n, coalesce(len(b), 0) AS m, coalesce(len(list_intersect(a, b)), 0) AS shared FROM s)
+SELECT l_orderkey, CASE WHEN n = 0 THEN CASE WHEN m = 0 THEN 1.0 ELSE 0.0 END ELSE shared / n END AS p, CASE WHEN m = 0 THEN CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END ELSE shared / m END AS r, CASE WHEN n + m = 0 THEN 1.0 ELSE 2.0 * shared / (n + m) END AS f1 FROM n""")
 def q_precision_recall(spark, d):
-    one, two = F.array(F.lit("x")), F.array(F.lit("x"), F.lit("y"), F.lit("y"))
-    even = F.col("event_id") % 2 == 0
-    p, r, f1 = C.precision_recall_f1(F.when(even, two).otherwise(one), F.when(even, one).otherwise(two))
-    return V.table(spark, d, "events").select("event_id", p.alias("p"), r.alias("r"), f1.alias("f1"))
+    sets = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("l_linenumber") % 3 != 0, F.col("l_partkey") % 7)).alias("a"), F.collect_list(F.when(F.col("l_linenumber") % 4 != 1, F.col("l_suppkey") % 7)).alias("b"))
+    p, r, f1 = C.precision_recall_f1(F.col("a"), F.col("b"))
+    return sets.select("l_orderkey", p.alias("p"), r.alias("r"), f1.alias("f1"))
 
 
 @query("SELECT event_id, '{\"n\": ' || event_id || '}' AS body, 'said ' || event_id AS content, 'ab' || event_id AS streamed FROM events")

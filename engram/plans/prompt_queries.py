@@ -99,10 +99,11 @@ def q_contract_view(spark, d):
     return V.table(spark, d, "events").select("event_id", prompts.contract_view(text, 10).alias("view"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a b|c|d|e' WHEN 1 THEN 'a b|c' ELSE 'a b' END AS items FROM events")
+@query(r"""WITH s AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END AS n, CASE doc_id % 3 WHEN 0 THEN 120 WHEN 1 THEN 60 ELSE 40 END AS w, string_split(coalesce(text, ''), '. ') AS ls FROM documents)
+SELECT doc_id, array_to_string(list_transform(list_slice(ls, 1, n), lambda x: substr(trim(regexp_replace(x, '[\s\x0B\x{85}\x{A0}\x{3000}]+', ' ', 'g')), 1, w)), '|') AS items FROM s""")
 def q_compacted_evidence(spark, d):
-    items = F.array(F.lit(" a \n b"), F.lit("c"), F.lit("d"), F.lit("e"), F.lit("f"))
-    return V.table(spark, d, "events").select("event_id", F.array_join(prompts.compacted(items, F.col("event_id") % 3, 4, 400), "|").alias("items"))
+    items = F.split(F.coalesce("text", F.lit("")), r"\. ")
+    return V.table(spark, d, "documents").select("doc_id", F.array_join(prompts.compacted(items, F.col("doc_id") % 3, 4, 120), "|").alias("items"))
 
 
 def _patches(spark, d):

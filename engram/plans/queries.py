@@ -565,7 +565,7 @@ def q_export_flat(spark, d):
     return results.flat_export(V.results(spark, d), DIMENSIONS)
 
 
-_PARSED_BODY = r"""f AS (SELECT *, regexp_replace(body, '^\s+|\s+$', '', 'g') AS s FROM p),
+PARSED_BODY = r"""f AS (SELECT *, regexp_replace(body, '^\s+|\s+$', '', 'g') AS s FROM p),
 u AS (SELECT *, CASE WHEN regexp_matches(s, '(?is)^```(?:markdown|md|text|json)?[ \t]*\r?\n?(.*?)\r?\n?```$') THEN regexp_extract(s, '(?is)^```(?:markdown|md|text|json)?[ \t]*\r?\n?(.*?)\r?\n?```$', 1) ELSE s END AS t FROM f),
 n AS (SELECT *, list_transform(string_split(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '\s+$', '')) AS ls FROM u),
 o AS (SELECT *, list_position(list_transform(ls, lambda x: x <> '' AND NOT regexp_full_match(regexp_replace(x, '^\s+', ''), '(?i)(?:#{1,6}\s*(?:Output|输出|USER\.md)\s*[:：]?|---+\s*USER\.md\s*---+|(?:\*{1,2}|_{1,2})?(?:Output|输出)(?:\*{1,2}|_{1,2})?\s*[:：]?)')), true) AS first FROM n)
@@ -579,7 +579,7 @@ WHEN k = 7 THEN 'reasoning_only' WHEN k = 10 THEN 'document_heading' WHEN k = 11
 WHEN len(list_filter(ls, lambda l: regexp_matches(l, '^[ \t]*(?:[-*•]|\d+[.、])[ \t]+\S'))) > 0 THEN 'list_fallback' ELSE 'unrecognized' END AS method FROM j),
 p AS (SELECT doc_id, method, CASE WHEN k = 4 THEN 0.9 WHEN k = 3 THEN 1.0 WHEN k < 2 THEN 0.98 WHEN k IN (5, 6, 10) THEN 0.97 WHEN method = 'structured_markdown_fallback' THEN 0.78 WHEN method = 'list_fallback' THEN 0.7 ELSE 0.0 END AS confidence,
 CAST(CASE WHEN k IN (2, 4, 7) OR (k IN (8, 9) AND method <> 'none') THEN 1 ELSE 0 END AS INT) AS warned, CASE WHEN k IN (2, 7) OR method IN ('none', 'unrecognized') THEN NULL WHEN k = 9 THEN '- first' || chr(10) || s WHEN k = 8 THEN s WHEN k = 3 THEN x || chr(10) ELSE x END AS body FROM m),
-{_PARSED_BODY}""")
+{PARSED_BODY}""")
 def q_doc_parse(spark, d):
     x, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 12
     raw = (

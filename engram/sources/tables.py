@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,21 +44,90 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, task_type: s
     return rows.withColumn("task_type", F.coalesce("task_type", F.lit(task_type))) if "task_type" in rows.columns else rows.withColumn("task_type", F.lit(task_type))
 
 
-def read_results_csv(spark: SparkSession, path: str, dimensions: tuple[str, ...]) -> DataFrame:
-    """Result tables in CSV; score_<dimension> columns become the map ``dims`` (tenths), lists are split on , or ;."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    missing = {"case_id", "score_total"} - set(rows.columns)
-    if missing:
-        raise ValueError(f"columns are missing: {sorted(missing)}")
-    have = [d for d in dimensions if f"score_{d}" in rows.columns]
-    entries = F.array(*[F.struct(F.lit(d).alias("key"), F.round(F.expr(f"try_cast(`score_{d}` AS DOUBLE)") * 10).cast("int").alias("value")) for d in have])
-    tags = F.filter(F.transform(F.split(F.coalesce(F.col("error_tags"), F.lit("")), "[,;]"), lambda t: F.trim(t)), lambda t: t != "") if "error_tags" in rows.columns else F.array().cast("array<string>")
-    return rows.select(
-        "case_id", F.round(F.expr("try_cast(score_total AS DOUBLE)") * 1000).cast("long").alias("score_milli"),
-        (F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())) if have else F.create_map().cast("map<string,int>")).alias("dims"), tags.alias("error_tags"),
+# What a result table must have, the columns that are kept as text, and those that hold lists with the mark that parts them.
+RESULT_REQUIRED = ("case_id", "score_total")
+RESULT_TEXTS = (
+    "comment", "judge_model", "judge_prompt_version", "extraction_prompt_version", "extraction_prompt_hash", "judge_prompt_hash", "scoring_schema_version", "dimension_weights_version",
+    "scoring_config_hash", "case_input_hash", "evaluation_fingerprint", "failure_type", "failure_message", "timestamp", "evaluation_status",
+)
+RESULT_LISTS = {"error_tags": "[,;]", "rule_refs": "[;]", "evidence_refs": "[;]", "output_refs": "[;]", "reasoning_refs": "[;]"}
+TRUE_WORDS = ("1", "true", "yes", "y", "是", "1.0")
+
+
+def _list_cell(c: Column, mark: str) -> Column:
+    """A cell that holds a JSON array, or texts parted by a mark."""
+    text = trim_u(c)
+    parsed = F.try_variant_get(F.try_parse_json(F.when(text.startswith("["), text)), "$", "array<string>")
+    parts = F.coalesce(parsed, F.split(text, mark))
+    return F.filter(F.transform(parts, trim_u), lambda x: x != "")
+
+
+def table_results(raw: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
+    """Rows of a result table (text columns, row_ix from 0) as results with ``problems``, what is wrong with the row (empty: nothing).
+
+    ``score_<dimension>`` columns become the map ``dims`` (tenths), lists are JSON arrays or parted texts.  Columns that the table lacks are empty.
+    """
+    missing = sorted(set(RESULT_REQUIRED) - set(raw.columns))
+    if missing and raw.columns:
+        raise ValueError(f"columns are missing: {missing}")
+    cell = lambda c: trim_u(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) if c in raw.columns else F.lit("")
+    number = lambda c: F.expr(f"try_cast(`{c}` AS DOUBLE)")
+    have = [d for d in dimensions if f"score_{d}" in raw.columns]
+    row = (F.col("row_ix") + 2).cast("string")
+    wrong = lambda test, text: F.when(test, F.concat(F.lit("row "), row, F.lit(f": {text}")))
+    no_id, no_score = cell("case_id") == "", (cell("case_id") != "") & number("score_total").isNull()
+    readable = ~no_id & ~no_score
+    problems = [wrong(no_id, "no case_id"), wrong(no_score, "score_total is not a number"), *[wrong(readable & (cell(f"score_{d}") != "") & number(f"score_{d}").isNull(), f"score_{d} is not a number") for d in have]]
+    entries = F.array(*[F.struct(F.lit(d).alias("key"), F.round(number(f"score_{d}") * 10).cast("int").alias("value")) for d in have])
+    dims = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())) if have else F.create_map().cast("map<string,int>")
+    flag = lambda c: F.lower(cell(c)).isin(*TRUE_WORDS)
+    named = lambda c, otherwise: F.when(cell(c) != "", cell(c)).otherwise(otherwise)
+    return raw.select(
+        "row_ix", cell("case_id").alias("case_id"), named("task_type", "user_md").alias("task_type"), F.round(number("score_total") * 1000).cast("long").alias("score_milli"), dims.alias("dims"),
+        *[_list_cell(cell(c), mark).alias(c) for c, mark in RESULT_LISTS.items()], flag("fatal_error").alias("fatal"), F.when(cell("score_eligible") != "", flag("score_eligible")).alias("score_eligible"),
+        named("model_name", "unknown").alias("model_name"), named("prompt_version", "unknown").alias("prompt_version"), *[cell(c).alias(c) for c in RESULT_TEXTS], F.array_compact(F.array(*problems)).alias("problems"),
     )
 
 
+def good_results(results: DataFrame, shown: int = 5) -> DataFrame:
+    """The rows without problems; raises with the first problems and their number if there are any."""
+    bad = results.where(F.size("problems") > 0).select("row_ix", F.posexplode("problems").alias("at", "problem"))
+    first = [r.problem for r in bad.orderBy("row_ix", "at").limit(shown).collect()]
+    if first:
+        more = bad.count() - len(first)
+        raise ValueError(f"rows that can't be read: {'; '.join(first)}" + (f"; and {more} more" if more else ""))
+    return results.drop("problems", "row_ix")
+
+
+def read_result_table(spark: SparkSession, path: str, dimensions: tuple[str, ...]) -> DataFrame:
+    """Results with problems from a .csv, .jsonl or .xlsx table, by the path's ending."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "csv":
+        # a quoted cell may hold line ends, so a file is read by one task; rows are numbered in their file's order
+        raw = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("row_ix", F.monotonically_increasing_id())
+    elif kind == "jsonl":
+        lines = spark.read.text(path).where(trim_u(F.col("value")) != "").withColumn("row_ix", F.monotonically_increasing_id())
+        cells = F.from_json(F.regexp_replace("value", "^\ufeff", ""), "map<string,string>")
+        # scores stand under their own names or inside one object
+        inside = F.from_json(F.try_element_at("c", F.lit("scores")), "map<string,string>")
+        names = sorted({*RESULT_REQUIRED, "task_type", "model_name", "prompt_version", "fatal_error", "score_eligible", *RESULT_LISTS, *RESULT_TEXTS})
+        plain = [F.try_element_at("c", F.lit(n)).alias(n) for n in names]
+        scores = [F.coalesce(F.try_element_at("c", F.lit(f"score_{d}")), F.try_element_at(inside, F.lit(d))).alias(f"score_{d}") for d in dimensions]
+        raw = lines.withColumn("c", cells).select("row_ix", *plain, *scores)
+    elif kind == "xlsx":
+        sheet = read_spreadsheets(spark, path)
+        headers = [r[0] for r in sheet.where("row_ix = 0").select(F.explode(F.map_keys("cells"))).distinct().collect()]
+        raw = sheet.select("row_ix", *[F.try_element_at("cells", F.lit(h)).alias(h) for h in headers])
+    else:
+        raise ValueError(f"not a result table: {path}")
+    return table_results(raw, dimensions)
+
+
+def read_results_csv(spark: SparkSession, path: str, dimensions: tuple[str, ...]) -> DataFrame:
+    """The results of a CSV table; raises if rows can't be read."""
+    return good_results(read_result_table(spark, path, dimensions))
+
+
 _CASE_FILES = ("old_user.md", "dialogue.md", "new_user.md")
 
 
@@ -132,6 +201,10 @@ def sheet_rows(data: bytes) -> Iterator[list[str]]:
             yield [cells.get(i, "") for i in range(1, max(cells, default=0) + 1)]
 
 
+#: Rows of a sheet that are handed on together.
+SHEET_ROWS = 4096
+
+
 def read_spreadsheets(spark: SparkSession, path: str) -> DataFrame:
     """S3: rows of .xlsx files, one task per file: file, row_ix, cells (map of header to text)."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -140,9 +213,13 @@ def read_spreadsheets(spark: SparkSession, path: str) -> DataFrame:
         for part in parts:
             for name, content in zip(part["path"], part["content"], strict=True):
                 rows = sheet_rows(content)
-                header = next(rows, [])
-                out = [(name, i, dict(zip(header, row, strict=False))) for i, row in enumerate(rows)]
-                yield pd.DataFrame(out, columns=["file", "row_ix", "cells"])
+                header, held = next(rows, []), []
+                for i, row in enumerate(rows):  # a sheet is never held whole
+                    held.append((name, i, dict(zip(header, row, strict=False))))
+                    if len(held) == SHEET_ROWS:
+                        yield pd.DataFrame(held, columns=["file", "row_ix", "cells"])
+                        held = []
+                yield pd.DataFrame(held, columns=["file", "row_ix", "cells"])
 
     return files.mapInPandas(run, "file string, row_ix long, cells map<string,string>")
 
@@ -196,10 +273,33 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_split(df: DataFrame, path: str, part: str = "part") -> DataFrame:
-    """One folder per part, and the manifest (rows per part) as a frame."""
-    df.write.mode("overwrite").partitionBy(part).parquet(path)
-    return df.sparkSession.read.parquet(path).groupBy(part).agg(F.count("*").alias("rows"))
+def write_split(df: DataFrame, path: str, order: str = "row_ix", part: str = "part", about: dict | None = None) -> DataFrame:
+    """One folder per part with its rows in source order, and a manifest (part, rows, first, last, digest) that is committed last.
+
+    Rows are dealt by ranges of their place, so no part is sorted in one task; files of a part follow each other by name.  The digest is the sum of
+    row hashes, computed on what was written, so the manifest stands for files that can be read.  A run that fails leaves no manifest: the one of
+    an earlier run goes first.  ``about`` (text values) becomes columns of the manifest.
+    """
+    spark = df.sparkSession
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    df.repartitionByRange(part, order).sortWithinPartitions(part, order).write.mode("overwrite").partitionBy(part).parquet(f"{path}/rows")
+    back = spark.read.parquet(f"{path}/rows")
+    columns = [F.col(f"`{c}`") for c in df.columns if c != part]
+    manifest = back.groupBy(part).agg(F.count("*").alias("rows"), F.min(order).alias("first"), F.max(order).alias("last"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("digest"))
+    manifest = manifest.select("*", *[F.lit(v).alias(k) for k, v in (about or {}).items()])
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
+
+
+def read_split(spark: SparkSession, path: str, part: str, name: str = "part") -> DataFrame:
+    """The rows of one part; raises without a manifest, or if what is there is not what it says."""
+    whole = spark.read.json(f"{path}/manifest")
+    said = {str(r[name]): r.rows for r in whole.select(name, "rows").collect()}
+    rows = spark.read.parquet(f"{path}/rows").where(F.col(name).cast("string") == part)
+    if rows.count() != said.get(part, 0):
+        raise ValueError(f"part {part} of {path} has not the {said.get(part, 0)} rows of its manifest")
+    return rows.drop(name)
 
 
 def cell_safe(c):

@@ -71,3 +71,77 @@ def test_journal_upsert(spark, tmp_path):
 def test_stale_tasks(spark):
     rows = spark.createDataFrame([("running", 0), ("running", 900), ("done", 0)], "status string, at long").withColumn("heartbeat_at", F.timestamp_seconds("at"))
     assert [x.status for x in events.stale_tasks(rows, F.timestamp_seconds(F.lit(1000)), 300).collect()] == ["interrupted", "running", "done"]
+
+
+def test_result_tables_tell_all_bad_rows(spark, tmp_path):
+    rows = ["case_id,score_total,score_correctness,error_tags,rule_refs,fatal_error,model_name", 'c1,4.25,4.0,"a, b;c","[""R1"", "" R2 ""]",TRUE,m', ",1,,,,,", "c3,abc,x,,,,", "c4,2,x,,,,", 'c5,1,,"[bad",R1;R2,0,']
+    (tmp_path / "r.csv").write_text("\n".join(rows) + "\n")
+    found = tables.read_result_table(spark, str(tmp_path / "r.csv"), ("correctness", "coverage"))
+    assert [list(r.problems) for r in found.orderBy("row_ix").collect()] == [[], ["row 3: no case_id"], ["row 4: score_total is not a number"], ["row 5: score_correctness is not a number"], []]
+    good = {r.case_id: r for r in found.where(F.size("problems") == 0).collect()}
+    assert (good["c1"].dims, good["c1"].error_tags, good["c1"].rule_refs, good["c1"].fatal, good["c1"].task_type, good["c1"].model_name) == ({"correctness": 40}, ["a", "b", "c"], ["R1", "R2"], True, "user_md", "m")
+    assert (good["c5"].error_tags, good["c5"].rule_refs, good["c5"].fatal, good["c5"].model_name, good["c5"].score_milli) == (["[bad"], ["R1", "R2"], False, "unknown", 1000)
+    with pytest.raises(ValueError, match="row 3: no case_id; row 4: score_total is not a number; row 5.*number$"):
+        tables.good_results(found)
+    with pytest.raises(ValueError, match="and 2 more"):
+        tables.good_results(found, 1)
+    (tmp_path / "r.jsonl").write_text('{"case_id": "j1", "score_total": 3.5, "scores": {"coverage": 2.5}, "error_tags": ["x"], "fatal_error": false}\n\n{"case_id": "j2"}\n')
+    found = tables.read_result_table(spark, str(tmp_path / "r.jsonl"), ("correctness", "coverage")).orderBy("row_ix").collect()
+    assert [(r.case_id, r.score_milli, r.dims, r.error_tags, len(r.problems)) for r in found] == [("j1", 3500, {"coverage": 25}, ["x"], 0), ("j2", None, {}, [], 1)]
+    (tmp_path / "n.csv").write_text("case_id\nx\n")
+    with pytest.raises(ValueError, match="score_total"):
+        tables.read_result_table(spark, str(tmp_path / "n.csv"), ())
+
+
+def test_split_keeps_order_and_commits_its_manifest_last(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").alias("row_ix"), F.concat(F.lit("v"), F.col("id")).alias("v"), F.when(F.col("id") % 7 == 0, "validation").otherwise("discovery").alias("part"))
+    said = {r.part: (r.rows, r.first, r.last, r.seed) for r in tables.write_split(rows, str(tmp_path / "s"), about={"seed": "x"}).collect()}
+    assert said == {"validation": (143, 0, 994, "x"), "discovery": (857, 1, 999, "x")}
+    for folder in (tmp_path / "s" / "rows").glob("part=*"):
+        read = [r.row_ix for f in sorted(folder.glob("*.parquet")) for r in spark.read.parquet(str(f)).collect()]
+        assert read == sorted(read) and len(read) == said[folder.name.split("=")[1]][0]
+    assert tables.read_split(spark, str(tmp_path / "s"), "validation").count() == 143
+    broken = rows.withColumn("v", F.when(F.col("row_ix") == 999, F.raise_error(F.lit("lost"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_split(broken, str(tmp_path / "s"))
+    with pytest.raises(Exception, match="manifest"):
+        tables.read_split(spark, str(tmp_path / "s"), "validation")
+
+
+def _batches(spark, tmp_path, parts, schema, build):
+    """Runs a stream over one file a micro-batch and returns all rows that it gave, in order of the batches."""
+    src = tmp_path / "in"
+    src.mkdir()
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+        (found,) = (tmp_path / f"p{i}").glob("*.parquet")
+        found.rename(src / f"{i:03d}.parquet")
+    out = []
+    stream = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src)))
+    stream.writeStream.outputMode("update").foreachBatch(lambda batch, n: out.extend((n, *r) for r in batch.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def test_held_document_resets_with_the_segment(spark, tmp_path):
+    from engram.streaming import stateful
+
+    parts = [
+        [(1, 0, 2, "parsed", "B"), (1, 0, 1, "parsed", "A"), (2, 0, 1, "failed", "x")],
+        [(1, 0, 3, "empty", "y"), (2, 0, 2, "parsed", "C")],
+        [(1, 1, 4, "unparsed", "z"), (2, 0, 3, "parsed", "D")],
+        [(1, 1, 5, "parsed", "E"), (1, 0, 6, "parsed", "late")],
+    ]
+    got = _batches(spark, tmp_path, parts, "reviewer long, segment long, ix long, outcome string, document string", stateful.held_documents)
+    assert sorted(got) == [(0, 1, 0, "B", 2), (0, 2, 0, None, 1), (1, 1, 0, "B", 3), (1, 2, 0, "C", 2), (2, 1, 1, None, 4), (2, 2, 0, "D", 3), (3, 1, 1, "E", 6)]
+
+
+def test_tasks_without_heartbeat_are_interrupted_by_a_timer(spark, tmp_path):
+    from engram.streaming import stateful
+
+    parts = [[("a", "running", 1_000), ("b", "running", 1_000)], [("b", "running", 250_000), ("c", "done", 200_000)], [("b", "running", 400_000), ("z", "done", 500_000)], [("z", "done", 600_000)]]
+    build = lambda s: stateful.task_fates(s.withColumn("ts", F.timestamp_millis("heartbeat_ms")).withWatermark("ts", "0 seconds"), 300, "EventTime")
+    got = _batches(spark, tmp_path, parts, "task_id string, status string, heartbeat_ms long", build)
+    last = {}
+    for _, task, status, _ in got:
+        last[task] = status
+    assert last == {"a": "interrupted", "b": "running", "c": "done", "z": "done"}
