@@ -59,6 +59,8 @@ SAMPLED = 4
 #: Elements that a task holds before it counts them.
 HELD = 1 << 21
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+#: Bits of an element's hash by which a signature counts.
+SIGNATURE = 5
 #: Times that lists lose their head, and pairs of a head that one copy of it serves.
 ROUNDS, PART = 3, 256
 #: A set whose similarity with a computed one reaches this share takes its answers from there.
@@ -137,7 +139,7 @@ def _prefixes(size: int, percent: int, shared, repeated):
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         s = s[np.lexsort((s, np.where(frequent[at] == s, count[at], 0)))]
-                    rows.append((i, skip, s[: length - skip].tobytes(), np.bincount((sets[i] >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.uint32).tobytes()))
+                    rows.append((i, skip, s[: length - skip].tobytes(), np.bincount((sets[i] >> np.uint64(64 - SIGNATURE)).astype(np.int64), minlength=1 << SIGNATURE).astype(np.uint32).tobytes()))
                 at = [r[0] for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row").take(pa.array(at, pa.int64())), pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *[pa.array([r[c] for r in rows], pa.binary()) for c in (2, 3)]],
@@ -156,8 +158,8 @@ def _entries(percent: int):
             index = np.array([prefix_lengths(int(x), percent)[1] for x in n], dtype=np.int64)
             pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(np.asarray(batch.column("skip")), sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(np.repeat(np.asarray(batch.column("id")), sizes)), pa.array(np.repeat(n, sizes)), pa.array(pos), pa.array(pos < np.repeat(index, sizes))],
-                names=["key", "id", "n", "pos", "listed"],
+                [pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(np.repeat(np.asarray(batch.column("id")), sizes)), pa.array(np.repeat(n, sizes)), pa.array(pos < np.repeat(index, sizes))],
+                names=["key", "id", "n", "listed"],
             )
 
     return run
@@ -178,7 +180,7 @@ def _can_link(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, 64).astype(np.int64) for c in ("signature", "head_signature"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, 1 << SIGNATURE).astype(np.int64) for c in ("signature", "head_signature"))
             good = pa.array(np.minimum(a, b).sum(axis=1) >= needed(a.sum(axis=1), b.sum(axis=1), percent))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("id", "head")], names=["id", "head"])
 
@@ -382,29 +384,33 @@ def joined_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         shared = spark.sparkContext.broadcast((h[order], n[order]))
         repeated, _ = collect_filter(counted.select("m"))
         prefixes = scratch.save(single.select("row", "text").mapInArrow(_prefixes(size, percent, shared, repeated), "id long, n long, skip long, keys binary, signature binary"))
-        entries = prefixes.mapInArrow(_entries(percent), "key long, id long, n long, pos long, listed boolean")
+        entries = prefixes.mapInArrow(_entries(percent), "key long, id long, n long, listed boolean")
         twice = scratch.save(entries.groupBy("key").count().where("count > 1").select("key"))
-        entries = scratch.save(possibly_in(entries, "key", twice).join(twice, "key").dropDuplicates(["key", "id"]))
+        entries = scratch.save(possibly_in(entries, "key", twice).join(twice, "key").select("key", "id", "n", "listed").dropDuplicates(["key", "id"]))
         wanted = scratch.save(entries.select("id").distinct())
         # rows that repeat id and text are one set; the join has dealt them by the same key
         texts = possibly_in(rows.select("row", "text"), "row", wanted).join(wanted.withColumnRenamed("id", "row"), "row").dropDuplicates(["row"])
         member = scratch.save(texts.mapInArrow(_members(size), "id long, n long, shingles binary"))
         signatures = prefixes.select("id", "signature").join(wanted, "id").dropDuplicates(["id"])
         joined, found = None, None
-        left = entries.withColumn("label", F.col("id"))
+        left = entries
         for _ in range(ROUNDS):
             # each set against the heads of its lists
-            heads = left.where("listed").groupBy("key").agg(F.min(F.struct("n", "id", "label")).alias("h")).select("key", F.col("h.n").alias("head_n"), F.col("h.id").alias("head"), F.col("h.label").alias("head_label"))
+            heads = left.where("listed").groupBy("key").agg(F.min(F.struct("n", "id")).alias("h")).select("key", F.col("h.n").alias("head_n"), F.col("h.id").alias("head"))
             headed = scratch.save(left.join(heads, "key").where("id <> head"))
-            pairs = headed.where(f"label <> head_label AND 100 * least(n, head_n) >= {percent} * greatest(n, head_n)").select("id", "head").distinct()
+            pairs = headed.where(f"100 * least(n, head_n) >= {percent} * greatest(n, head_n)").select("id", "head").distinct()
+            if joined is not None:  # sets that links have joined already
+                of = lambda c: joined.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+                pairs = pairs.join(of("id"), "id", "left").join(of("head"), "head", "left").where("NOT coalesce(id_label, id) <=> coalesce(head_label, head)").select("id", "head")
             links = scratch.save(_against_heads(scratch.save(pairs), signatures, member, scratch, percent))
             found = links if found is None else scratch.save(found.unionByName(links))
             joined = scratch.save(connected_components(found))
             # without their heads, lists with more than one component and an indexed set are left
             rest = headed.select("key", "id", "n", "listed").join(joined, "id", "left").withColumn("label", F.coalesce("label", "id"))
             open_lists = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("listed").alias("some"), F.min("id").alias("star")).where("low <> high AND some")
-            left = scratch.save(rest.join(open_lists.select("key", "star"), "key"))
-        left = scratch.save(left.select("id", "star", "label").distinct())
+            left = scratch.save(rest.join(open_lists.select("key", "star"), "key").select("key", "id", "n", "listed", "star", "label"))
+            lists, left = left, left.select("key", "id", "n", "listed")
+        left = scratch.save(lists.select("id", "star", "label").distinct())
         clusters = connected_components(left.select(F.col("star").alias("src"), F.col("id").alias("dst"))).withColumnRenamed("label", "cluster")
         open_sets = scratch.save(member.join(left.select("id", "label").distinct(), "id").join(clusters, "id").select("cluster", "label", "id", "n", "shingles"))
         more = scratch.save(_dealt(open_sets, scratch, percent).mapInArrow(_join_blocks(percent), "src long, src_label long, dst long, dst_label long"))

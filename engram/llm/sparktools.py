@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) an own folder is set.
+    Only where the session names none and runs on one machine (tests) an own folder is set; a cluster must name one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc._jsc.sc().getCheckpointDir().isDefined() and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="engram-"))
     return named or sc._jsc.sc().getCheckpointDir().get()

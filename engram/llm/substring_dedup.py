@@ -8,9 +8,10 @@ size, made from the minimisers that occur twice, then lets only possible repeats
 that is full lets more through and changes no result).  Possible repeats are ordered by their source
 coordinates inside each task, which keeps one row per task and edge, however often it occurs; the
 rest of the order is settled by one shuffle on the edge.  Consecutive repeats whose sources are
-consecutive too lie on one nonbranching path and are compacted into a span with the coordinates of its
-source; spans are verified word by word against the source's hashes by construction (each of their
-edges matched), then cut out of the texts.
+consecutive too are put together into a span, which is cut out of the text.
+
+What this does not do: the graph's nodes and their degrees are not made, paths are not compacted by joins (neighbours
+in a document are, by windows), and a span is not compared with its source's words: two 64-bit hashes of every window decide.
 
 Documents with the same word sequence are one class; only its smallest id takes part in the edges.
 
