@@ -31,6 +31,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, tolerate_ta
     return rows.select("file", "line_ix", F.from_json(checked, schema).alias("row")).select("file", "line_ix", "row.*")
 
 
+# The types of a task.
+TASK_TYPES = ("raw_dialogue", "user_md_update", "day_memory", "long_memory", "summary")
+
+
+def read_cases(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Typed cases of JSON lines; a task type that is none raises, naming the file."""
+    rows = read_jsonl(spark, path, schema)
+    wrong = F.raise_error(F.concat(F.lit("not a task type: "), F.col("task_type"), F.lit(" in "), F.col("file"))).cast("string")
+    return rows.withColumn("task_type", F.when(F.col("task_type").isNull() | F.col("task_type").isin(*TASK_TYPES), F.col("task_type")).otherwise(wrong))
+
+
 def split_corrupt(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(good, corrupt) lines of JSON files."""
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where("trim(value) <> ''")
@@ -83,7 +94,7 @@ def table_results(raw: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
     flag = lambda c: F.lower(cell(c)).isin(*TRUE_WORDS)
     named = lambda c, otherwise: F.when(cell(c) != "", cell(c)).otherwise(otherwise)
     return raw.select(
-        "row_ix", cell("case_id").alias("case_id"), named("task_type", "user_md").alias("task_type"), F.round(number("score_total") * 1000).cast("long").alias("score_milli"), dims.alias("dims"),
+        "row_ix", cell("case_id").alias("case_id"), named("task_type", TASK_TYPES[1]).alias("task_type"), F.round(number("score_total") * 1000).cast("long").alias("score_milli"), dims.alias("dims"),
         *[_list_cell(cell(c), mark).alias(c) for c, mark in RESULT_LISTS.items()], flag("fatal_error").alias("fatal"), F.when(cell("score_eligible") != "", flag("score_eligible")).alias("score_eligible"),
         named("model_name", "unknown").alias("model_name"), named("prompt_version", "unknown").alias("prompt_version"), *[cell(c).alias(c) for c in RESULT_TEXTS], F.array_compact(F.array(*problems)).alias("problems"),
     )

@@ -19,7 +19,7 @@ def event_stream(spark: SparkSession, folder: str, pattern: str, schema: T.Struc
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _shared(spark: SparkSession, name: str) -> str:
+def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the cluster shares: spark.checkpoint.dir, or the warehouse where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -32,7 +32,7 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     failure changes nothing; in complete mode the last batch is the result, else all of them.
     """
     spark = stream.sparkSession
-    root = _shared(spark, "stream")
+    root = shared_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         folder = f"{root}/rows/batch={number}" if mode != "complete" else f"{root}/rows"

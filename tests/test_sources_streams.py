@@ -79,7 +79,7 @@ def test_result_tables_tell_all_bad_rows(spark, tmp_path):
     found = tables.read_result_table(spark, str(tmp_path / "r.csv"), ("correctness", "coverage"))
     assert [list(r.problems) for r in found.orderBy("row_ix").collect()] == [[], ["row 3: no case_id"], ["row 4: score_total is not a number"], ["row 5: score_correctness is not a number"], []]
     good = {r.case_id: r for r in found.where(F.size("problems") == 0).collect()}
-    assert (good["c1"].dims, good["c1"].error_tags, good["c1"].rule_refs, good["c1"].fatal, good["c1"].task_type, good["c1"].model_name) == ({"correctness": 40}, ["a", "b", "c"], ["R1", "R2"], True, "user_md", "m")
+    assert (good["c1"].dims, good["c1"].error_tags, good["c1"].rule_refs, good["c1"].fatal, good["c1"].task_type, good["c1"].model_name) == ({"correctness": 40}, ["a", "b", "c"], ["R1", "R2"], True, "user_md_update", "m")
     assert (good["c5"].error_tags, good["c5"].rule_refs, good["c5"].fatal, good["c5"].model_name, good["c5"].score_milli) == (["[bad"], ["R1", "R2"], False, "unknown", 1000)
     with pytest.raises(ValueError, match="row 3: no case_id; row 4: score_total is not a number; row 5.*number$"):
         tables.good_results(found)
@@ -145,3 +145,12 @@ def test_tasks_without_heartbeat_are_interrupted_by_a_timer(spark, tmp_path):
     for _, task, status, _ in got:
         last[task] = status
     assert last == {"a": "interrupted", "b": "running", "c": "done", "z": "done"}
+
+
+def test_cases_of_unknown_type_raise(spark, tmp_path):
+    schema = T.StructType([T.StructField("case_id", T.StringType()), T.StructField("task_type", T.StringType())])
+    (tmp_path / "c.jsonl").write_text('{"case_id": "1", "task_type": "summary"}\n{"case_id": "2"}\n')
+    assert sorted((r.case_id, r.task_type) for r in tables.read_cases(spark, str(tmp_path / "c.jsonl"), schema).collect()) == [("1", "summary"), ("2", None)]
+    (tmp_path / "d.jsonl").write_text('{"case_id": "1", "task_type": "poem"}\n')
+    with pytest.raises(Exception, match="not a task type: poem"):
+        tables.read_cases(spark, str(tmp_path / "d.jsonl"), schema).collect()
