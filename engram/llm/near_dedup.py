@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sparktools import Scratch, bare, connected_components, cut, drop_members, possibly_in
+from .sparktools import Scratch, bare, connected_components, cut, drop_members, possibly_in, tidy
 from .words import mix, slices, split_words, window_hashes
 
 SHINGLE = 5
@@ -280,7 +280,7 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         _row_name(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text",
     )
     with Scratch(spark) as scratch:
-        digests = scratch.save(rows.mapInArrow(_digests(percent), "row long, doc_id long, n long, h1 long, h2 long, keys binary"))
+        digests = scratch.save(rows.mapInArrow(tidy(_digests(percent)), "row long, doc_id long, n long, h1 long, h2 long, keys binary"))
         classes = digests.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("id"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best"), F.first("keys").alias("keys"))
         classes = scratch.save(classes)
         # a band's representative is its smallest document, mostly the same one for all bands of a group, so that few edges differ
@@ -291,7 +291,7 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         clusters = scratch.save(connected_components(edges).withColumnRenamed("label", "cluster"))
         # only documents of clusters send their texts through the shuffle
         texts = possibly_in(rows.select(F.col("row").alias("id"), "text"), "id", clusters.select("id"))
-        member = texts.join(clusters, "id").select("cluster", "id", "text").mapInArrow(_members, "cluster long, id long, n long, sketch binary, shingles binary")
+        member = texts.join(clusters, "id").select("cluster", "id", "text").mapInArrow(tidy(_members), "cluster long, id long, n long, sketch binary, shingles binary")
         member = scratch.save(member.dropDuplicates(["cluster", "id"]))
         sized = cut(
             member.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
@@ -307,7 +307,7 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
             )
             .repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
         )
-        links = dealt.mapInArrow(_confirm(percent), "src long, dst long")
+        links = dealt.mapInArrow(tidy(_confirm(percent)), "src long, dst long")
         groups = cut(connected_components(links))
         labels = scratch.save(classes.join(groups, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"), "best"))
         names = labels.groupBy("label").agg(F.min("best").alias("best"))

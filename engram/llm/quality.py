@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparktools import Scratch, bare, cut
+from .sparktools import Scratch, bare, cut, tidy
 from .words import Words, _hash_words, mix, range_sums, slices, split_words, window_hashes
 
 #: Abusive words of the lexicon labeller.
@@ -434,7 +434,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores), pa.array(scores >= threshold)], names=["id", "score", "kept"])
 
     rows = bare(docs, key, text).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    return rows.mapInArrow(run, "id long, score double, kept boolean").withColumnRenamed("id", key)
+    return rows.mapInArrow(tidy(run), "id long, score double, kept boolean").withColumnRenamed("id", key)
 
 
 def keep_good(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -448,4 +448,4 @@ def keep_good(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: fl
             if masks:
                 yield batch.filter(pa.array(np.concatenate(masks)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -71,6 +71,26 @@ def one_thread() -> None:
                 return
 
 
+def tidy(run):
+    """The task function, giving free memory back to the system when a task ends: a Python worker lives on for the next
+    tasks, and what its allocators hold counts against the executor while native stages run beside it."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def bare(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, by exact name; columns that the caller added can't clash with ours."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
