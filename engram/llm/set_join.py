@@ -59,8 +59,8 @@ SAMPLED = 4
 #: Elements that a task holds before it counts them.
 HELD = 1 << 21
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
-#: Bits of an element's hash by which a signature counts.
-SIGNATURE = 5
+#: Bits of an element's hash by which a signature counts, and the largest count that it can hold.
+SIGNATURE, FULL = 7, 65535
 #: Times that lists lose their head, and pairs of a head that one copy of it serves.
 ROUNDS, PART = 3, 256
 #: A set whose similarity with a computed one reaches this share takes its answers from there.
@@ -139,7 +139,7 @@ def _prefixes(size: int, percent: int, shared, repeated):
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         s = s[np.lexsort((s, np.where(frequent[at] == s, count[at], 0)))]
-                    rows.append((i, skip, s[: length - skip].tobytes(), np.bincount((sets[i] >> np.uint64(64 - SIGNATURE)).astype(np.int64), minlength=1 << SIGNATURE).astype(np.uint32).tobytes()))
+                    rows.append((i, skip, s[: length - skip].tobytes(), np.bincount((sets[i] >> np.uint64(64 - SIGNATURE)).astype(np.int64), minlength=1 << SIGNATURE).clip(max=FULL).astype(np.uint16).tobytes()))
                 at = [r[0] for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row").take(pa.array(at, pa.int64())), pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *[pa.array([r[c] for r in rows], pa.binary()) for c in (2, 3)]],
@@ -180,8 +180,9 @@ def _can_link(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, 1 << SIGNATURE).astype(np.int64) for c in ("signature", "head_signature"))
-            good = pa.array(np.minimum(a, b).sum(axis=1) >= needed(a.sum(axis=1), b.sum(axis=1), percent))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, 1 << SIGNATURE).astype(np.int64) for c in ("signature", "head_signature"))
+            least = np.where((a == FULL) & (b == FULL), 1 << 40, np.minimum(a, b))  # a full count may stand for any larger one
+            good = pa.array(least.sum(axis=1) >= needed(a.sum(axis=1), b.sum(axis=1), percent))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("id", "head")], names=["id", "head"])
 
     return run

@@ -109,3 +109,18 @@ def test_block_finds_every_link(percent):
                     up[max(top(i), top(j))] = min(top(i), top(j))
         assert set(found) <= linked
         assert [join.forest.top(i) for i in range(120)] == [min(j for j in range(120) if top(j) == top(i)) for i in range(120)]
+
+
+def test_signatures_rule_out_no_link(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    for full in (set_join.FULL, 3):
+        monkeypatch.setattr(set_join, "FULL", full)
+        sets = [rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2) for _ in range(20)]
+        pairs = [(s, np.concatenate((s[lost:], rng.integers(0, 1 << 63, new, dtype=np.uint64)))) for s in sets for lost, new in ((0, 0), (20, 20), (40, 0), (0, 40), (200, 200))]
+        sign = lambda s: np.bincount((s >> np.uint64(64 - set_join.SIGNATURE)).astype(np.int64), minlength=1 << set_join.SIGNATURE).clip(max=full).astype(np.uint16).tobytes()
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(pairs))), pa.array([0] * len(pairs)), pa.array([sign(a) for a, _ in pairs]), pa.array([sign(b) for _, b in pairs])], names=["id", "head", "signature", "head_signature"])
+        left = {i for out in set_join._can_link(90)(iter([batch])) for i in out.column("id").to_pylist()}
+        linked = {i for i, (a, b) in enumerate(pairs) if 100 * (both := len(np.intersect1d(a, b))) >= 90 * (len(a) + len(b) - both)}
+        assert linked and linked <= left and (full == 3 or not left & set(range(4, len(pairs), 5)))
