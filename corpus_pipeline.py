@@ -44,7 +44,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", source_mixture),
 ]
 
-#: SQL can't express the classifier, the sketches or the latent space; tests/llm compares run() with brute force.
+#: SQL can't express the classifier, the sketches or the latent space; tests/llm/test_pipeline.py holds run() against near copies by all pairs and items as runs of words.
 ORACLE_SQL: str | None = None
 
 
