@@ -436,7 +436,7 @@ def q_prompt_diff(spark, d):
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     new = F.replace(F.array_join(F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit("# New"), lines[0], F.lit("# New"))), "\n"), F.lit(" the "), F.lit(" a "))
     rows = V.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("old"), new.alias("new"))
-    return diffs.line_diff(rows, "old", "new").select("doc_id", "diff.added", "diff.removed", "diff.growth", "diff.old_hash")
+    return diffs.line_diff(rows, "old", "new", frequent=True).select("doc_id", "diff.added", "diff.removed", "diff.growth", "diff.old_hash")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'interrupted' WHEN event_id % 3 = 1 THEN 'running' ELSE 'done' END AS status FROM events")
