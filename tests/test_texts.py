@@ -121,3 +121,25 @@ def test_case_hash_covers_what_a_judge_sees(spark):
     assert a == b == hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest() and c != a
     finger = rows.limit(1).select(canonical.evaluation_fingerprint(F.lit("x"), F.lit(None).cast("string")), canonical.prompt_hash(F.lit("p")), canonical.prompt_hash(F.lit(""))).head()
     assert tuple(finger) == (hashlib.sha256(b'{"case_input_hash":"x","scoring_config_hash":""}').hexdigest(), hashlib.sha1(b"p").hexdigest(), "")
+
+
+def test_frequent_lines_of_long_texts_are_aligned_too(spark):
+    old = "\n".join(["same"] * 210)
+    rows = spark.createDataFrame([(1, old, old + "\nmore"), (2, "\n".join(f"{i % 7}" for i in range(250)), "\n".join(f"{i % 7}" for i in range(7, 257)))], "id long, old string, new string")
+    got = {r.id: (r.added, r.removed) for r in diffs.line_diff(rows, "old", "new", frequent=True).select("id", "diff.added", "diff.removed").collect()}
+    assert got[1] == (1, 0) and got[2][0] == got[2][1] < 250
+
+
+def test_local_intents_meet_no_more_rows_than_it_takes(spark, monkeypatch):
+    met = []
+    whole = evidence.containing_pairs
+    monkeypatch.setattr(evidence, "containing_pairs", lambda left, *rest: (met.append(left.count()), whole(left, *rest))[1])
+    sections = spark.range(300).select(F.col("id").alias("section_id"), F.concat(F.lit("part "), (F.col("id") % 3).cast("string")).alias("title"), (-F.col("id")).alias("place"))
+    rows = lambda step: spark.range(2000).select(F.col("id").alias("evidence_id"), F.col("id").alias("ix"), F.lit(0).alias("ref_ix"), F.when(F.col("id") % step == step - 1, "Part-1").otherwise("none").alias("ref"), F.lit("c").alias("comment"))
+    # by hand: the first matching row alone has 100 sections of title "part 1", the last of them first
+    for step in (2, 700):
+        got = [(r.intent_id, r.section_id, r.evidence_id) for r in evidence.local_intents(rows(step), sections, 5).orderBy("intent_id").collect()]
+        assert got == [(f"L{i + 1:03d}", 298 - 3 * i, step - 1) for i in range(5)]
+    assert met[0] < 10 and max(met) <= 1300
+    found = [(r.section_id, r.evidence_id) for r in evidence.local_intents(rows(700), sections, 250).orderBy("intent_id").collect()]
+    assert len(found) == 200 and found[100] == (298, 1399)
