@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_id, eligible, output_text
-from .cases import last_filled
+from .cases import first_filled
 from .results import last_writes, missed_kind, run_quality
 
 ROLES = ("case_a", "missed_a", "case_b", "missed_b")
@@ -107,24 +107,26 @@ def side_by_side(a: DataFrame, b: DataFrame, order: str = "ix", outputs: tuple[s
     A chunk is consistent if both sides have as many rows and all pairs the same query and answer; outputs stand on the
     chunk's last row only.
     """
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        by = Window.partitionBy(*KEYS).orderBy(order)
-        return df.withColumn("n", F.row_number().over(by)).select(*KEYS, "n", F.struct(order, "query", "answer").alias(name))
-
+    sides = None
+    for side, df in (("a", a), ("b", b)):
+        rows = df.select(*KEYS, F.lit(side).alias("side"), F.col(order).alias("at"), "query", "answer", first_filled(*outputs).alias("output"))
+        sides = rows if sides is None else sides.unionByName(rows)
+    # all that follows is by chunk, so rows are shuffled once; a side's place in its chunk pairs it with the other's
+    chunk, in_a = Window.partitionBy(*KEYS), F.col("side") == "a"
+    nth = F.row_number().over(chunk.orderBy("side", "at"))
+    sides = sides.withColumns({"nth": nth, "of_a": F.count(F.when(in_a, 1)).over(chunk)}).withColumn("n", F.when(in_a, F.col("nth")).otherwise(F.col("nth") - F.col("of_a")).cast("int"))
+    row = F.struct("query", "answer", "at", "output")
+    paired = sides.groupBy(*KEYS, "n").agg(F.first(F.when(in_a, row), True).alias("a"), F.first(F.when(~in_a, row), True).alias("b"))
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     either = lambda c: F.coalesce(F.nullif(text(f"a.{c}"), F.lit("")), text(f"b.{c}"))
-    paired = numbered(a, "a").join(numbered(b, "b"), [*KEYS, "n"], "full_outer")
     same = F.coalesce((text("a.query") == text("b.query")) & (text("a.answer") == text("b.answer")) & F.col("a").isNotNull() & F.col("b").isNotNull(), F.lit(False))
-    paired = paired.select(*KEYS, "n", either("query").alias("query"), either("answer").alias("answer"), same.alias("same"))
-    last = [df.groupBy(*KEYS).agg(F.coalesce(last_filled(outputs, order), F.lit("")).alias(f"output_{s}")) for df, s in ((a, "a"), (b, "b"))]
+    paired = paired.select(*KEYS, "n", either("query").alias("query"), either("answer").alias("answer"), same.alias("same"), *[F.struct(F.col(f"{s}.at"), F.col(f"{s}.output")).alias(s) for s in "ab"])
+    last = {f"output_{s}": F.max_by(F.col(f"{s}.output"), F.when(F.col(f"{s}.output").isNotNull(), F.col(f"{s}.at"))) for s in "ab"}
     joined = lambda c: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c]), lambda x: x != ""), "\n\n")
-    chunks = paired.groupBy(*KEYS).agg(joined("query").alias("query"), joined("answer").alias("answer"), F.min("same").alias("consistent"), F.max("n").alias("rows"))
-    for side in last:
-        chunks = chunks.join(side, KEYS, "left")
-    chunks = chunks.fillna("", ["output_a", "output_b"])
-    ends = chunks.select(*KEYS, F.col("rows").alias("n"), "output_a", "output_b", "consistent")
-    rows = paired.drop("same").join(ends, [*KEYS, "n"], "left").fillna("", ["output_a", "output_b"])
-    return rows.withColumn("boundary", F.col("consistent").isNotNull()), chunks
+    chunks = paired.groupBy(*KEYS).agg(joined("query").alias("query"), joined("answer").alias("answer"), F.min("same").alias("consistent"), F.max("n").alias("rows"), *[F.coalesce(v, F.lit("")).alias(c) for c, v in last.items()])
+    rows = paired.withColumns({"boundary": F.col("n") == F.max("n").over(chunk), "consistent": F.min("same").over(chunk), **{c: v.over(chunk) for c, v in last.items()}})
+    ends = [F.coalesce(F.when(F.col("boundary"), F.col(c)), F.lit("")).alias(c) for c in last]
+    return rows.select(*KEYS, "n", "query", "answer", *ends, F.when(F.col("boundary"), F.col("consistent")).alias("consistent"), "boundary"), chunks
 
 
 def rekeyed_for_gate(results: DataFrame, cases: DataFrame, duplicates: DataFrame, order: str = "ix") -> DataFrame:
