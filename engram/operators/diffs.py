@@ -18,11 +18,11 @@ _OP = T.StructType([T.StructField("tag", T.StringType()), *[T.StructField(c, T.I
 
 def lines_of(text: Column) -> Column:
     """The lines of a text; what ends the last one begins no other."""
-    parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(whole, rf"(?:{LINE_END})\z", ""), LINE_END))
 
 
-def aligned(a: Column, b: Column, frequent: bool) -> Column:
+def aligned(a: Column, b: Column, frequent: bool = False) -> Column:
     """Opcodes of the longest matched blocks, and those of each hunk with three lines around it; unless ``frequent``, very frequent lines of long texts match nothing by themselves."""
     named = lambda op: dict(zip(("tag", "a0", "a1", "b0", "b1"), op, strict=True))
 

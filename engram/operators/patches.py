@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import trim_u
+from ..functions.columns import WHITE, trim_u
 from .diffs import lines_of
 
 # What a heading, a list item and their indents look like, the titles of texts without headings, and an edit's operations.
@@ -19,7 +19,7 @@ RATIO, LEAST = 0.25, 800
 
 
 def _ends_trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+\z", "")
+    return F.rtrim(c, F.lit(WHITE))
 
 
 def section_spans(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -80,15 +80,18 @@ def _indent(body: Column) -> Column:
 
 def placed_edits(prompts: DataFrame, edits: DataFrame) -> DataFrame:
     """The edits (prompt_id, ix, op, target_id, old_text, new_text, text, evidence_refs) of prompts (prompt_id, prompt) with problem (null: can be applied), begin, end, replacement and change."""
-    spans = section_spans(prompts, "prompt_id", "prompt").withColumn("target_id", F.col("section_id"))
+    spans = section_spans(prompts, "prompt_id", "prompt").select("prompt_id", F.struct("section_id", "begin", "end", "body", _is_list(F.col("body")).alias("listed"), _indent(F.col("body")).alias("indent"), F.length(_ends_trimmed(F.col("body"))).alias("filled")).alias("s"))
+    # edits meet a prompt and all its sections at once, and stay by prompt: they are shuffled once
+    spans = prompts.select("prompt_id", F.col("prompt").alias("__prompt")).join(spans.groupBy("prompt_id").agg(F.collect_list("s").alias("__sections")), "prompt_id", "left")
     text = lambda c: trim_u(F.coalesce(F.col(c), F.lit("")))
     rows = edits.withColumns({"op": text("op"), "target_id": text("target_id"), "old_text": text("old_text"), "new_text": text("new_text")})
     rows = rows.withColumn("text", F.when(text("text") != "", text("text")).otherwise(F.col("new_text")))
-    rows = rows.join(spans.select("prompt_id", "target_id", "begin", "end", "body"), ["prompt_id", "target_id"], "left").join(prompts.select("prompt_id", F.col("prompt").alias("__prompt")), "prompt_id")
+    rows = rows.join(spans, "prompt_id").withColumn("__s", F.try_element_at(F.filter("__sections", lambda s: s["section_id"] == F.col("target_id")), F.lit(1)))
+    rows = rows.withColumns({c: F.col(f"__s.{c}") for c in ("begin", "end", "body")}).drop("__sections")
     within, appends = F.col("op").isin("replace_within_section", "delete_within_section"), F.col("op") == "append_to_section"
     rows = rows.withColumn("__in", F.when(appends, _inserted(F.col("text"), True)).when(~within, _inserted(F.col("text"), False)))
     rows = rows.withColumn("__found", F.when(within, F.instr("body", F.col("old_text"))))
-    misfit = appends & _is_list(F.col("body")) & F.exists("__in", lambda x: ~x.rlike(LIST_ITEM))
+    misfit = appends & F.col("__s.listed") & F.exists("__in", lambda x: ~x.rlike(LIST_ITEM))
     problem = (
         F.when(~F.col("op").isin(*OPERATIONS), "unknown operation").when(F.col("begin").isNull(), "no such section").when(F.size(F.coalesce("evidence_refs", F.array())) == 0, "no evidence")
         .when(within & (F.col("old_text") == ""), "no old text").when((F.col("op") == "replace_within_section") & (F.col("new_text") == ""), "no new text").when(~within & (F.col("text") == ""), "no text")
@@ -96,10 +99,10 @@ def placed_edits(prompts: DataFrame, edits: DataFrame) -> DataFrame:
     )
     place = (
         F.when(within, F.col("begin") + F.col("__found") - 1).when(F.col("op") == "insert_before_section", F.col("begin")).when(F.col("op") == "insert_after_section", F.col("end"))
-        .otherwise(F.col("begin") + F.length(_ends_trimmed(F.col("body"))))
+        .otherwise(F.col("begin") + F.col("__s.filled"))
     )
     rows = rows.withColumn("problem", problem).withColumn("__place", place)
-    indent = F.when(appends, _indent(F.col("body"))).otherwise("")
+    indent = F.when(appends, F.col("__s.indent")).otherwise("")
     put = F.array_join(F.transform("__in", lambda x: F.concat(indent, x)), "\n")
     before, after = F.substr("__prompt", F.col("__place"), F.lit(1)), F.substr("__prompt", F.col("__place") + 1, F.lit(1))
     put = F.concat(F.when((F.col("__place") > 0) & (before != "\n"), "\n").otherwise(""), put, F.when((F.col("__place") < F.length("__prompt")) & (after != "\n"), "\n").otherwise(""))
@@ -108,7 +111,7 @@ def placed_edits(prompts: DataFrame, edits: DataFrame) -> DataFrame:
     good = F.col("problem").isNull()
     return rows.withColumns({
         "begin": F.when(good, F.col("__place")), "end": F.when(good, F.col("__place") + gone), "replacement": F.when(good, replacement), "change": F.when(good, gone + F.length(replacement)),
-    }).drop("__prompt", "__in", "__found", "__place", "body")
+    }).drop("__prompt", "__in", "__found", "__place", "__s", "body")
 
 
 def patched(prompts: DataFrame, edits: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:

@@ -211,3 +211,28 @@ def test_conflicts_and_references(spark):
     assert {r.ix: r.problem for r in checked.collect()} == {1: None, 2: None, 3: None, 4: "old text not found", 5: "speaks of one case", 6: "speaks of one case", 7: "no evidence", 8: None, 9: None}
     got = {r.ix: (r.status, r.final_text, r.refs, r.reason) for r in merges.merged_edits(checked, spark.createDataFrame([(1, "an old text")], "prompt_id int, prompt string")).collect()}
     assert got == {1: ("applied", "new", ["r1", "r2"], "because；so"), 2: ("conflict", "other", ["r2"], ""), 8: ("applied", "Fine rule", ["r2", "r1"], "")}
+
+
+def test_edits_and_sides_are_shuffled_once(spark):
+    from engram.operators import detail
+
+    prompts = spark.createDataFrame([(1, "# A\n- a\n")], "prompt_id int, prompt string")
+    edits = spark.createDataFrame([(1, 1, "append_to_section", "S001", None, None, "- b", ["e"])], "prompt_id int, ix int, op string, target_id string, old_text string, new_text string, text string, evidence_refs array<string>")
+    placed = patches.placed_edits(prompts, edits)
+    assert [(r.problem, r.begin, r.end, r.replacement) for r in placed.collect()] == [(None, 7, 7, "\n- b")]
+    text = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "target_id" not in "".join(x for x in text.split("\n") if "Join" in x)  # edits meet all sections of their prompt at once
+    side = lambda rows: spark.createDataFrame(rows, "reviewer string, session_id string, chunk_id string, ix int, query string, answer string, document string, raw_output string")
+    a = side([("r", "s", "c", 2, "q2", "a", None, "o2"), ("r", "s", "c", 1, "q1", "a", "o1", None), ("r", "s", "d", 1, "x", "y", None, None)])
+    b = side([("r", "s", "c", 5, "q1", "a", " ", None), ("r", "s", "e", 1, None, "z", "last", None)])
+    rows, chunks = detail.side_by_side(a, b)
+    assert "Join" not in chunks._jdf.queryExecution().optimizedPlan().toString() + rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.chunk_id, r.query, r.answer, r.consistent, r.rows, r.output_a, r.output_b) for r in chunks.collect()) == [("c", "q1\n\nq2", "a\n\na", False, 2, "o2", ""), ("d", "x", "y", False, 1, "", ""), ("e", "", "z", False, 1, "", "last")]
+    assert sorted((r.chunk_id, r.n, r.query, r.output_a, r.output_b, r.consistent, r.boundary) for r in rows.collect() if r.chunk_id == "c") == [("c", 1, "q1", "", "", None, False), ("c", 2, "q2", "o2", "", False, True)]
+
+
+def test_white_space_at_the_ends_is_that_of_unicode(spark):
+    from engram.functions.columns import trim_u
+
+    every = spark.createDataFrame([(chr(i) + "a " + chr(i) + chr(i),) for i in range(1, 0x3100)] + [("",), (" \u3000 ",), (None,)], "t string")
+    assert every.where(~trim_u(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
