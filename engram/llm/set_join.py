@@ -46,7 +46,7 @@ from .near_dedup import shingle_sets
 from .near_dedup import _Forest as Forest
 from .near_dedup import _row_name as row_name
 from .near_dedup import _set_hashes as set_hashes
-from .sparktools import Scratch, bare, connected_components, cut, drop_members, possibly_in
+from .sparktools import Scratch, bare, connected_components, cut, drop_members, possibly_in, release
 from .substring_dedup import _collect_filter as collect_filter
 from .substring_dedup import _Filter as Filter
 from .words import chunks, mix, slices
@@ -396,6 +396,7 @@ def joined_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         joined, found = None, None
         left = entries
         for _ in range(ROUNDS):
+            release(spark)
             # each set against the heads of its lists
             heads = left.where("listed").groupBy("key").agg(F.min(F.struct("n", "id")).alias("h")).select("key", F.col("h.n").alias("head_n"), F.col("h.id").alias("head"))
             headed = scratch.save(left.join(heads, "key").where("id <> head"))
