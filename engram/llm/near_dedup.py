@@ -288,7 +288,7 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         shared = bands.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
         shared = scratch.save(shared.select("key", F.col("first.id").alias("low")))
         edges = bands.join(shared, "key").where("id <> low").select(F.col("low").alias("src"), F.col("id").alias("dst"))
-        clusters = scratch.save(connected_components(edges).withColumnRenamed("label", "cluster"))
+        clusters = connected_components(edges, scratch).withColumnRenamed("label", "cluster")
         # only documents of clusters send their texts through the shuffle
         texts = possibly_in(rows.select(F.col("row").alias("id"), "text"), "id", clusters.select("id"))
         member = texts.join(clusters, "id").select("cluster", "id", "text").mapInArrow(tidy(_members), "cluster long, id long, n long, sketch binary, shingles binary")
@@ -308,7 +308,7 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
             .repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
         )
         links = dealt.mapInArrow(tidy(_confirm(percent)), "src long, dst long")
-        groups = cut(connected_components(links))
+        groups = connected_components(links, scratch)
         labels = scratch.save(classes.join(groups, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"), "best"))
         names = labels.groupBy("label").agg(F.min("best").alias("best"))
         labels = labels.drop("best").join(names, "label").select("h1", "h2", "best")

@@ -393,7 +393,7 @@ def joined_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         texts = possibly_in(rows.select("row", "text"), "row", wanted).join(wanted.withColumnRenamed("id", "row"), "row").dropDuplicates(["row"])
         member = scratch.save(texts.mapInArrow(_members(size), "id long, n long, shingles binary"))
         signatures = prefixes.select("id", "signature").join(wanted, "id").dropDuplicates(["id"])
-        joined, found = None, None
+        joined = None
         left = entries
         for _ in range(ROUNDS):
             release(spark)
@@ -405,19 +405,22 @@ def joined_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
                 of = lambda c: joined.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
                 pairs = pairs.join(of("id"), "id", "left").join(of("head"), "head", "left").where("NOT coalesce(id_label, id) <=> coalesce(head_label, head)").select("id", "head")
             links = scratch.save(_against_heads(scratch.save(pairs), signatures, member, scratch, percent))
-            found = links if found is None else scratch.save(found.unionByName(links))
-            joined = scratch.save(connected_components(found))
+            if joined is not None:  # what was joined before takes part as stars
+                links = links.unionByName(joined.select(F.col("label").alias("src"), F.col("id").alias("dst")))
+            joined = connected_components(links, scratch)
             # without their heads, lists with more than one component and an indexed set are left
             rest = headed.select("key", "id", "n", "listed").join(joined, "id", "left").withColumn("label", F.coalesce("label", "id"))
             open_lists = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("listed").alias("some"), F.min("id").alias("star")).where("low <> high AND some")
             left = scratch.save(rest.join(open_lists.select("key", "star"), "key").select("key", "id", "n", "listed", "star", "label"))
             lists, left = left, left.select("key", "id", "n", "listed")
+            if left.isEmpty():
+                break
         left = scratch.save(lists.select("id", "star", "label").distinct())
-        clusters = connected_components(left.select(F.col("star").alias("src"), F.col("id").alias("dst"))).withColumnRenamed("label", "cluster")
+        clusters = connected_components(left.select(F.col("star").alias("src"), F.col("id").alias("dst")), scratch).withColumnRenamed("label", "cluster")
         open_sets = scratch.save(member.join(left.select("id", "label").distinct(), "id").join(clusters, "id").select("cluster", "label", "id", "n", "shingles"))
         more = scratch.save(_dealt(open_sets, scratch, percent).mapInArrow(_join_blocks(percent), "src long, src_label long, dst long, dst_label long"))
         # components of components
-        above = connected_components(more.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst"))).select(F.col("id").alias("label"), F.col("label").alias("beyond"))
+        above = connected_components(more.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")), scratch).select(F.col("id").alias("label"), F.col("label").alias("beyond"))
         of_class = classes.join(joined, "id", "left").withColumn("label", F.coalesce("label", "id")).join(above, "label", "left").withColumn("label", F.coalesce("beyond", "label"))
         of_class = scratch.save(of_class.select("h1", "h2", "label", "first_id"))
         names = of_class.groupBy("label").agg(F.min("first_id").alias("component"))
