@@ -8,8 +8,11 @@ exponentially spaced, so a sketch of a union is the register-wise best of two sk
 
 Candidates: equal register bands put documents into the same candidate cluster (components of
 document - band representative edges; no pairs are listed).  Sets too small for a sketch use a prefix
-of their shingles in hash order instead, which is exact.  Clusters are cut into blocks by size; in
-each pair of blocks the similarity of a pair is first estimated jointly from the registers and both
+of their shingles in hash order instead, which is exact.  A passage that many documents have makes
+one cluster of them all, though few are alike; so a cluster of more than one block is divided once
+more, by prefixes of full sets in the order of the cluster's own frequencies, which is exact too:
+its smallest shared shingle is in the prefix of both sets of a pair.  What is left is cut into blocks
+by size; in each pair of blocks the similarity of a pair is first estimated jointly from the registers and both
 known sizes by maximum likelihood, and pairs that the estimate doesn't rule out are confirmed on the
 full sets.  A pair already joined inside the task needs no confirmation.  The confirmed links'
 components are the groups.
@@ -181,6 +184,32 @@ def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), batch.column("id").take(owner), batch.column("doc_id").take(owner)], names=["key", "id", "doc_id"])
 
 
+def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "shingles"):
+            sets = [np.frombuffer(s, np.int64) for s in batch.column("shingles").to_pylist()]
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), [len(s) for s in sets]))
+            own = [batch.column(c).take(owner) for c in ("cluster", "id", "n")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["cluster", "id", "n", "shingle"])
+
+
+def _divided(member: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, cluster) of the members of clusters (cluster, id, n, shingles) that may be linked with another: components by shared prefixes.
+
+    A set's prefix are its n - ceil(n * percent / 100) + 1 shingles that fewest sets of its cluster have.  Shingles of
+    one set alone come first and are shared with none, so only their number counts.
+    """
+    every = member.select("cluster", "id", "n", "shingles").mapInArrow(tidy(_explode_shingles), "cluster long, id long, n long, shingle long")
+    often = scratch.save(every.groupBy("cluster", "shingle").agg(F.count("*").alias("sets")).where("sets > 1"))
+    own = every.join(often, ["cluster", "shingle"]).groupBy("cluster", "id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("own"))
+    left = F.expr(f"int(n - (n * {percent} + 99) DIV 100 + 1 - (n - size(own)))")
+    prefix = own.withColumn("left", left).where("left > 0").select("cluster", "id", F.explode(F.slice("own", 1, F.col("left"))["shingle"]).alias("key"))
+    prefix = scratch.save(prefix)
+    first = scratch.save(prefix.groupBy("cluster", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("cluster", "key", "low"))
+    edges = prefix.join(first, ["cluster", "key"]).where("id <> low").select(F.col("low").alias("src"), F.col("id").alias("dst"))
+    return connected_components(edges, scratch).select("id", F.col("label").alias("cluster"))
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -272,6 +301,14 @@ def _row_name(key: Column, text: Column) -> Column:
     return F.xxhash64(key.cast("long"), text)
 
 
+def _blocks(placed: DataFrame) -> DataFrame:
+    """(cluster, blocks): the number of blocks that each cluster of the rows (cluster, id, n) is cut into."""
+    return (
+        placed.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+        .select("cluster", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    )
+
+
 def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """row (a hash of key and text), doc_id, n_shingles, component_id, kept (its id is the component's), stays (it is the component's one row)."""
     spark = docs.sparkSession
@@ -293,12 +330,18 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         texts = possibly_in(rows.select(F.col("row").alias("id"), "text"), "id", clusters.select("id"))
         member = texts.join(clusters, "id").select("cluster", "id", "text").mapInArrow(tidy(_members), "cluster long, id long, n long, sketch binary, shingles binary")
         member = scratch.save(member.dropDuplicates(["cluster", "id"]))
-        sized = cut(
-            member.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
-            .select("cluster", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        )
+        # rows without sets tell who is compared with whom; the sets follow once, by id
+        placed = member.select("cluster", "id", "n")
+        sized = scratch.save(_blocks(placed))
+        wide = sized.where("blocks > 1").select("cluster")
+        if not wide.isEmpty():
+            wide = F.broadcast(wide)  # a row for BLOCK_DOCS members or BLOCK_SHINGLES shingles at least
+            parts = _divided(member.join(wide, "cluster"), percent, scratch)
+            placed = placed.join(wide, "cluster", "left_anti").unionByName(placed.drop("cluster").join(parts, "id").select("cluster", "id", "n"))
+            placed = scratch.save(placed)
+            sized = scratch.save(_blocks(placed))
         dealt = (
-            member.join(sized, "cluster")
+            member.drop("cluster").join(placed.drop("n").join(sized, "cluster"), "id")
             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select(

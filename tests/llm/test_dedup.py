@@ -132,3 +132,37 @@ def test_a_full_filter_changes_no_result(spark, rows, monkeypatch):
     monkeypatch.setattr(sparktools, "BROADCAST_BUCKETS", 1)
     monkeypatch.setattr(sparktools, "BUCKET_IDS", 4)
     assert read() == want
+
+
+def test_a_common_line_does_not_compare_all_that_have_it(spark, monkeypatch):
+    line = " ".join(f"common{i}" for i in range(20))
+    rows = [(i, f"{line}\n{' '.join(f'own{i}x{k}' for k in range(15))}", "a") for i in range(300)]
+    rows += [(1000 + i, f"{t} more", "a") for i, t, _ in rows[:10]]
+    met, confirm = spark.sparkContext.accumulator(0), near_dedup._confirm
+
+    def counted(percent):
+        run = confirm(percent)
+
+        def seen(batches):
+            for batch in batches:
+                met.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(seen(batches))
+
+    monkeypatch.setattr(near_dedup, "_confirm", counted)
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 16)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i % 1000 for i, _, _ in rows}
+    # all in 20 blocks, each with each, before clusters were divided by what few of their sets have
+    assert 20 <= met.value < 200
+
+
+@pytest.mark.parametrize("percent", [50, 85])
+def test_divided_clusters_lose_no_link(spark, rows, percent, monkeypatch):
+    base = [f"w{i}" for i in range(70)]
+    more = [(20_000 + 10 * n + k, " ".join(base[:n] + [f"v{n}k{k}"] * (k % 3) + base[n:]), "a") for n in range(0, 70, 3) for k in range(3)]
+    read = lambda: sorted(tuple(r) for r in near_dedup.near_duplicates(frame(spark, rows + more), percent=percent).collect())
+    want = read()
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 3)
+    assert read() == want
