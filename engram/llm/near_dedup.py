@@ -45,6 +45,8 @@ SPACING = 1.02
 SMALL = 48
 #: Documents, and shingles, in a block of a candidate cluster.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+#: Rows of a block that a row meets first, before it is seen which of the others are joined with it.
+MET_AT_ONCE = 32
 #: Standard errors that an estimate may fall short of the threshold before the pair is ruled out.
 SLACK = 4.5
 
@@ -222,35 +224,39 @@ class _Forest:
 
 
 def _links_of_block(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], values: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links inside a block, or between two blocks (side 0 and 1)."""
-    forest, found = _Forest(len(ids)), []
+    """A spanning forest of the confirmed links inside a block, or between two blocks (side 0 and 1).
+
+    A row meets the others a few at a time, and no more those that are joined with it by then: in a group of copies each
+    row meets a few others instead of all.
+    """
+    root, found = np.arange(len(ids)), []
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
     threshold = percent / 100
     floor = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS)
     two = bool(side.any())
     lefts = np.flatnonzero(side == 0)
     for i in lefts.tolist():
-        others = np.flatnonzero(side == 1) if two else np.arange(i + 1, len(ids))
+        rest = np.flatnonzero(side == 1) if two else np.arange(i + 1, len(ids))
         n = sizes[i]
-        others = others[(sizes[others] * 100 >= n * percent) & (n * 100 >= sizes[others] * percent)]
-        if not len(others):
-            continue
-        above, below = (values[i] > values[others]).sum(axis=1), (values[i] < values[others]).sum(axis=1)
-        # an estimate can't exceed the share of equal registers by much; cheap cut before the likelihood
-        near = (REGISTERS - above - below) >= (floor - 0.05) * REGISTERS
-        near |= sizes[others] < SMALL
-        others, above, below = others[near], above[near], below[near]
-        if not len(others):
-            continue
-        likely = (estimate(above, below, np.full(len(others), n), sizes[others]) >= floor) | (sizes[others] < SMALL)
-        for j in others[likely].tolist():
-            a, b = forest.top(i), forest.top(j)
-            if a == b:
+        rest = rest[(sizes[rest] * 100 >= n * percent) & (n * 100 >= sizes[rest] * percent)]
+        step = MET_AT_ONCE
+        while len(rest := rest[root[rest] != root[i]]):
+            others, rest, step = rest[:step], rest[step:], step * 4
+            above, below = (values[i] > values[others]).sum(axis=1), (values[i] < values[others]).sum(axis=1)
+            # an estimate can't exceed the share of equal registers by much; cheap cut before the likelihood
+            near = (REGISTERS - above - below) >= (floor - 0.05) * REGISTERS
+            near |= sizes[others] < SMALL
+            others, above, below = others[near], above[near], below[near]
+            if not len(others):
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                forest.up[max(a, b)] = min(a, b)
-                found.append((int(ids[i]), int(ids[j])))
+            likely = (estimate(above, below, np.full(len(others), n), sizes[others]) >= floor) | (sizes[others] < SMALL)
+            for j in others[likely].tolist():
+                if root[i] == root[j]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    root[root == root[j]] = root[i]
+                    found.append((int(ids[i]), int(ids[j])))
     return found
 
 

@@ -166,3 +166,22 @@ def test_divided_clusters_lose_no_link(spark, rows, percent, monkeypatch):
     want = read()
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 3)
     assert read() == want
+
+
+def test_copies_in_a_block_meet_few_others(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base, rng.integers(0, 1 << 62, 2).astype(np.uint64)))) for _ in range(400)]
+    values, ids, met, estimate = near_dedup.sketch(sets), np.arange(400) + 7, [], near_dedup.estimate
+    monkeypatch.setattr(near_dedup, "estimate", lambda above, *more: met.append(len(above)) or estimate(above, *more))
+    for side in (np.zeros(400, int), np.arange(400) % 2):
+        met.clear()
+        links = near_dedup._links_of_block(ids, side, sets, values, 85)
+        up = {i: i for i in ids.tolist()}
+        for a, b in links:
+            up = {i: up[a] if u == up[b] else u for i, u in up.items()} if up[a] != up[b] else up
+        assert len(links) == 399 and len(set(up.values())) == 1
+        # all pairs, 79,800 and 40,000, before rows that are joined were left out
+        assert sum(met) < 10_000
