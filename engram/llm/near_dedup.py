@@ -9,8 +9,8 @@ exponentially spaced, so a sketch of a union is the register-wise best of two sk
 Candidates: equal register bands put documents into the same candidate cluster (components of
 document - band representative edges; no pairs are listed).  Sets too small for a sketch use a prefix
 of their shingles in hash order instead, which is exact.  A passage that many documents have makes
-one cluster of them all, though few are alike; so a cluster of more than one block is divided once
-more, by prefixes of full sets in the order of the cluster's own frequencies, which is exact too:
+one cluster of them all, though few are alike; so a cluster of more than one block whose sets aren't
+mostly alike is divided once more, by prefixes of full sets in the order of the cluster's own frequencies, which is exact too:
 its smallest shared shingle is in the prefix of both sets of a pair.  What is left is cut into blocks
 by size; in each pair of blocks the similarity of a pair is first estimated jointly from the registers and both
 known sizes by maximum likelihood, and pairs that the estimate doesn't rule out are confirmed on the
@@ -195,21 +195,27 @@ def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["cluster", "id", "n", "shingle"])
 
 
-def _divided(member: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(id, cluster) of the members of clusters (cluster, id, n, shingles) that may be linked with another: components by shared prefixes.
+def _divided(member: DataFrame, wide: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The clusters that are divided, and (id, cluster) of their members that may be linked with another: components by shared prefixes.
 
     A set's prefix are its n - ceil(n * percent / 100) + 1 shingles that fewest sets of its cluster have.  Shingles of
-    one set alone come first and are shared with none, so only their number counts.
+    one set alone come first and are shared with none, so only their number counts.  Clusters of ``wide`` (cluster, docs,
+    total) whose mean pair shares two thirds of a mean set stay whole: nearly all of their pairs would be left.
     """
-    every = member.select("cluster", "id", "n", "shingles").mapInArrow(tidy(_explode_shingles), "cluster long, id long, n long, shingle long")
-    often = scratch.save(every.groupBy("cluster", "shingle").agg(F.count("*").alias("sets")).where("sets > 1"))
-    own = every.join(often, ["cluster", "shingle"]).groupBy("cluster", "id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("own"))
+
+    def shingles(of: DataFrame) -> DataFrame:
+        return member.join(F.broadcast(of.select("cluster")), "cluster").select("cluster", "id", "n", "shingles").mapInArrow(tidy(_explode_shingles), "cluster long, id long, n long, shingle long")
+
+    often = scratch.save(shingles(wide).groupBy("cluster", "shingle").agg(F.count("*").alias("sets")).where("sets > 1"))
+    shared = often.groupBy("cluster").agg(F.expr("sum(sets * (sets - 1))").alias("shared"))
+    unlike = scratch.save(wide.join(shared, "cluster", "left").where("3 * coalesce(shared, 0) < 2 * total * (docs - 1)").select("cluster"))
+    own = shingles(unlike).join(often, ["cluster", "shingle"]).groupBy("cluster", "id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("own"))
     left = F.expr(f"int(n - (n * {percent} + 99) DIV 100 + 1 - (n - size(own)))")
     prefix = own.withColumn("left", left).where("left > 0").select("cluster", "id", F.explode(F.slice("own", 1, F.col("left"))["shingle"]).alias("key"))
     prefix = scratch.save(prefix)
     first = scratch.save(prefix.groupBy("cluster", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("cluster", "key", "low"))
     edges = prefix.join(first, ["cluster", "key"]).where("id <> low").select(F.col("low").alias("src"), F.col("id").alias("dst"))
-    return connected_components(edges, scratch).select("id", F.col("label").alias("cluster"))
+    return unlike, connected_components(edges, scratch).select("id", F.col("label").alias("cluster"))
 
 
 class _Forest:
@@ -308,10 +314,10 @@ def _row_name(key: Column, text: Column) -> Column:
 
 
 def _blocks(placed: DataFrame) -> DataFrame:
-    """(cluster, blocks): the number of blocks that each cluster of the rows (cluster, id, n) is cut into."""
+    """(cluster, docs, total, blocks): the documents and shingles of each cluster of the rows (cluster, id, n), and the number of blocks it is cut into."""
     return (
         placed.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
-        .select("cluster", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        .withColumn("blocks", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int"))
     )
 
 
@@ -339,12 +345,12 @@ def _grouped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         # rows without sets tell who is compared with whom; the sets follow once, by id
         placed = member.select("cluster", "id", "n")
         sized = scratch.save(_blocks(placed))
-        wide = sized.where("blocks > 1").select("cluster")
+        wide = sized.where("blocks > 1")
         if not wide.isEmpty():
-            wide = F.broadcast(wide)  # a row for BLOCK_DOCS members or BLOCK_SHINGLES shingles at least
-            parts = _divided(member.join(wide, "cluster"), percent, scratch)
-            placed = placed.join(wide, "cluster", "left_anti").unionByName(placed.drop("cluster").join(parts, "id").select("cluster", "id", "n"))
-            placed = scratch.save(placed)
+            # rows for BLOCK_DOCS members or BLOCK_SHINGLES shingles at least, few enough to be broadcast
+            divided, parts = _divided(member, wide, percent, scratch)
+            whole = placed.join(F.broadcast(divided), "cluster", "left_anti")
+            placed = scratch.save(whole.unionByName(placed.drop("cluster").join(parts, "id").select("cluster", "id", "n")))
             sized = scratch.save(_blocks(placed))
         dealt = (
             member.drop("cluster").join(placed.drop("n").join(sized, "cluster"), "id")
