@@ -253,6 +253,32 @@ def test_short_items_are_found_verbatim_and_changed(spark):
     assert len(wanted) >= 140
 
 
+def test_the_latent_space_is_fitted_on_every_window(spark, monkeypatch):
+    rng = random.Random(15)
+    items, texts = [_made_text(rng, n) for n in (20, 40, 33)], [_made_text(rng, n) * 2 for n in (0, 1, 16, 17, 33, 48, 49, 90)] * 4
+    table = spark.createDataFrame([(" ".join(t),) for t in texts] + [(None,)], "text string").repartition(5)
+    idf = decontaminate.weights_of(decontaminate.token_bins(table))
+    hashes = lambda w: decontaminate.split_words(pa.array([" ".join(w)]), lower=True).hash
+    blocks = [decontaminate.Items([0, 1], [hashes(w) for w in items[:2]], idf), decontaminate.Items([2], [hashes(items[2])], idf)]
+    got = {(r.block, r.start): np.frombuffer(r.part, np.float32) for r in decontaminate.window_pairs(table, blocks).collect()}
+    for k, block in enumerate(blocks):
+        size, weight = len(block.vocabulary), block.idf[decontaminate._bins(block.vocabulary)]
+        want = np.zeros((size, size))
+        for text in texts:
+            every = hashes(text)
+            for at in range(0, max(1, len(every) - decontaminate.WINDOW + decontaminate.STRIDE), decontaminate.STRIDE) if len(every) else ():
+                row = np.zeros(size)
+                place = decontaminate.known(block.vocabulary, every[at : at + decontaminate.WINDOW])
+                np.add.at(row, place[place >= 0], 1.0)
+                length = np.linalg.norm(row * weight)
+                want += np.outer(row, row) / length**2 if length else 0.0
+        assert np.allclose(got[k, 0].reshape(size, size), np.triu(want), rtol=1e-4)
+    monkeypatch.setattr(decontaminate, "PAIRS", 1)
+    monkeypatch.setattr(decontaminate, "PIECE", 64)
+    for basis in decontaminate.latent_bases(table, blocks, 1000.0):
+        assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3)
+
+
 def test_a_benchmark_in_parts_finds_the_same(spark, monkeypatch):
     rng = random.Random(14)
     items = [_made_text(rng, n) for n in (3, 8, 20, 30, 70, 25, 40, 5)]
