@@ -59,12 +59,12 @@ def with_repeats(edits: DataFrame, prompts: DataFrame) -> DataFrame:
     the text that it replaces, ``soft`` lists the like lines that other edits put in, to be looked at in order.
     """
     units = prompts.select("prompt_id", F.explode(F.transform(lines_of(F.col("prompt")), squeeze)).alias("line")).where("line <> '' AND NOT startswith(line, '#')")
-    units = units.withColumn("k", rule_key(F.col("line"))).where(F.length("k") >= LEAST).groupBy("prompt_id", "k").agg(F.min("line").alias("line")).select("prompt_id", F.concat(F.lit("u:"), "k").alias("id"), "line")
+    units = units.withColumn("k", rule_key(F.col("line"))).where(F.length("k") >= LEAST).select("prompt_id", "k").distinct().select("prompt_id", F.concat(F.lit("u:"), "k").alias("id"), "k")
     lines = _judged_lines(edits).withColumn("k", rule_key(F.col("line")))
     silent = (F.length("k") < LEAST) | ((F.col("role") != "n") & trim_u(F.col("line")).startswith("#"))
     lines = lines.withColumn("id", F.when(~silent, F.format_string("%08d%s%06d", "rank", "role", "n")))
-    named = units.unionByName(lines.where("id IS NOT NULL").select("prompt_id", "id", "line"))
-    pairs = similar_rules(named, "id", "prompt_id", "line")
+    named = units.unionByName(lines.where("id IS NOT NULL").select("prompt_id", "id", "k"))
+    pairs = similar_rules(named, "id", "prompt_id", "k", keyed="k")
     both = pairs.select(F.col("g").alias("prompt_id"), F.col("a").alias("id"), F.col("b").alias("like")).unionByName(pairs.select(F.col("g").alias("prompt_id"), F.col("b").alias("id"), F.col("a").alias("like")))
     both = both.where("NOT startswith(id, 'u:') AND substring(id, 9, 1) = 'n'")
     own_old = (F.substring("like", 9, 1) == "o") & (F.substring("like", 1, 8) == F.substring("id", 1, 8))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from engram.operators import rules
+from engram.operators import prompts, rules
 
 
 def test_a_judges_answer_is_read_in_few_steps(spark):
@@ -17,3 +17,30 @@ def test_a_judges_answer_is_read_in_few_steps(spark):
     assert rows[2].score_total is None and rows[3].dims == {} and rows[4].error_tags == []
     # each name is read where it is needed, not once for each way that leads to it
     assert found._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") < 150
+
+
+def test_small_groups_of_rules_are_compared_without_an_index(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(6, 40))) for _ in range(40)]
+    texts += [t[:-2] + "zz" for t in texts[:20]] + [t + "g" for t in texts[:10]] + ["", "不应记录 这里的 所有 内容 甲乙丙丁", "不应记录 这里的 所有 内容 甲乙丙戊己"]
+    rows = [(g, f"{g}-{i:03d}", rng.choice(texts)) for g in range(12) for i in range(20)] + [(None, "x", texts[0]), (None, "y", texts[0])]
+    small = spark.createDataFrame(rows, "g int, id string, line string")
+    large = small.withColumn("g", F.when(F.col("g") < 6, 0).otherwise(F.col("g")))
+    for frame in (small, large):
+        found = prompts.similar_rules(frame, "id", "g", "line")
+        keyed = frame.select("g", "id", prompts.rule_key(F.col("line")).alias("k")).where("k <> ''")
+        x, y = (keyed.select("g", F.col("id").alias(i), F.col("k").alias(f"k{i}")) for i in "ab")
+        want = {tuple(r) for r in x.join(y, "g").where("a < b").where(prompts.same_rule("ka", "kb")).select("g", "a", "b").collect()}
+        assert want and {tuple(r) for r in found.collect()} == want
+    assert "gram" not in prompts.similar_rules(small, "id", "g", "line")._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_ratio_is_only_left_out_below_the_limit():
+    import difflib
+
+    rng = random.Random(4)
+    for _ in range(2000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 30)))
+        b = "".join(rng.choice("abc") if rng.random() < 0.1 else c for c in a)[: rng.randrange(1, 40)]
+        ratio = difflib.SequenceMatcher(None, a, b).ratio()
+        assert prompts._ratio(a, b) in (ratio, 0.0) and (prompts._ratio(a, b) >= prompts.RATIO) == (ratio >= prompts.RATIO)
