@@ -81,12 +81,14 @@ def _indent(body: Column) -> Column:
 def placed_edits(prompts: DataFrame, edits: DataFrame) -> DataFrame:
     """The edits (prompt_id, ix, op, target_id, old_text, new_text, text, evidence_refs) of prompts (prompt_id, prompt) with problem (null: can be applied), begin, end, replacement and change."""
     spans = section_spans(prompts, "prompt_id", "prompt").select("prompt_id", F.struct("section_id", "begin", "end", "body", _is_list(F.col("body")).alias("listed"), _indent(F.col("body")).alias("indent"), F.length(_ends_trimmed(F.col("body"))).alias("filled")).alias("s"))
-    # edits meet a prompt and all its sections at once, and stay by prompt: they are shuffled once
-    spans = prompts.select("prompt_id", F.col("prompt").alias("__prompt")).join(spans.groupBy("prompt_id").agg(F.collect_list("s").alias("__sections")), "prompt_id", "left")
+    # edits meet a prompt and all its sections at once, and stay by prompt: they are shuffled once.  Texts and edits are many times what a
+    # compressed file of them takes, so no side is broadcast by its size
+    sections = spans.groupBy("prompt_id").agg(F.collect_list("s").alias("__sections"))
+    spans = prompts.select("prompt_id", F.col("prompt").alias("__prompt")).join(sections.hint("merge"), "prompt_id", "left")
     text = lambda c: trim_u(F.coalesce(F.col(c), F.lit("")))
     rows = edits.withColumns({"op": text("op"), "target_id": text("target_id"), "old_text": text("old_text"), "new_text": text("new_text")})
     rows = rows.withColumn("text", F.when(text("text") != "", text("text")).otherwise(F.col("new_text")))
-    rows = rows.join(spans, "prompt_id").withColumn("__s", F.try_element_at(F.filter("__sections", lambda s: s["section_id"] == F.col("target_id")), F.lit(1)))
+    rows = rows.join(spans.hint("merge"), "prompt_id").withColumn("__s", F.try_element_at(F.filter("__sections", lambda s: s["section_id"] == F.col("target_id")), F.lit(1)))
     rows = rows.withColumns({c: F.col(f"__s.{c}") for c in ("begin", "end", "body")}).drop("__sections")
     within, appends = F.col("op").isin("replace_within_section", "delete_within_section"), F.col("op") == "append_to_section"
     rows = rows.withColumn("__in", F.when(appends, _inserted(F.col("text"), True)).when(~within, _inserted(F.col("text"), False)))
@@ -123,7 +125,7 @@ def patched(prompts: DataFrame, edits: DataFrame, ratio: float = RATIO, least: i
     """
     placed = placed_edits(prompts, edits)
     packed = placed.groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("ix", "begin", "end", "replacement", "change", "problem"))).alias("__edits"))
-    rows = prompts.select("prompt_id", F.coalesce("prompt", F.lit("")).alias("prompt")).join(packed, "prompt_id", "left")
+    rows = prompts.select("prompt_id", F.coalesce("prompt", F.lit("")).alias("prompt")).join(packed.hint("merge"), "prompt_id", "left")
     rows = rows.withColumn("max_change_chars", F.greatest(F.lit(least), F.floor(F.length("prompt") * F.lit(ratio)).cast("int"))).withColumn("__max", F.col("max_change_chars"))
     meets = "exists(s.taken, t -> e.begin < t.end AND t.begin < e.end)"
     problem = f"coalesce(e.problem, if({meets}, 'overlaps', if(s.used + e.change > __max, 'over budget', NULL)))"

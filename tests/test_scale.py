@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from engram.operators import prompts, rules
+from engram.operators import patches, prompts, rules
 
 
 def test_a_judges_answer_is_read_in_few_steps(spark):
@@ -44,3 +44,11 @@ def test_a_ratio_is_only_left_out_below_the_limit():
         b = "".join(rng.choice("abc") if rng.random() < 0.1 else c for c in a)[: rng.randrange(1, 40)]
         ratio = difflib.SequenceMatcher(None, a, b).ratio()
         assert prompts._ratio(a, b) in (ratio, 0.0) and (prompts._ratio(a, b) >= prompts.RATIO) == (ratio >= prompts.RATIO)
+
+
+def test_no_prompts_or_edits_are_broadcast(spark):
+    own = spark.range(5).select(F.col("id").alias("prompt_id"), F.lit("# A\n- x\n").alias("prompt"))
+    edits = own.select("prompt_id", F.lit(1).alias("ix"), F.lit("append_to_section").alias("op"), F.lit("S001").alias("target_id"), *[F.lit(t).alias(c) for c, t in (("old_text", ""), ("new_text", ""), ("text", "- y"))], F.array(F.lit("e")).alias("evidence_refs"))
+    found = patches.patched(own, edits)
+    assert {r.candidate for r in found.collect()} == {"# A\n- x\n- y\n"}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
