@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from engram.operators import patches, prompts, rules
+from engram.operators import containment, patches, prompts, rules
 
 
 def test_a_judges_answer_is_read_in_few_steps(spark):
@@ -52,3 +52,18 @@ def test_no_prompts_or_edits_are_broadcast(spark):
     found = patches.patched(own, edits)
     assert {r.candidate for r in found.collect()} == {"# A\n- x\n- y\n"}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_rows_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(containment, "LIST", 3)
+    left = [(k % 17, t) for k, t in enumerate(["Abc d", "bc", "x", "", None, "cd e", "abcde", "bc"] * 6)] + [(None, "bc"), (None, "abc")]
+    right = [(str(k % 11), t) for k, t in enumerate(["ABC", "abcdef", "c", "zz", None, "bcd"] * 5)] + [(None, "abc")]
+    a, b = spark.createDataFrame(left, "id int, ref string"), spark.createDataFrame(right, "name string, title string")
+    found = containment.containing_pairs(a, b, "id", "ref", "name", "title")
+    key = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
+    want = {(i, n) for i, r in left for n, t in right if key(r) and key(t) and (key(r) in key(t) or key(t) in key(r))}
+    rows = [tuple(r) for r in found.collect()]
+    assert found.columns == ["id", "name"] and len(rows) == len(want) and set(rows) == want
+    # the last steps are those that make the pairs
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Generate")] and "Join" not in plan[: plan.index("Generate")]
